@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from floorwright.llm import decontamination
+from floorwright.llm.decontamination import op8_benchmark_decontamination
 from floorwright.llm.ngram_join import op5_ngram_jaccard_join
 from floorwright.llm.toxicity import op3_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op3_toxicity": op3_toxicity,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_benchmark_decontamination": decontamination.ORACLE,
+}
