@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from floorwright.llm.common import dropped, small, written
 from floorwright.llm.components import components
-from floorwright.llm.text import mix, shingle_sets
+from floorwright.llm.text import STEP, mix, shingle_sets, steps
 
 WIDTH, PERCENT = 5, 75
 #: Rows of a block of columns in step 1, as entries of eight bytes.
@@ -54,17 +54,12 @@ def least_shared(n: int | np.ndarray, percent: int = PERCENT):
     return np.maximum(1, -(-needed(n, percent) // 8))
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes]:
-    """Whole texts as UTF-8 bytes; null counts as empty."""
-    return [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
-
-
 def set_sizes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, n, h1, h2) for each row: the size of its shingle set and a hash of the set in two halves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = shingle_sets(_texts(b), width)
+        for b, texts in steps(batches):
+            sets = shingle_sets(texts, width)
             h1 = [int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets]
             h2 = [int(np.bitwise_xor.reduce(mix(s + np.uint64(1))).view(np.int64)) if len(s) else 0 for s in sets]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], ["doc_id", "n", "h1", "h2"])
@@ -76,9 +71,9 @@ def _recurring(docs: DataFrame, blocks: int, width: int, percent: int) -> DataFr
     """(doc_id, shared): how many of the text's kept shingles occur in another text too; only rows with any."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b, texts in steps(batches, most=4 * STEP):
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            sets = [s[: kept(len(s), percent)] for s in shingle_sets(_texts(b), width)]
+            sets = [s[: kept(len(s), percent)].copy() for s in shingle_sets(texts, width)]
             if not sum(map(len, sets)):
                 continue
             h, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -127,8 +122,8 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, n, hashes): whole sets as sorted hashes of eight bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = shingle_sets(_texts(b), width)
+        for b, texts in steps(batches):
+            sets = shingle_sets(texts, width)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "n", "hashes"])
 
     return docs.mapInArrow(run, "doc_id long, n long, hashes binary")
@@ -140,7 +135,8 @@ def _columns(sets: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, ns = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("n").to_numpy(zero_copy_only=False)
-            own = [np.frombuffer(x, np.uint64)[: kept(len(x) // 8, percent)] for x in b.column("hashes").to_pylist()]
+            own = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column("hashes")]
+            own = [s[: kept(len(s), percent)] for s in own]
             times = [len(s) for s in own]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, times)), pa.array(np.repeat(ns, times)), pa.array(np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64))], ["doc_id", "n", "h"])
 
@@ -153,9 +149,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             good = []
-            for x, y in zip(b.column("ha").to_pylist(), b.column("hb").to_pylist(), strict=True):
-                both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                good.append(100 * both >= percent * ((len(x) + len(y)) // 8 - both))
+            for x, y in zip(b.column("ha"), b.column("hb"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), "a")
@@ -205,10 +202,11 @@ def links(docs: DataFrame, sizes: DataFrame, width: int = WIDTH, percent: int =
             pick = F.struct(F.xxhash64("doc_id", F.lit(turn)), "doc_id", "n", "comp")
             other = product.groupBy("h").agg(F.min(pick).alias("p")).select("h", F.col("p.doc_id").alias("b"), F.col("p.n").alias("nb"), F.col("p.comp").alias("cb"))
         pairs = one.join(other, "h").where((F.col("ca") != F.col("cb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent))
-        pairs = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("overlap"))
-        if not direct:  # of each row the one product with the largest overlap
-            pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("overlap", "a")).alias("a"))
-        new = written(_verified(pairs.select("a", "b"), sets, percent), "links")
+        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("overlap"))
+        if not direct:  # for each row the one product with the largest overlap
+            pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("overlap", "b")).alias("b"))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        new = written(_verified(pairs, sets, percent), "links")
         n_new = new.count()
         found = found.unionByName(new)
         if direct:

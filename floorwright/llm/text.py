@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 
+#: Text bytes that one step of a Python worker holds (a longer text is a step of its own).
+STEP = 4 << 20
 #: Bytes of text hashed at once: bounds the tables of powers and the running sums.
 PIECE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -11,6 +16,18 @@ _MULTIPLIERS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B42
 _powers: dict[str, np.ndarray] = {}
 
 
+def steps(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = STEP) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches with at most so many bytes of text, each with its whole texts as UTF-8; null counts as empty."""
+    for b in batches:
+        col = b.column(b.schema.get_field_index(column)).cast(pa.binary())
+        sizes = np.diff(np.frombuffer(col.buffers()[1], np.int32, len(col) + 1, col.offset * 4)) if len(col) else np.zeros(0, np.int32)
+        ends, i = np.cumsum(sizes, dtype=np.int64), 0
+        while i < len(col):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, side="right")))
+            yield b.slice(i, j - i), [x or b"" for x in col.slice(i, j - i).to_pylist()]
+            i = j
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit (splitmix64's finalizer)."""
     x = x ^ (x >> np.uint64(30))
