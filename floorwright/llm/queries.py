@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from floorwright.llm import decontamination
 from floorwright.llm.decontamination import op8_benchmark_decontamination
 from floorwright.llm.ngram_join import op5_ngram_jaccard_join
+from floorwright.llm.nn_descent import op7_embedding_near_dedup
 from floorwright.llm.sentencepiece import op10_sentencepiece
 from floorwright.llm.toxicity import op3_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op10_sentencepiece": op10_sentencepiece,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op3_toxicity": op3_toxicity,
