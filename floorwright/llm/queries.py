@@ -11,10 +11,12 @@ from floorwright.llm.decontamination import op8_benchmark_decontamination
 from floorwright.llm.html_extraction import op4_html_extraction
 from floorwright.llm.ngram_join import op5_ngram_jaccard_join
 from floorwright.llm.nn_descent import op7_embedding_near_dedup
+from floorwright.llm.recurrent_lm import op2_language_model
 from floorwright.llm.sentencepiece import op10_sentencepiece
 from floorwright.llm.toxicity import op3_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_model": op2_language_model,
     "op4_html_extraction": op4_html_extraction,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op10_sentencepiece": op10_sentencepiece,

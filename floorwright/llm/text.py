@@ -55,12 +55,16 @@ def _piece_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words in order, offsets: text i has the words offsets[i] to offsets[i+1]).
+    return word_hashes_and_heads(texts)[:2]
+
+
+def word_hashes_and_heads(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of all words in order, offsets: text i has the words offsets[i] to offsets[i+1], first two bytes of each).
 
     Words are maximal runs of bytes other than space and 0x09-0x0D; A-Z count as a-z.
     """
     if not texts:
-        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int64)
     buf = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8).copy()
     buf[(buf >= 65) & (buf <= 90)] += 32
     inside = ~((buf == 32) | ((buf >= 9) & (buf <= 13)))
@@ -73,7 +77,8 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         out[k:last] = _piece_hashes(buf[at : ends[last - 1]], starts[k:last] - at, ends[k:last] - at)
         k = last
     bounds = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
-    return out, np.searchsorted(starts, bounds).astype(np.int64)
+    heads = buf[starts].astype(np.int64) * 256 + np.where(ends - starts > 1, buf[starts + 1], 0)
+    return out, np.searchsorted(starts, bounds).astype(np.int64), heads
 
 
 def shingle_sets(texts: list[bytes], width: int = 5) -> list[np.ndarray]:
