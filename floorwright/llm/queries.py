@@ -6,18 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from floorwright.llm import decontamination
+from floorwright.llm import decontamination, preferences
 from floorwright.llm.decontamination import op8_benchmark_decontamination
 from floorwright.llm.edit_counts import op9_token_counts
 from floorwright.llm.html_extraction import op4_html_extraction
 from floorwright.llm.ngram_join import op5_ngram_jaccard_join
 from floorwright.llm.nn_descent import op7_embedding_near_dedup
 from floorwright.llm.packing import op6_token_packing
+from floorwright.llm.preferences import op1_preference_format
 from floorwright.llm.recurrent_lm import op2_language_model
 from floorwright.llm.sentencepiece import op10_sentencepiece
 from floorwright.llm.toxicity import op3_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_preference_format": op1_preference_format,
     "op6_token_packing": op6_token_packing,
     "op9_token_counts": op9_token_counts,
     "op2_language_model": op2_language_model,
@@ -30,5 +32,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_preference_format": preferences.ORACLE,
     "op8_benchmark_decontamination": decontamination.ORACLE,
 }
