@@ -7,7 +7,8 @@ transpose holds every overlap count. It is never formed whole:
    Two texts that link share at least ceil(min(n, n') / 8) of them, whatever else they hold. Blocks of columns (ranges
    of the hash) count which of these shingles occur in two texts or more; texts with fewer such shingles than
    ceil(ceil(.75 n) / 8) can't link with anything and leave here. Columns that recur within one batch of texts are
-   counted there and sent once, so a very common passage costs one entry for each batch.
+   counted there and sent once, so a very common passage costs one entry for each batch. Of the texts that are left the
+   same is done over whole sets: those with fewer recurring shingles than ceil(.75 n) leave too.
 2. Exact copies of a set are one row from here on.
 3. Blocks of the product, repeated until no column holds rows of two components. Each text's columns are ordered by how
    many components they hold, rarest first, and cut at the size-derived bound: the columns left out can't be the only ones
@@ -36,7 +37,7 @@ WIDTH, PERCENT = 5, 75
 #: Rows of a block of columns in step 1, as entries of eight bytes.
 BLOCK = 1 << 20
 #: Products are formed as they are if they have at most so many entries for each row of the columns, else against one row.
-DIRECT = 3
+DIRECT = 6
 
 
 def needed(n: int | np.ndarray, percent: int = PERCENT):
@@ -67,13 +68,26 @@ def set_sizes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long")
 
 
-def _recurring(docs: DataFrame, blocks: int, width: int, percent: int) -> DataFrame:
-    """(doc_id, shared): how many of the text's kept shingles occur in another text too; only rows with any."""
+def _kept_of_texts(width: int, percent: int):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+        for b, texts in steps(batches, most=4 * STEP):
+            yield b.column("doc_id").to_numpy(zero_copy_only=False), [s[: kept(len(s), percent)].copy() for s in shingle_sets(texts, width)]
+
+    return read
+
+
+def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    for b in batches:
+        for i in range(0, b.num_rows, 2000):
+            own = b.slice(i, 2000)
+            yield own.column("doc_id").to_numpy(zero_copy_only=False), [np.frombuffer(x.as_buffer(), np.uint64) for x in own.column("hashes")]
+
+
+def _recurring(rows: DataFrame, read, blocks: int) -> DataFrame:
+    """(doc_id, shared): how many of the shingles that read() finds for a row occur in another row too; only rows with any."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, texts in steps(batches, most=4 * STEP):
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            sets = [s[: kept(len(s), percent)].copy() for s in shingle_sets(texts, width)]
+        for ids, sets in read(batches):
             if not sum(map(len, sets)):
                 continue
             h, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -114,7 +128,7 @@ def _recurring(docs: DataFrame, blocks: int, width: int, percent: int) -> DataFr
             n.append(c)
         return pa.table({"doc_id": np.concatenate(who) if who else np.zeros(0, np.int64), "shared": np.concatenate(n).astype(np.int64) if n else np.zeros(0, np.int64)})
 
-    entries = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(cut, "block int, hashes binary, ids binary, counts binary, dups binary")
+    entries = rows.mapInArrow(cut, "block int, hashes binary, ids binary, counts binary, dups binary")
     return entries.groupBy("block").applyInArrow(count, "doc_id long, shared long").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
 
 
@@ -129,16 +143,16 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, hashes binary")
 
 
-def _columns(sets: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, n, h): a row for each kept shingle of each set."""
+def _columns(sets: DataFrame) -> DataFrame:
+    """(doc_id, n, h): a row for each shingle of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, ns = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("n").to_numpy(zero_copy_only=False)
-            own = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column("hashes")]
-            own = [s[: kept(len(s), percent)] for s in own]
-            times = [len(s) for s in own]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, times)), pa.array(np.repeat(ns, times)), pa.array(np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64))], ["doc_id", "n", "h"])
+            for i in range(0, b.num_rows, 500):
+                h = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column("hashes").slice(i, 500)]
+                times = [len(x) for x in h]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[i : i + 500], times)), pa.array(np.repeat(ns[i : i + 500], times)), pa.array(np.concatenate(h))], ["doc_id", "n", "h"])
 
     return sets.mapInArrow(run, "doc_id long, n long, h long")
 
@@ -155,7 +169,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), "a")
+    pairs = written(pairs, "pairs")
+    n = pairs.count()
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sets = sets.join(small(ids, 2 * n), "doc_id", "left_semi")
+    left = small(pairs, n).join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), "a")
     return left.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb")), "b").select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
 
 
@@ -168,13 +186,21 @@ def links(docs: DataFrame, sizes: DataFrame, width: int = WIDTH, percent: int =
     spark = docs.sparkSession
     entries = sizes.agg(F.sum("n")).first()[0] or 0
     blocks = int(min(4096, max(24, entries * 3 // 8 // BLOCK)))
-    shared = _recurring(docs, blocks, width, percent)
+    shared = _recurring(docs.where("doc_id is not null"), _kept_of_texts(width, percent), blocks)
     first = sizes.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "n")
-    least = F.greatest(F.lit(1), F.ceil(F.ceil(F.lit(percent) * F.col("n") / 100) / 8))
-    left = written(first.join(shared, "doc_id").where(F.col("shared") >= least).select("doc_id").distinct(), "candidates")
+    some = F.greatest(F.lit(1), F.ceil(F.ceil(F.lit(percent) * F.col("n") / 100) / 8))
+    left = written(first.join(shared, "doc_id").where(F.col("shared") >= some).select("doc_id").distinct(), "candidates")
     n_left = left.count()
     sets = written(_sets(docs.join(small(left, n_left), "doc_id", "left_semi"), width), "sets")
-    x = written(_columns(sets, percent).withColumn("comp", F.col("doc_id")), "columns")
+    # among these, over whole sets: with fewer recurring shingles than the least overlap nothing can link
+    least = F.greatest(F.lit(1), F.ceil(F.lit(percent) * F.col("n") / 100))
+    entries = sets.agg(F.sum("n")).first()[0] or 0
+    shared = _recurring(sets, _whole_sets, int(min(4096, max(24, entries // BLOCK))))
+    left = written(sets.select("doc_id", "n").join(shared, "doc_id").where(F.col("shared") >= least).select("doc_id").distinct(), "candidates")
+    near = written(sets.join(small(left, left.count()), "doc_id", "left_semi"), "sets")
+    dropped(sets)
+    sets = near
+    x = written(_columns(sets).withColumn("comp", F.col("doc_id")), "columns")
     found = spark.createDataFrame([], "a long, b long")
     stalled = False
     for turn in range(40):
@@ -190,7 +216,7 @@ def links(docs: DataFrame, sizes: DataFrame, width: int = WIDTH, percent: int =
         of = used.groupBy("h", "comp").agg(F.count("*").alias("rows"))
         most = of.groupBy("h").agg(F.max_by("comp", F.struct("rows", "comp")).alias("most"), F.sum("rows").alias("rows"), F.max("rows").alias("top"), F.count("*").alias("held")).where("held > 1")
         product = written(used.join(most.select("h", "most", "rows", "top"), "h"), "product")
-        size = product.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("comp") != F.col("most"), F.col("rows"))), F.lit(0))).first()
+        size = product.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("comp") != F.col("most"), F.col("rows"))), F.lit(0)), F.approx_count_distinct("doc_id")).first()
         if not size[0]:
             break
         direct = stalled or size[1] <= max(100_000, DIRECT * size[0])
