@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from floorwright.functions import scalars as S
 from floorwright.functions import taxonomy
 from floorwright.operators import edits, geometry, matching, metrics, raster, tiles
-from floorwright.plans import scene
+from floorwright.plans import scene, vectorize
+from floorwright.sources import exports, generate, readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -496,3 +497,62 @@ def _(spark, d):
 @query("orphan_openings", f"select opening_id, wall_id from ({_HOST}) where wall_id % 5 = 0")
 def _(spark, d):
     return edits.orphans(_hosted(spark, d), scene.walls(spark, d).where("wall_id % 5 <> 0")).select("opening_id", "wall_id")
+
+
+@query("geojson_features", f"select room_id, 6 ring_points, plan_id from ({scene.POLYGONS})")
+def _(spark, d):
+    rooms = scene.polygons(spark, d).withColumn("holes", F.array().cast("array<array<struct<x:double,y:double>>>"))
+    f = exports.room_features(rooms)
+    ring = F.size(F.from_json(F.get_json_object("feature", "$.geometry.coordinates[0]"), "array<array<double>>"))
+    return f.select("room_id", ring.alias("ring_points"), "plan_id")
+
+
+def _generated(spark, d):
+    """A generated plan for each nation, on the executors."""
+    plans = scene.read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"))
+    return generate.masks_of(plans, seed=100, size=192)
+
+
+@query("generated_masks")
+def _(spark, d):
+    return _generated(spark, d).select("plan_id", "height", "width", F.crc32("data").alias("crc32"))
+
+
+@query("vectorize_plans")
+def _(spark, d):
+    t = vectorize.tables(vectorize.vectorize(_generated(spark, d)))
+    return geometry.plan_summary(t["room"], t["wall"], t["opening"])
+
+
+@query("vectorized_openings")
+def _(spark, d):
+    return vectorize.tables(vectorize.vectorize(_generated(spark, d)))["opening"].select("plan_id", "opening_id", "kind", "cx", "cy", "width", "depth", "angle", "wall_id")
+
+
+@query("exports_svg")
+def _(spark, d):
+    docs = vectorize.vectorize(_generated(spark, d))
+    out = exports.exported(exports.exported(docs, "svg"), "dxf")
+    return out.select("plan_id", F.length("svg").alias("svg_chars"), F.length("dxf").alias("dxf_chars"))
+
+
+_SVG = '<svg xmlns="http://www.w3.org/2000/svg"><g transform="translate(%d,0)"><g class="Space Kitchen"><polygon points="0,0 %d,0 %d,40 0,40"/></g><g class="Wall External"><polygon points="0,0 %d,0 %d,4 0,4"/></g></g></svg>'
+
+
+@query("svg_polygons", "select p_partkey plan_id, 0 ordinal, 'room' kind, 'Kitchen' subtype, 40.0e0 * (p_size + 10) area from part union all select p_partkey, 1, 'wall', 'External', 4.0e0 * (p_size + 10) from part")
+def _(spark, d):
+    w = (F.col("p_size") + 10).cast("int")
+    svg = F.format_string(_SVG, (F.col("p_partkey") % 30).cast("int"), w, w, w, w)
+    shapes = readers.svg_polygons(scene.read(spark, d, "part").select(F.col("p_partkey").alias("plan_id"), svg.alias("svg")))
+    return shapes.select("plan_id", "ordinal", "kind", "subtype", S.half_up(S.polygon_area(F.col("points")), 2).alias("area"))
+
+
+@query("snap_polygon", f"select room_id, 5 vertices from ({scene.POLYGONS})")
+def _(spark, d):
+    return scene.polygons(spark, d).select("room_id", F.size(S.without_repeats(F.concat(F.col("polygon"), F.slice("polygon", 1, 1)))).alias("vertices"))
+
+
+@query("history_prune", "select user_id plan_id, count(*) n from (select user_id, row_number() over (partition by user_id order by event_id desc) k from events) where k <= 101 group by user_id")
+def _(spark, d):
+    log = scene.read(spark, d, "events").select(F.col("user_id").alias("plan_id"), F.col("event_id").alias("version"), F.col("event_type").alias("op"))
+    return edits.history_table(spark, log).groupBy("plan_id").agg(F.count("*").alias("n"))

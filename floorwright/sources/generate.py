@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Seeds of the validation split start here.
 VALIDATION = 10_000_000
@@ -57,11 +58,22 @@ def plan_mask(seed: int, size: int = 256) -> np.ndarray:
     return mask
 
 
-def masks(spark: SparkSession, n: int, seed: int = 0, size: int = 256) -> DataFrame:
-    """(plan_id, height, width, data) of n plans; plan k has seed + k, whatever task makes it."""
+def masks_of(plans: DataFrame, seed: int = 0, size: int = 256) -> DataFrame:
+    """(plan_id, height, width, data) of plans (id); plan k has seed + k, whatever task makes it."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             yield pd.DataFrame({"plan_id": pdf.id, "height": size, "width": size, "data": [plan_mask(seed + int(k), size).tobytes() for k in pdf.id]})
 
-    return spark.range(n).mapInPandas(run, "plan_id long, height int, width int, data binary")
+    return plans.select("id").mapInPandas(run, "plan_id long, height int, width int, data binary")
+
+
+def masks(spark: SparkSession, n: int, seed: int = 0, size: int = 256) -> DataFrame:
+    return masks_of(spark.range(n), seed, size)
+
+
+def write_dataset(spark: SparkSession, path: str, n_train: int, n_val: int, size: int = 256, seed: int = 0) -> None:
+    """Training and validation masks as a table partitioned by split; validation seeds start at VALIDATION."""
+    train, val = masks(spark, n_train, seed, size), masks(spark, n_val, seed + VALIDATION, size)
+    both = train.withColumn("split", F.lit("train")).unionByName(val.withColumn("split", F.lit("val")))
+    both.write.mode("overwrite").partitionBy("split").parquet(path)
