@@ -36,7 +36,7 @@ def _ring(poly: list[list[float]]) -> list[list[float]]:
 
 
 def to_geojson(g: dict[str, Any]) -> str:
-    feature = lambda kind, coordinates, **p: {"type": "Feature", "geometry": {"type": kind, "coordinates": coordinates}, "properties": p}
+    feature = lambda shape, coordinates, **p: {"type": "Feature", "geometry": {"type": shape, "coordinates": coordinates}, "properties": p}
     out = [feature("Polygon", [_ring(r["polygon"]), *map(_ring, r["holes"])], kind="room", id=r["id"], label=r["label"], area_px=r["area_px"], area_m2=r["area_m2"]) for r in g["rooms"]]
     out += [feature("LineString", [w["p1"], w["p2"]], kind="wall", id=w["id"], thickness=w["thickness"], exterior=w["exterior"]) for w in g["walls"]]
     out += [feature("Polygon", [_ring(o["polygon"])], kind=o["kind"], id=o["id"], width=o["width"], wall_id=o["wall_id"]) for o in g["openings"]]
