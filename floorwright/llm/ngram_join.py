@@ -37,7 +37,7 @@ WIDTH, PERCENT = 5, 75
 #: Rows of a block of columns in step 1, as entries of eight bytes.
 BLOCK = 1 << 20
 #: Products are formed as they are if they have at most so many entries for each row of the columns, else against one row.
-DIRECT = 6
+DIRECT = 40
 
 
 def needed(n: int | np.ndarray, percent: int = PERCENT):
@@ -237,7 +237,7 @@ def links(docs: DataFrame, sizes: DataFrame, width: int = WIDTH, percent: int =
         found = found.unionByName(new)
         if direct:
             break
-        stalled = not n_new
+        stalled = n_new * 50 < size[2]  # hardly a row has found another component
         # only the open rows can still link with another component
         comp = components(found)
         fresh = x.drop("comp").join(rest.select("doc_id").distinct(), "doc_id", "left_semi").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
