@@ -13,7 +13,7 @@ transpose holds every overlap count. It is never formed whole:
 3. Blocks of the product, repeated until no column holds rows of two components. Each text's columns are ordered by how
    many components they hold, rarest first, and cut at the size-derived bound: the columns left out can't be the only ones
    that a linked pair shares. In a column, rows of one component need no product. What is left is either multiplied as it
-   is (if few: rows outside the column's largest component against all its rows), or against one row only, another in each
+   is (if few: rows outside the column's largest component against all its rows), or against a few rows only, others in each
    round, which joins large groups of copies in a number of products that is linear in the rows.
 4. Every overlap that these products suggest is counted over the two whole sets and kept if 100 * overlap >= 75 * union.
 
@@ -36,8 +36,10 @@ from floorwright.llm.text import STEP, mix, shingle_sets, steps
 WIDTH, PERCENT = 5, 75
 #: Rows of a block of columns in step 1, as entries of eight bytes.
 BLOCK = 1 << 20
-#: Products are formed as they are if they have at most so many entries for each row of the columns, else against one row.
-DIRECT = 40
+#: Products are formed as they are if they have at most so many entries for each row of the columns, else against a few.
+DIRECT = 12
+#: Rows of a column that its other rows are multiplied with otherwise; of the products of a row half as many are counted out.
+PIVOTS = 6
 
 
 def needed(n: int | np.ndarray, percent: int = PERCENT):
@@ -70,7 +72,7 @@ def set_sizes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def _kept_of_texts(width: int, percent: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-        for b, texts in steps(batches, most=4 * STEP):
+        for b, texts in steps(batches, most=2 * STEP):
             yield b.column("doc_id").to_numpy(zero_copy_only=False), [s[: kept(len(s), percent)].copy() for s in shingle_sets(texts, width)]
 
     return read
@@ -200,17 +202,19 @@ def links(docs: DataFrame, sizes: DataFrame, width: int = WIDTH, percent: int =
     near = written(sets.join(small(left, left.count()), "doc_id", "left_semi"), "sets")
     dropped(sets)
     sets = near
-    x = written(_columns(sets).withColumn("comp", F.col("doc_id")), "columns")
-    found = spark.createDataFrame([], "a long, b long")
+    x = written(_columns(sets), "columns")
+    found = written(spark.createDataFrame([], "a long, b long"), "links")
+    comp = spark.createDataFrame([(-(1 << 63), -(1 << 63))], "node long, component long")  # none yet, but the plan of every round is the same
     stalled = False
     for turn in range(40):
         # how many components each column holds; a column of one needs no product
-        comps = x.select("h", "comp").distinct().groupBy("h").agg(F.count("*").alias("held"))
-        y = x.join(comps, "h")
-        per = y.groupBy("doc_id").agg(F.count("*").alias("kept"), F.count_if(F.col("held") == 1).alias("alone"), F.first("n").alias("n"))
-        cut = F.col("kept") - least + 1
-        open_ = per.where(F.col("alone") < cut).select("doc_id", (cut - F.col("alone")).alias("take"))
-        rest = written(y.where("held > 1").join(open_, "doc_id"), "open")
+        own = x.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", "h", F.coalesce("component", "doc_id").alias("comp"))
+        comps = own.select("h", "comp").distinct().groupBy("h").agg(F.count("*").alias("held")).where("held > 1")
+        y = written(own.join(comps, "h"), "shared")
+        # columns that are left out in an earlier round were of one component then and still are
+        alone = F.first("n") - F.count("*")
+        open_ = y.groupBy("doc_id").agg((F.first("n") - F.first(least) + 1 - alone).alias("take")).where("take > 0")
+        rest = written(y.join(open_, "doc_id"), "open")
         rank = F.expr("row_number() over (partition by doc_id order by held, h)")
         used = rest.withColumn("rank", rank).where("rank <= take").select("h", "doc_id", "n", "comp")
         of = used.groupBy("h", "comp").agg(F.count("*").alias("rows"))
@@ -225,12 +229,14 @@ def links(docs: DataFrame, sizes: DataFrame, width: int = WIDTH, percent: int =
             other = product.select("h", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
             one = one.where("ca <> most")
         else:
-            pick = F.struct(F.xxhash64("doc_id", F.lit(turn)), "doc_id", "n", "comp")
-            other = product.groupBy("h").agg(F.min(pick).alias("p")).select("h", F.col("p.doc_id").alias("b"), F.col("p.n").alias("nb"), F.col("p.comp").alias("cb"))
+            picks = [F.min(F.struct(F.xxhash64("doc_id", F.lit(PIVOTS * turn + k)), "doc_id", "n", "comp")) for k in range(PIVOTS)]
+            other = product.groupBy("h").agg(F.array_distinct(F.array(*[F.struct(p["doc_id"].alias("b"), p["n"].alias("nb"), p["comp"].alias("cb")) for p in picks])).alias("p"))
+            other = other.select("h", F.explode("p").alias("p")).select("h", "p.*")
         pairs = one.join(other, "h").where((F.col("ca") != F.col("cb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent))
         pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("overlap"))
-        if not direct:  # for each row the one product with the largest overlap
-            pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("overlap", "b")).alias("b"))
+        if not direct:  # for each row the products with the largest overlaps
+            best = F.slice(F.sort_array(F.collect_list(F.struct("overlap", "b")), asc=False), 1, PIVOTS // 2)
+            pairs = pairs.groupBy("a").agg(best.alias("p")).select("a", F.explode("p.b").alias("b"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         new = written(_verified(pairs, sets, percent), "links")
         n_new = new.count()
@@ -238,13 +244,11 @@ def links(docs: DataFrame, sizes: DataFrame, width: int = WIDTH, percent: int =
         if direct:
             break
         stalled = n_new * 50 < size[2]  # hardly a row has found another component
-        # only the open rows can still link with another component
+        # only the open rows can still link with another component, in columns of more than one
         comp = components(found)
-        fresh = x.drop("comp").join(rest.select("doc_id").distinct(), "doc_id", "left_semi").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
-        fresh = written(fresh, "columns")
-        for t in (x, rest, product):
+        for t in (x, y, product):
             dropped(t)
-        x = fresh
+        x = rest.select("doc_id", "n", "h")
     else:
         raise RuntimeError("the product did not come to an end")
     return found
