@@ -63,16 +63,18 @@ WALLS = """select o_orderkey // 50 plan_id, o_orderkey wall_id,
 
 
 def openings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(plan_id, opening_id, kind, px, py, width): an opening for each line item, on the plan of its order."""
-    k, n, p = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")
-    return read(spark, sf_dir, "lineitem").select(
-        F.floor(k / 50).alias("plan_id"), (k * 16 + n).alias("opening_id"), F.when(F.col("l_returnflag") == "R", "door").otherwise("window").alias("kind"),
+    """(plan_id, opening_id, kind, px, py, width): an opening for each order and line number, on the plan of its order."""
+    k, n, p = F.col("l_orderkey"), F.col("l_linenumber"), F.col("p")
+    items = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_returnflag").alias("f"))
+    return items.select(
+        F.floor(k / 50).alias("plan_id"), (k * 16 + n).alias("opening_id"), F.when(F.col("f") == "R", "door").otherwise("window").alias("kind"),
         ((p * 11 + n * 17) % 460).cast("double").alias("px"), ((p * 19 + n * 29) % 460).cast("double").alias("py"), (8.0 + n * 2).alias("width"),
     )
 
 
-OPENINGS = """select l_orderkey // 50 plan_id, l_orderkey * 16 + l_linenumber opening_id, case when l_returnflag = 'R' then 'door' else 'window' end kind,
-  ((l_partkey * 11 + l_linenumber * 17) % 460)::double px, ((l_partkey * 19 + l_linenumber * 29) % 460)::double py, 8.0e0 + l_linenumber * 2 width from lineitem"""
+OPENINGS = """select l_orderkey // 50 plan_id, l_orderkey * 16 + l_linenumber opening_id, case when f = 'R' then 'door' else 'window' end kind,
+  ((p * 11 + l_linenumber * 17) % 460)::double px, ((p * 19 + l_linenumber * 29) % 460)::double py, 8.0e0 + l_linenumber * 2 width
+  from (select l_orderkey, l_linenumber, min(l_partkey) p, min(l_returnflag) f from lineitem group by all)"""
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
