@@ -56,7 +56,7 @@ def _vertices(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows with their vertex, vertices): vertex is the least vec_id of a label and direction; copies: how many have it."""
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("embedding"))
     rows = own.mapInArrow(_unit, own.select("vec_id", "label").schema.add("unit", "binary"))
-    rows = written(rows.withColumn("key", F.md5("unit")), "units")
+    rows = written(rows.withColumn("key", F.when(F.col("vec_id").isNotNull() & F.col("label").isNotNull(), F.md5("unit"))), "units")
     good = rows.where("vec_id is not null and label is not null and unit is not null").dropDuplicates(["vec_id", "label", "key"])
     same = good.groupBy("label", "key").agg(F.min("vec_id").alias("vertex"), F.count("*").alias("copies"), F.first("unit").alias("unit"))
     same = written(same, "vertices")
@@ -165,7 +165,8 @@ def _tiles(members: DataFrame, config: DescentConfig) -> DataFrame:
         v, n, least = (np.concatenate(x) for x in zip(*out, strict=True))
         return pa.table({"vertex": v[n > 0], "links": n[n > 0].astype(np.int64), "to": least[n > 0]})
 
-    return left.unionByName(right).groupBy("group", "i", "j").applyInArrow(compare, "vertex long, links long, to long")
+    # dealt by tile, not by group: a group of a third of all rows is many tasks
+    return left.unionByName(right).repartition("group", "i", "j").groupBy("group", "i", "j").applyInArrow(compare, "vertex long, links long, to long")
 
 
 def _audit(vertices: DataFrame, links: DataFrame, config: DescentConfig) -> float:
