@@ -8,8 +8,8 @@ of a text is a hot word.
 
 Fit. Class and word biases are the counts' logarithms, over all training tokens. The recurrent weights are fitted by
 truncated backpropagation, windows of a few steps with the state carried on, in shards of the training texts on the
-executors; each round ends in the average of the shards' weights. The share of the texts that is read grows with the
-corpus once that is large (`fit_tokens` and `fit_share`); each shard holds about `shard_tokens` tokens.
+executors; each round ends in the average of the shards' weights. The rounds share out all training texts, each is read
+once; the number of shards grows with the tokens, each holds about `shard_tokens`.
 
 Scores. Whole texts run as lanes side by side, window after window, the state carried across windows and reset where a
 text begins. Counts of rare words come from a join on the word's 64-bit hash, so no table of words is held whole.
@@ -50,8 +50,6 @@ class LanguageModelConfig:
     #: Steps over which each shard's rate rises.
     warm: int = 10
     rounds: int = 2
-    fit_tokens: int = 2_000_000
-    fit_share: float = 1 / 32
     shard_tokens: int = 500_000
     #: crc32(doc_id as text) modulo folds that is held out.
     folds: int = 7
@@ -234,24 +232,33 @@ class Network:
         cls = self.class_of(ids)
         g = {k: np.zeros_like(v) for k, v in w.items()}
         y = flat @ w["cw"] + w["cb"]
-        y = np.exp(y - y.max(1, keepdims=True))
+        y -= y.max(1, keepdims=True)
+        np.exp(y, out=y)
         y /= y.sum(1, keepdims=True)
         y[np.arange(len(ids)), cls] -= 1
-        y *= mask[:, None] / mask.sum()
+        y *= (mask / np.float32(mask.sum()))[:, None]
         g["cw"], g["cb"] = flat.T @ y, y.sum(0)
         ds = y @ w["cw"].T
-        order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(self.word_classes + 1))
-        for k in range(self.word_classes):
-            at = order[ends[k] : ends[k + 1]]
-            if len(at):
-                q = flat[at] @ w["ww"][k] + w["wb"][k]
-                q = np.exp(q - q.max(1, keepdims=True))
-                q /= q.sum(1, keepdims=True)
-                q[np.arange(len(at)), ids[at] - k * p] -= 1
-                q *= mask[at][:, None] / mask.sum()
-                g["ww"][k], g["wb"][k] = flat[at].T @ q, q.sum(0)
-                ds[at] += q @ w["ww"][k].T
+        at = np.flatnonzero(cls < self.word_classes)
+        at = at[np.argsort(cls[at], kind="stable")]
+        if len(at):  # rows in the order of their class; the softmax of all at once
+            own, rows = cls[at], flat[at]
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            spans = list(zip(own[first].tolist(), first.tolist(), [*first[1:].tolist(), len(at)], strict=True))
+            q, back = np.empty((len(at), p), np.float32), np.empty((len(at), n), np.float32)
+            for k, a, b in spans:
+                np.matmul(rows[a:b], w["ww"][k], out=q[a:b])
+            q += w["wb"][own]
+            q -= q.max(1, keepdims=True)
+            np.exp(q, out=q)
+            q /= q.sum(1, keepdims=True)
+            q[np.arange(len(at)), ids[at] - own * p] -= 1
+            q *= (mask[at] / np.float32(mask.sum()))[:, None]
+            g["wb"][own[first]] = np.add.reduceat(q, first)
+            for k, a, b in spans:
+                np.matmul(rows[a:b].T, q[a:b], out=g["ww"][k])
+                np.matmul(q[a:b], w["ww"][k].T, out=back[a:b])
+            ds[at] += back
         ds = ds.reshape(states.shape)
         dh, dpre = np.zeros_like(h), np.empty((*inputs.shape, 3 * n), np.float32)
         for t in range(len(inputs) - 1, -1, -1):
@@ -333,7 +340,7 @@ def train_shard(texts: list[bytes], vocab: Vocabulary, config: LanguageModelConf
     inputs, targets, fresh, at, _ = grid(ids, offsets, config.lanes, end, max(config.window, len(ids) // config.lanes // 4))
     net = Network(vocab, config, {k: v.copy() for k, v in weights.items()})
     w = net.weights
-    m, v = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}
+    m, v, spare = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(3))
     h = np.zeros((inputs.shape[1], config.width), np.float32)
     spans = range(0, len(inputs), config.window)
     for step, t in enumerate(spans, 1):
@@ -341,27 +348,31 @@ def train_shard(texts: list[bytes], vocab: Vocabulary, config: LanguageModelConf
         if not used.any():
             break
         g, h = net.gradients(inputs[t : t + config.window], targets[t : t + config.window], fresh[t : t + config.window], used, h)
-        norm = math.sqrt(sum(float((x * x).sum()) for x in g.values()))
+        norm = math.sqrt(sum(float(np.vdot(x, x)) for x in g.values()))
         rate = config.rate * min(1.0, step / config.warm) * (1 - 0.9 * step / len(spans))
         for k in w:  # Adam with clipped gradients
-            q = g[k] * np.float32(min(1.0, 1.0 / (norm + 1e-9)))
-            m[k] += 0.1 * (q - m[k])
-            v[k] += 0.01 * (q * q - v[k])
-            w[k] -= np.float32(rate / (1 - 0.9**step)) * m[k] / (np.sqrt(v[k] / np.float32(1 - 0.99**step)) + np.float32(config.damping))
+            q, x = g[k].astype(np.float32, copy=False), spare[k]
+            q *= np.float32(min(1.0, 1.0 / (norm + 1e-9)))
+            m[k] *= np.float32(0.9)
+            v[k] *= np.float32(0.99)
+            m[k] += np.multiply(q, np.float32(0.1), out=x)
+            v[k] += np.multiply(np.multiply(q, q, out=x), np.float32(0.01), out=x)
+            np.sqrt(np.divide(v[k], np.float32(1 - 0.99**step), out=x), out=x)
+            x += np.float32(config.damping)
+            np.divide(m[k], x, out=x)
+            w[k] -= np.multiply(x, np.float32(rate / (1 - 0.9**step)), out=x)
     return w, len(ids)
 
 
 def fit(docs: DataFrame, vocab: Vocabulary, config: LanguageModelConfig) -> dict[str, np.ndarray]:
-    """Weights from rounds of shards on the executors, averaged in two levels, by tokens."""
-    share = min(1.0, max(config.fit_tokens / max(1, vocab.tokens), config.fit_share))
-    shards = max(1, math.ceil(vocab.tokens * share / config.rounds / config.shard_tokens))
+    """Weights from rounds of shards on the executors, averaged in two levels, by tokens. Each text is in one shard of one round."""
+    shards = max(1, math.ceil(vocab.tokens / config.rounds / config.shard_tokens))
     weights = Network(vocab, config).weights
     sizes = sum(x.size for x in weights.values())
+    dealt = lambda seed, n: F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(n)).cast("int")
     for turn in range(config.rounds):
         now = weights
-        lo, hi = share * turn / config.rounds, share * (turn + 1) / config.rounds
-        u = F.pmod(F.xxhash64("doc_id", F.lit(config.seed)), F.lit(1 << 30)) / float(1 << 30)
-        part = docs.where((u >= lo) & (u < hi)).select(F.pmod(F.xxhash64("doc_id", F.lit(config.seed + 1)), F.lit(shards)).cast("int").alias("shard"), "text")
+        part = docs.where(dealt(config.seed, config.rounds) == turn).select(dealt(config.seed + 1, shards).alias("shard"), "text")
 
         def learn(t: pa.Table) -> pa.Table:
             w, n = train_shard([x.encode() for x in t.column("text").to_pylist() if x], vocab, config, now)
@@ -415,7 +426,7 @@ def score_documents(docs: DataFrame, config: LanguageModelConfig = LanguageModel
     train = own.where(~held_out(config))
     counts = written(word_counts(train, config), "counts")
     vocab = vocabulary(counts, config)
-    weights = fit(train.where("doc_id is not null"), vocab, config)
+    weights = fit(train, vocab, config)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in steps(batches, most=4 * STEP):
