@@ -1,11 +1,13 @@
 """Near duplicates among embeddings by NN-descent on a neighbour graph.
 
 Vectors with the same label and the same direction bit for bit are one vertex. The first graph comes from leaves of
-random hyperplane codes (leaves over a bound are dealt into several). In each round every vertex compares the neighbours
+random hyperplane codes (leaves over a bound are dealt into several), with as many bits as the vertex's own label needs
+and as many tables as these bits need. In each round every vertex compares the neighbours
 it has and those that have it with each other; what is nearer replaces what is farther in their lists. Lists that end up
 saturated (all entries at or above the threshold) are enlarged to the whole neighbourhood: their vertices' components,
-taken with a margin below the threshold, are compared in tiles. An audit compares sampled vertices with all rows; while it
-finds too few of their links, lists and leaves grow and rounds go on. Edges at or above the threshold are the links.
+taken with a margin below the threshold, are compared in tiles. An audit compares sampled vertices with all rows, each
+vertex by itself and those outside the tiled groups apart; while it finds too few of their links, lists and leaves grow and
+rounds go on, and after the last attempt whole labels are compared in tiles. Edges at or above the threshold are the links.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,9 +35,13 @@ class DescentConfig:
     leaf: int = 256
     rounds: int = 2
     tile: int = 512
+    #: Rows of a tile where whole labels are compared.
+    whole: int = 2048
     #: The audit: how many vertices it compares with all rows, and the share of their links that has to be found.
     audit: int = 256
     recall: float = 0.97
+    #: The chance, at least, that a pair at the threshold meets in a leaf of an attempt, before leaves are dealt.
+    meet: float = 0.985
     attempts: int = 3
 
 
@@ -91,29 +97,43 @@ def _nearest(ids: np.ndarray, vectors: list[np.ndarray], k: int) -> pa.Table:
 _EDGE = "a long, b long, sim float"
 
 
-def _leaves(vertices: DataFrame, bits: int, config: DescentConfig, seed: int) -> DataFrame:
-    """Edges among vertices of one leaf; each vertex is in one leaf of each table."""
+def _tables(bits: int, config: DescentConfig) -> int:
+    """How many tables it takes for a pair at the threshold to meet: more bits, more tables."""
+    both = (1 - math.acos(config.threshold) / math.pi) ** bits
+    return max(config.tables, math.ceil(math.log(1 - config.meet) / math.log(1 - both))) if bits else 1
+
+
+def _bits(count: Column, config: DescentConfig) -> Column:
+    """Bits of a code for a label of so many vertices; one that fits a leaf isn't cut."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(count / config.leaf))).cast("int")
+
+
+def _leaves(vertices: DataFrame, counts: DataFrame, labels: int, config: DescentConfig, seed: int) -> DataFrame:
+    """Edges among vertices of one leaf; each vertex is in one leaf of each table of its label."""
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
+        planes: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
             units = _matrix(b.column("unit"))
-            out = np.zeros((len(units), config.tables), np.int64)
-            for i, v in enumerate(units):
-                if len(v) not in planes:
-                    planes[len(v)] = np.random.default_rng(seed + len(v)).standard_normal((config.tables * bits, len(v)))
-                out[i] = ((planes[len(v)] @ v > 0).reshape(config.tables, bits) << np.arange(bits)).sum(1)
-            yield pa.RecordBatch.from_arrays([b.column("vertex"), b.column("label"), pa.array([x.astype(np.float32).tobytes() for x in units], pa.binary()), pa.array(out.tolist(), pa.list_(pa.int64()))], ["vertex", "label", "unit", "codes"])
-
-    coded = vertices.mapInArrow(codes, vertices.select("vertex", "label", "unit").schema.add("codes", T.ArrayType(T.LongType())))
-    dealt = written(coded.select("vertex", "label", "unit", F.posexplode("codes").alias("tab", "code")), "leaves")
+            out = []
+            for v, bits in zip(units, b.column("bits").to_pylist(), strict=True):
+                n = _tables(bits, config)
+                if (len(v), bits) not in planes:
+                    planes[len(v), bits] = np.random.default_rng(seed + len(v)).standard_normal((n * bits, len(v)))
+                out.append(((planes[len(v), bits] @ v > 0).reshape(n, bits).astype(np.int64) << np.arange(bits)).sum(1))
+            yield pa.RecordBatch.from_arrays([b.column("vertex"), b.column("label"), pa.array([x.astype(np.float32).tobytes() for x in units], pa.binary()), pa.array([x.tolist() for x in out], pa.list_(pa.int64()))], ["vertex", "label", "unit", "codes"])
+
+    cut = vertices.join(small(counts.select("label", _bits(F.col("count"), config).alias("bits")), labels), "label").select("vertex", "label", "unit", "bits")
+    coded = cut.mapInArrow(codes, vertices.select("vertex", "label", "unit").schema.add("codes", T.ArrayType(T.LongType())))
+    dealt = written(coded.select("vertex", "label", "unit", F.size("codes").alias("tables"), F.posexplode("codes").alias("tab", "code")), "leaves")
     sizes = dealt.groupBy("label", "tab", "code").agg(F.ceil(F.count("*") / (2 * config.leaf)).alias("parts"))
     full = written(sizes.where("parts > 1"), "leaf-sizes")
     parts = F.coalesce("parts", F.lit(1))
     dealt = dealt.join(small(full, full.count()), ["label", "tab", "code"], "left").withColumn("part", F.pmod(F.xxhash64("vertex", "tab"), parts))
 
     def near(t: pa.Table) -> pa.Table:
-        return _nearest(t.column("vertex").to_numpy(), _matrix(t.column("unit"), np.float32), max(4, config.neighbours // 2))
+        most = config.neighbours if t.column("tables")[0].as_py() == 1 else max(4, config.neighbours // 2)
+        return _nearest(t.column("vertex").to_numpy(), _matrix(t.column("unit"), np.float32), most)
 
     return dealt.groupBy("label", "tab", "code", "part").applyInArrow(near, _EDGE)
 
@@ -139,7 +159,8 @@ def _round(graph: DataFrame, vertices: DataFrame, k: int) -> DataFrame:
 
 
 def _tiles(members: DataFrame, config: DescentConfig) -> DataFrame:
-    """(vertex, links, to): in each group of members the links of each vertex, copies counted, and the least vertex linked."""
+    """(vertex, links, to): in each group of members the links of each vertex, copies counted, and the least vertex that
+    links within the tile reach."""
     sizes = members.groupBy("group").agg(F.ceil(F.count("*") / config.tile).cast("int").alias("tiles"))
     m = members.join(sizes, "group").withColumn("t", F.pmod(F.xxhash64("vertex"), F.col("tiles")).cast("int"))
     right = m.select("*", F.explode(F.sequence(F.lit(0), F.col("t"))).alias("i")).select("group", "i", F.col("t").alias("j"), F.lit(1).alias("side"), "vertex", "copies", "unit")
@@ -157,9 +178,19 @@ def _tiles(members: DataFrame, config: DescentConfig) -> DataFrame:
                 continue
             hit = np.stack([units[i] for i in a]) @ np.stack([units[i] for i in b]).T >= config.threshold
             hit &= ids[a][:, None] != ids[b][None, :]
-            for h, x, y in ((hit, a, b), *([] if one else [(hit.T, b, a)])):
-                least = np.where(h, ids[y][None, :], np.iinfo(np.int64).max).min(1)
-                out.append((ids[x], h @ copies[y], least))
+            a, b, hit = a[hit.any(1)], b[hit.any(0)], hit[hit.any(1)][:, hit.any(0)]
+            if not len(a):
+                continue
+            top, x, y = np.iinfo(np.int64).max, ids[a], ids[b]
+            while True:  # the least vertex reached; a link to the least neighbour alone could part what another link joins
+                nx = np.minimum(x, np.where(hit, y[None, :], top).min(1))
+                ny = np.minimum(y, np.where(hit, nx[:, None], top).min(0))
+                if (nx == x).all() and (ny == y).all():
+                    break
+                x, y = nx, ny
+            out.append((ids[a], hit @ copies[b], x))
+            if not one:
+                out.append((ids[b], hit.T @ copies[a], y))
         if not out:
             return pa.table({"vertex": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "to": np.zeros(0, np.int64)})
         v, n, least = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -169,9 +200,12 @@ def _tiles(members: DataFrame, config: DescentConfig) -> DataFrame:
     return left.unionByName(right).repartition("group", "i", "j").groupBy("group", "i", "j").applyInArrow(compare, "vertex long, links long, to long")
 
 
-def _audit(vertices: DataFrame, links: DataFrame, config: DescentConfig) -> float:
-    """The share of sampled vertices' links that was found; the sample is compared with all rows."""
-    sample = vertices.orderBy(F.xxhash64("vertex", F.lit(7))).limit(config.audit).select("vertex", "label", "unit").collect()
+def _audit(vertices: DataFrame, links: DataFrame, config: DescentConfig, among: DataFrame | None = None) -> float:
+    """The share of its links that was found, on average over sampled vertices with links; the sample, dealt over the labels
+    of among (of all vertices without it), is compared with all rows."""
+    key = F.xxhash64("vertex", F.lit(7))
+    sample = (vertices if among is None else among).groupBy("label", F.pmod(F.xxhash64("vertex"), F.lit(config.audit)).alias("part")).agg(F.min_by(F.struct("vertex", "unit"), key).alias("v"))
+    sample = sample.select("v.vertex", "label", "v.unit").orderBy(key).limit(config.audit).collect()
     by = [(r.vertex, r.label, np.frombuffer(r.unit, np.float64)) for r in sample]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,8 +224,8 @@ def _audit(vertices: DataFrame, links: DataFrame, config: DescentConfig) -> floa
     if not by:
         return 1.0
     true = vertices.mapInArrow(count, "vertex long, n long").groupBy("vertex").agg(F.sum("n").alias("n"))
-    got = true.join(links.select("vertex", "links"), "vertex", "left").agg(F.sum("n"), F.sum(F.least("n", F.coalesce("links", F.lit(0))))).first()
-    return 1.0 if not got[0] else got[1] / got[0]
+    got = true.where("n > 0").join(links.select("vertex", "links"), "vertex", "left").agg(F.avg(F.least("n", F.coalesce("links", F.lit(0))) / F.col("n"))).first()
+    return 1.0 if got[0] is None else got[0]
 
 
 def near_duplicates(vectors: DataFrame, config: DescentConfig = DescentConfig()) -> DataFrame:
@@ -203,14 +237,13 @@ def near_duplicates(vectors: DataFrame, config: DescentConfig = DescentConfig())
     nothing, has no component and is kept.
     """
     rows, vertices = _vertices(vectors)
-    counts = vertices.groupBy("label").count().agg(F.max("count"), F.sum("count")).first()
-    most = counts[0] or 1
+    counts = written(vertices.groupBy("label").count(), "labels")
+    labels = counts.count()
     sims = vertices.select("vertex", "copies")
     graph, links, joins = None, None, None
     for attempt in range(config.attempts):
         now = replace(config, neighbours=config.neighbours << attempt, leaf=config.leaf << attempt)
-        bits = max(1, math.ceil(math.log2(max(2, most / now.leaf))))
-        edges = _leaves(vertices, bits, now, 1000 * attempt)
+        edges = _leaves(vertices, counts, labels, now, 1000 * attempt)
         graph = written(_lists(edges if graph is None else edges.unionByName(graph), now.neighbours), "graph")
         for _ in range(config.rounds + attempt):
             graph = written(_lists(graph.unionByName(_round(graph, vertices, now.neighbours)), now.neighbours), "graph")
@@ -225,8 +258,13 @@ def near_duplicates(vectors: DataFrame, config: DescentConfig = DescentConfig())
         listed = sparse.join(sims.withColumnRenamed("vertex", "b"), "b").groupBy(F.col("a").alias("vertex")).agg(F.sum("copies").alias("links"))
         links = written(listed.unionByName(tiled.groupBy("vertex").agg(F.sum("links").alias("links"))), "links")
         joins = pairs.unionByName(tiled.select(F.col("vertex").alias("a"), F.col("to").alias("b")))
-        if _audit(vertices, links, config) >= config.recall:
+        apart = vertices.join(dense.select("vertex"), "vertex", "left_anti")
+        if _audit(vertices, links, config) >= config.recall and _audit(vertices, links, config, apart) >= config.recall:
             break
+    else:
+        tiled = written(_tiles(vertices.withColumn("group", F.col("label")), replace(config, tile=config.whole)), "tiles")
+        links = written(tiled.groupBy("vertex").agg(F.sum("links").alias("links")), "links")
+        joins = tiled.select(F.col("vertex").alias("a"), F.col("to").alias("b"))
     comp = components(joins).withColumnRenamed("node", "vertex")
     out = rows.join(links, "vertex", "left").join(comp, "vertex", "left")
     n = F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))

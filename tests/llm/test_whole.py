@@ -2,7 +2,9 @@
 
 from dataclasses import replace
 
-from floorwright.llm import recurrent_lm
+import numpy as np
+
+from floorwright.llm import nn_descent, recurrent_lm
 
 
 def test_language_model_fits_on_all_texts_at_any_size(spark):
@@ -15,3 +17,35 @@ def test_language_model_fits_on_all_texts_at_any_size(spark):
         after = recurrent_lm.fit(docs, replace(vocab, tokens=tokens), config)["emb"]
         read = recurrent_lm._ids(*recurrent_lm._tokens([t.encode() for _, t in rows], config)[:2], vocab)[0]
         assert (abs(after - before)[read].max(1) > 1e-6).all()
+
+
+def _small_and_hot():
+    """A hot label with a dense cloud, and 200 labels of two pairs each at a cosine of about 0.935."""
+    r = np.random.default_rng(1)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    a, cloud = unit(r.standard_normal((400, 32))), unit(r.standard_normal(32) + 0.02 * r.standard_normal((300, 32)))
+    side = r.standard_normal((400, 32))
+    side = unit(side - (side * a).sum(1, keepdims=True) * a)
+    x = np.concatenate([a, 0.935 * a + np.sqrt(1 - 0.935**2) * side, cloud, unit(r.standard_normal((6000, 32)))])
+    return x, [1 + k % 200 for k in range(800)] + [0] * 6300
+
+
+def test_nn_descent_small_labels_beside_a_hot_one(spark):
+    x, labels = _small_and_hot()
+    df = spark.createDataFrame([(k, v.tolist(), lab) for k, (v, lab) in enumerate(zip(x, labels, strict=True))], "vec_id long, embedding array<double>, label int")
+    got = {g.vec_id: g.n_links for g in nn_descent.near_duplicates(df, nn_descent.DescentConfig(leaf=4)).collect()}
+    assert sum(got[k] == 0 for k in range(800)) == 0
+
+
+def test_nn_descent_compares_all_where_the_audit_fails(spark, monkeypatch):
+    x, labels = _small_and_hot()
+    x, labels = x[:1200], labels[:1200]
+    monkeypatch.setattr(nn_descent, "_audit", lambda *a: 0.0)
+    df = spark.createDataFrame([(k, v.tolist(), lab) for k, (v, lab) in enumerate(zip(x, labels, strict=True))], "vec_id long, embedding array<double>, label int")
+    got = {g.vec_id: (g.n_links, g.component_id) for g in nn_descent.near_duplicates(df, nn_descent.DescentConfig(attempts=1, rounds=0, neighbours=1, leaf=1, whole=64)).collect()}
+    lab = np.array(labels)
+    hit = (x @ x.T >= 0.93) & (lab[:, None] == lab[None, :])
+    first = np.arange(len(x))
+    for _ in range(50):
+        first = np.where(hit, first[None, :], len(x)).min(1)
+    assert got == {k: (int(n), int(c)) for k, (n, c) in enumerate(zip(hit.sum(1) - 1, first, strict=True))}
