@@ -16,6 +16,8 @@ CLOSED_BY = {"p": BLOCK - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "d
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|aria-label|hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _RAW_END = {name: re.compile(rf"</{name}\b[^>]*(?:>|$)", re.I) for name in ("script", "style", "textarea", "title", "noscript", "iframe", "template")}
+#: Elements that belong in head; any other that is shown closes a head left open.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript object script style template title head html".split())
 _SPACE = re.compile(r"\s+")
 _PLAIN = re.compile(r"[a-z0-9]+")
 
@@ -27,23 +29,25 @@ class Block:
     links: int  # characters inside <a>
 
 
-def _name(tag: str, attrs: str) -> str:
+def _name(tag: str, attrs: str) -> tuple[str, bool]:
+    """The tag with its class and id words, and whether its own attributes hide it; a class of that name is only a word."""
     if not attrs or attrs.isspace():
-        return tag
-    words = []
+        return tag, False
+    words, hidden = [], False
     for key, value in _ATTR.findall(attrs):
         key = key.lower()
         if key == "hidden" or key == "style" and "display:none" in value.replace(" ", "").lower():
             words.append("hidden")
+            hidden = True
         elif key != "style":
             words += _PLAIN.findall(value.lower())
-    return ".".join([tag, *words])
+    return ".".join([tag, *words]), hidden
 
 
 def blocks(page: str) -> list[Block]:
     """All leaf blocks of the page in order, hidden elements left out. Character references are decoded."""
     out: list[Block] = []
-    open_: list[tuple[str, str]] = []  # (tag, name)
+    open_: list[tuple[str, str, bool]] = []  # (tag, name, hidden)
     parts: list[str] = []
     links = 0
     hidden = 0
@@ -54,15 +58,15 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = _SPACE.sub(" ", "".join(parts)).strip()
             if text:
-                out.append(Block(text, tuple(n for t, n in open_ if t in BLOCK or "." in n), links))
+                out.append(Block(text, tuple(n for t, n, _ in open_ if t in BLOCK or "." in n), links))
             parts.clear()
         links = 0
 
     def close(k: int) -> None:
         """Closes open_[k] and all inside it."""
         nonlocal hidden, in_link
-        for t, n in open_[k:]:
-            hidden -= t in HIDDEN or n.endswith(".hidden") or ".hidden." in n
+        for t, _, gone in open_[k:]:
+            hidden -= gone
             in_link -= t == "a"
         del open_[k:]
 
@@ -90,11 +94,13 @@ def blocks(page: str) -> list[Block]:
         if m[1]:
             for k in range(len(open_) - 1, -1, -1):
                 if open_[k][0] == tag:
-                    if tag in BLOCK or any(t in BLOCK for t, _ in open_[k:]):
+                    if tag in BLOCK or any(t in BLOCK for t, _, _ in open_[k:]):
                         end()
                     close(k)
                     break
             continue
+        if tag not in IN_HEAD and open_ and open_[-1][0] == "head":
+            close(len(open_) - 1)
         if tag in BLOCK:
             end()
         elif tag == "br":
@@ -107,9 +113,10 @@ def blocks(page: str) -> list[Block]:
                 break
         if tag in VOID or m[3].endswith("/") and tag in HIDDEN:
             continue
-        name = _name(tag, m[3])
-        open_.append((tag, name))
-        hidden += tag in HIDDEN or name.endswith(".hidden") or ".hidden." in name
+        name, gone = _name(tag, m[3])
+        gone = gone or tag in HIDDEN
+        open_.append((tag, name, gone))
+        hidden += gone
         in_link += tag == "a"
         if tag in _RAW_END:
             stop = _RAW_END[tag].search(page, at)

@@ -4,7 +4,7 @@ from dataclasses import replace
 
 import numpy as np
 
-from floorwright.llm import nn_descent, recurrent_lm
+from floorwright.llm import html_blocks, nn_descent, recurrent_lm
 
 
 def test_language_model_fits_on_all_texts_at_any_size(spark):
@@ -49,3 +49,12 @@ def test_nn_descent_compares_all_where_the_audit_fails(spark, monkeypatch):
     for _ in range(50):
         first = np.where(hit, first[None, :], len(x)).min(1)
     assert got == {k: (int(n), int(c)) for k, (n, c) in enumerate(zip(hit.sum(1) - 1, first, strict=True))}
+
+
+def test_html_blocks_keep_what_is_shown():
+    said = lambda page: [b.text for b in html_blocks.blocks(page)]
+    for attr in ('class="overflow-hidden"', 'class="hidden-xs"', 'id="hidden-valley"', 'aria-label="Hidden gems"'):
+        assert said(f"<body><div {attr}><p>the article</p></div>") == ["the article"]
+    assert said('<div hidden><p>gone</p></div><div style="display:none">gone</div><p>shown') == ["shown"]
+    assert said("<html><head><meta charset=utf-8><title>T</title><body><p>text</p></body></html>") == ["text"]
+    assert said("<html><head><title>T</title><h1>text</h1>more") == ["text", "more"]
