@@ -1,10 +1,10 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search, DataFrame functions only.
+"""Benchmark decontamination: MinHash containment search by prefix sketches with a size test, DataFrame functions only.
 
-An item of m distinct shingles is contained in a document if at least need(m) = ceil(.75 m) of them are in it. Items are
-partitioned by m into bands; an item's signature is its k smallest shingle hashes (a bottom-k MinHash sketch), with
+An item of m distinct shingles is contained in a document if at least need(m) = ceil(.75 m) of them are in it. Items
+aren't partitioned by size, all share one table of hashes; an item's signature is its k smallest shingle hashes (a bottom-k MinHash sketch), with
 k = m - need(m) + 1, the least size for which no document that contains the item can miss all of the sketch. A document
-is probed with all its shingles, so a short item is found anywhere inside a long text; bands whose items need more
-shingles than a document has are passed over. What the sketches find is then counted over the items' whole sets.
+is probed with all its shingles, so a short item is found anywhere inside a long text; a hash all of whose items
+need more shingles than the document has is passed over. What the sketches find is then counted over the items' whole sets.
 
 The document side is never shuffled: it meets the sketches in a broadcast join if these have been counted and are small,
 and in a shuffle join on the hash else. Only hits move.
