@@ -1,7 +1,7 @@
 """N-gram Jaccard self-join: a blocked sparse product of the document by n-gram incidence.
 
 The incidence matrix has a row for each text and a column for each distinct word shingle; the product of it with its
-transpose holds every overlap count. It is never formed whole:
+transpose holds every overlap count. It is never formed whole, and a row travels packed (its hashes in one binary value):
 
 1. Columns, first pass. Of each text only the p(n) smallest shingle hashes go on, p(n) = n - ceil(.75 n) + ceil(n / 8).
    Two texts that link share at least ceil(min(n, n') / 8) of them, whatever else they hold. Blocks of columns (ranges
@@ -10,14 +10,17 @@ transpose holds every overlap count. It is never formed whole:
    counted there and sent once, so a very common passage costs one entry for each batch. Of the texts that are left the
    same is done over whole sets: those with fewer recurring shingles than ceil(.75 n) leave too.
 2. Exact copies of a set are one row from here on.
-3. Blocks of the product, repeated until no column holds rows of two components. Each text's columns are ordered by how
-   many components they hold, rarest first, and cut at the size-derived bound: the columns left out can't be the only ones
-   that a linked pair shares. In a column, rows of one component need no product. What is left is either multiplied as it
-   is (if few: rows outside the column's largest component against all its rows), or against a few rows only, others in each
-   round, which joins large groups of copies in a number of products that is linear in the rows.
-4. Every overlap that these products suggest is counted over the two whole sets and kept if 100 * overlap >= 75 * union.
-
-So no linked pair of different components is left out, and no group of copies is expanded into its pairs.
+3. Contraction. In each of a few rounds every row is multiplied with one row of another component, the one it meets most
+   often in the columns that are smallest under several hash orders; the overlap of both whole sets is counted, and links
+   join components. The work is linear in the rows, however large a group of near copies is.
+4. Blocks of columns count, for each row, the columns that hold rows of another component. With fewer of them than the
+   size-derived bound ceil(.75 n) a row can't link with another component, and leaves; this is repeated while rows leave.
+5. The rest of the product, between components only. Each row's columns are ordered by how many components they hold,
+   rarest first, and cut at the size-derived bound: the columns left out can't be the only ones that a linked pair shares.
+   Blocks of these columns accumulate the overlap counts of pairs of different components; a pair whose count and columns
+   left out can't reach the bound is discarded, the others are counted over the two whole sets.
+
+Steps 1, 4 and 5 lose no link between components; step 3 only saves work, so its number of rounds changes no result.
 """
 
 from __future__ import annotations
@@ -36,10 +39,10 @@ from floorwright.llm.text import STEP, mix, shingle_sets, steps
 WIDTH, PERCENT = 5, 75
 #: Rows of a block of columns in step 1, as entries of eight bytes.
 BLOCK = 1 << 20
-#: Products are formed as they are if they have at most so many entries for each row of the columns, else against a few.
-DIRECT = 12
-#: Rows of a column that its other rows are multiplied with otherwise; of the products of a row half as many are counted out.
-PIVOTS = 6
+#: Rounds of contraction and the hash orders in each.
+ROUNDS, ORDERS = 4, 8
+#: Parts into which the rows of one column are dealt, each with a row of its own to be multiplied with.
+SALTS = 64
 
 
 def needed(n: int | np.ndarray, percent: int = PERCENT):
@@ -159,7 +162,39 @@ def _columns(sets: DataFrame) -> DataFrame:
     return sets.mapInArrow(run, "doc_id long, n long, h long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _smallest(sets: DataFrame, seed: int) -> DataFrame:
+    """(doc_id, n, component, k, h): for each row and each of several hash orders the smallest column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 1000):
+                own = b.slice(i, 1000)
+                cols = [np.frombuffer(x.as_buffer(), np.uint64) for x in own.column("hashes")]
+                starts, h = np.cumsum([0] + [len(c) for c in cols[:-1]]), np.concatenate(cols)
+                for k in range(ORDERS):
+                    least = np.minimum.reduceat(mix(h + np.uint64(seed * ORDERS + k + 1) * np.uint64(0x9E3779B97F4A7C15)), starts)
+                    yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("n"), own.column("component"), pa.array(np.full(len(cols), k, np.int32)), pa.array(least.view(np.int64))], ["doc_id", "n", "component", "k", "h"])
+
+    return sets.select("doc_id", "n", "component", "hashes").mapInArrow(run, "doc_id long, n long, component long, k int, h long")
+
+
+def _suggested(sets: DataFrame, seed: int, percent: int) -> DataFrame:
+    """(a, b): for each row the row of another component that it meets in most of its smallest columns, if there is one.
+
+    A column's rows are dealt into parts by a hash; each part has one row that its others meet, and these meet the column's.
+    """
+    own = _smallest(sets, seed).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(SALTS)))
+    who = F.struct(F.xxhash64("doc_id", F.lit(seed + 1)).alias("x"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    parts = own.groupBy("k", "h", "part").agg(F.min(who).alias("p"), F.count("*").alias("rows"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    tops = parts.groupBy("k", "h").agg(F.min("p").alias("top"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("k", "h", "top")
+    one = own.join(parts.where("lo <> hi").select("k", "h", "part", "p"), ["k", "h", "part"]).select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), "p.*")
+    two = parts.join(tops, ["k", "h"]).select(F.col("p.b").alias("a"), F.col("p.nb").alias("na"), F.col("p.cb").alias("ca"), F.col("top.b").alias("b"), F.col("top.nb").alias("nb"), F.col("top.cb").alias("cb"))
+    met = one.select("a", "na", "ca", "b", "nb", "cb").unionByName(two).where((F.col("ca") != F.col("cb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent))
+    met = met.groupBy("a", "b").agg(F.count("*").alias("times"))
+    return met.groupBy("a").agg(F.max_by("b", F.struct("times", F.xxhash64("b", F.lit(seed)))).alias("b"))
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b) those whose whole sets reach the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,18 +206,77 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    pairs = written(pairs, "pairs")
-    n = pairs.count()
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = sets.join(small(ids, 2 * n), "doc_id", "left_semi")
-    left = small(pairs, n).join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), "a")
+    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), "a")
     return left.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb")), "b").select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
 
 
-def links(docs: DataFrame, sizes: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def _between(sets: DataFrame, blocks: int) -> DataFrame:
+    """(doc_id, shared): how many columns of a row hold a row of another component; only rows with any."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                b = whole.slice(at, 2000)
+                ids, comps = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "component"))
+                cols = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column("hashes")]
+                h, row = np.concatenate(cols), np.repeat(np.arange(len(cols)), [len(c) for c in cols])
+                here = _of_several(h, comps[row])
+                n = np.bincount(row[here], minlength=len(cols))
+                met = np.unique(h[here])
+                h, row = h[~here], row[~here]
+                yield from _packed(blocks, h, ids[row], comps[row], met, ids[n > 0], n[n > 0])
+
+    def count(t: pa.Table) -> pa.Table:
+        h, ids, comps, met, who, n = (np.concatenate([np.frombuffer(x.as_buffer(), k) for x in t.column(c)]) for c, k in _ENTRY)
+        # a column that one batch has found in several components may stand here beside those of other batches
+        here = _of_several(np.concatenate([h, met, met]), np.concatenate([comps, np.full(len(met), np.iinfo(np.int64).min), np.full(len(met), np.iinfo(np.int64).max)]))[: len(h)]
+        i, c = np.unique(ids[here], return_counts=True)
+        return pa.table({"doc_id": np.concatenate([who, i]), "shared": np.concatenate([n, c.astype(np.int64)])})
+
+    entries = sets.select("doc_id", "component", "hashes").mapInArrow(cut, "block int, " + ", ".join(f"{c} binary" for c, _ in _ENTRY))
+    return entries.groupBy("block").applyInArrow(count, "doc_id long, shared long").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
+
+
+_ENTRY = [("h", np.uint64), ("ids", np.int64), ("comps", np.int64), ("met", np.uint64), ("who", np.int64), ("n", np.int64)]
+
+
+def _of_several(h: np.ndarray, comps: np.ndarray) -> np.ndarray:
+    """Whether an entry's column holds entries of several components."""
+    if not len(h):
+        return np.zeros(0, bool)
+    order = np.lexsort((comps, h))
+    a, c = h[order], comps[order]
+    first = np.concatenate(([True], a[1:] != a[:-1]))
+    group = np.cumsum(first) - 1
+    begins = np.flatnonzero(first)
+    ends = np.append(begins[1:], len(a)) - 1
+    out = np.empty(len(h), bool)
+    out[order] = (c[begins] != c[ends])[group]
+    return out
+
+
+def _packed(blocks: int, h: np.ndarray, ids: np.ndarray, comps: np.ndarray, met: np.ndarray, who: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each block of columns that has any of the entries; what is counted already goes with the first."""
+    block = lambda x: ((x >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+    order, of = np.argsort(h), np.arange(blocks + 1)
+    h, ids, comps = h[order], ids[order], comps[order]
+    i, j = np.searchsorted(block(h), of), np.searchsorted(block(met), of)
+    out: list[tuple] = [((int(who[0]) if len(who) else 0) % blocks, b"", b"", b"", b"", who.astype(np.int64).tobytes(), n.astype(np.int64).tobytes())]
+    for k in np.flatnonzero((np.diff(i) > 0) | (np.diff(j) > 0)).tolist():
+        at = slice(i[k], i[k + 1])
+        out.append((k, h[at].tobytes(), ids[at].tobytes(), comps[at].tobytes(), met[j[k] : j[k + 1]].tobytes(), b"", b""))
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 6), strict=True)], ["block", *[c for c, _ in _ENTRY]])
+
+
+def _blocks(sets: DataFrame) -> int:
+    return int(min(4096, max(24, (sets.agg(F.sum("n")).first()[0] or 0) // BLOCK)))
+
+
+def links(docs: DataFrame, sizes: DataFrame, width: int = WIDTH, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
     """Links (a, b) between texts whose sets differ, enough of them to connect every component.
 
     sizes: what set_sizes() gives for docs, written. Exact copies of a set stand under the least doc_id that has it.
+    rounds: of contraction; with any number, 0 included, the components are the same.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spark = docs.sparkSession
@@ -192,69 +286,70 @@ def links(docs: DataFrame, sizes: DataFrame, width: int = WIDTH, percent: int =
     first = sizes.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "n")
     some = F.greatest(F.lit(1), F.ceil(F.ceil(F.lit(percent) * F.col("n") / 100) / 8))
     left = written(first.join(shared, "doc_id").where(F.col("shared") >= some).select("doc_id").distinct(), "candidates")
-    n_left = left.count()
-    sets = written(_sets(docs.join(small(left, n_left), "doc_id", "left_semi"), width), "sets")
+    every = written(_sets(docs.join(small(left, left.count()), "doc_id", "left_semi"), width), "sets")
+    dropped(left)
     # among these, over whole sets: with fewer recurring shingles than the least overlap nothing can link
     least = F.greatest(F.lit(1), F.ceil(F.lit(percent) * F.col("n") / 100))
-    entries = sets.agg(F.sum("n")).first()[0] or 0
-    shared = _recurring(sets, _whole_sets, int(min(4096, max(24, entries // BLOCK))))
-    left = written(sets.select("doc_id", "n").join(shared, "doc_id").where(F.col("shared") >= least).select("doc_id").distinct(), "candidates")
-    near = written(sets.join(small(left, left.count()), "doc_id", "left_semi"), "sets")
-    dropped(sets)
-    sets = near
-    x = written(_columns(sets), "columns")
-    found = written(spark.createDataFrame([], "a long, b long"), "links")
-    comp = spark.createDataFrame([(-(1 << 63), -(1 << 63))], "node long, component long")  # none yet, but the plan of every round is the same
-    stalled = False
-    for turn in range(40):
-        # how many components each column holds; a column of one needs no product
-        own = x.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", "h", F.coalesce("component", "doc_id").alias("comp"))
-        comps = own.select("h", "comp").distinct().groupBy("h").agg(F.count("*").alias("held")).where("held > 1")
-        y = written(own.join(comps, "h"), "shared")
-        # columns that are left out in an earlier round were of one component then and still are
-        alone = F.first("n") - F.count("*")
-        open_ = y.groupBy("doc_id").agg((F.first("n") - F.first(least) + 1 - alone).alias("take")).where("take > 0")
-        rest = written(y.join(open_, "doc_id"), "open")
-        rank = F.expr("row_number() over (partition by doc_id order by held, h)")
-        used = rest.withColumn("rank", rank).where("rank <= take").select("h", "doc_id", "n", "comp")
-        of = used.groupBy("h", "comp").agg(F.count("*").alias("rows"))
-        most = of.groupBy("h").agg(F.max_by("comp", F.struct("rows", "comp")).alias("most"), F.sum("rows").alias("rows"), F.max("rows").alias("top"), F.count("*").alias("held")).where("held > 1")
-        product = written(used.join(most.select("h", "most", "rows", "top"), "h"), "product")
-        size = product.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("comp") != F.col("most"), F.col("rows"))), F.lit(0)), F.approx_count_distinct("doc_id")).first()
-        if not size[0]:
+    shared = _recurring(every, _whole_sets, _blocks(every))
+    left = written(every.select("doc_id", "n").join(shared, "doc_id").where(F.col("shared") >= least).select("doc_id").distinct(), "candidates")
+    sets = written(every.join(small(left, left.count()), "doc_id", "left_semi"), "sets")
+    dropped(left)
+    dropped(every)
+    found = [spark.createDataFrame([], "a long, b long")]
+
+    def all_found() -> DataFrame:
+        out = found[0]
+        for f in found[1:]:
+            out = out.unionByName(f)
+        return out
+
+    def placed(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
+        if comp is None:
+            return rows.withColumn("component", F.col("doc_id"))
+        of = rows.select("doc_id").join(comp.withColumnRenamed("node", "doc_id"), "doc_id")
+        of = written(of.distinct(), "placed")
+        return rows.join(small(of, of.count()), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+
+    comp = None
+    for turn in range(rounds):
+        new = written(_linked(_suggested(placed(sets, comp), 2 * turn, percent), sets, percent), "links")
+        found.append(new)
+        if not new.count():
             break
-        direct = stalled or size[1] <= max(100_000, DIRECT * size[0])
-        one = product.select("h", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("most"))
-        if direct:
-            other = product.select("h", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-            one = one.where("ca <> most")
-        else:
-            picks = [F.min(F.struct(F.xxhash64("doc_id", F.lit(PIVOTS * turn + k)), "doc_id", "n", "comp")) for k in range(PIVOTS)]
-            other = product.groupBy("h").agg(F.array_distinct(F.array(*[F.struct(p["doc_id"].alias("b"), p["n"].alias("nb"), p["comp"].alias("cb")) for p in picks])).alias("p"))
-            other = other.select("h", F.explode("p").alias("p")).select("h", "p.*")
-        pairs = one.join(other, "h").where((F.col("ca") != F.col("cb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent))
-        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("overlap"))
-        if not direct:  # for each row the products with the largest overlaps
-            best = F.slice(F.sort_array(F.collect_list(F.struct("overlap", "b")), asc=False), 1, PIVOTS // 2)
-            pairs = pairs.groupBy("a").agg(best.alias("p")).select("a", F.explode("p.b").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = written(_verified(pairs, sets, percent), "links")
-        n_new = new.count()
-        found = found.unionByName(new)
-        if direct:
+        comp = components(all_found())
+    while True:
+        now = placed(sets, comp)
+        open_ = written(now.select("doc_id", "n").join(_between(now, _blocks(sets)), "doc_id").where(F.col("shared") >= least).select("doc_id"), "open")
+        n_open, before = open_.count(), sets.count()
+        rest = written(sets.join(small(open_, n_open), "doc_id", "left_semi"), "sets")
+        dropped(sets)
+        dropped(open_)
+        sets = rest
+        if not n_open:
+            return all_found()
+        if n_open * 10 > before * 9:
             break
-        stalled = n_new * 50 < size[2]  # hardly a row has found another component
-        # only the open rows can still link with another component, in columns of more than one
-        comp = components(found)
-        for t in (x, y, product):
-            dropped(t)
-        x = rest.select("doc_id", "n", "h")
-    else:
-        raise RuntimeError("the product did not come to an end")
-    return found
-
-
-def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    own = _columns(sets).join(placed(sets.select("doc_id"), comp), "doc_id").select("doc_id", "n", "h", F.col("component").alias("comp"))
+    own = written(own, "columns")
+    held = own.select("h", "comp").distinct().groupBy("h").agg(F.count("*").alias("held")).where("held > 1")
+    y = written(own.join(held, "h"), "shared")
+    rank = F.expr("row_number() over (partition by doc_id order by held, h)")
+    # columns of one component count first: of n columns, n - least + 1 have one that a linked row has too
+    take = F.col("n") - least + 1 - (F.col("n") - F.expr("count(*) over (partition by doc_id)"))
+    used = y.withColumn("rank", rank).withColumn("take", take).where("rank <= take").select("h", "doc_id", "n", "comp")
+    one = used.select("h", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+    other = used.select("h", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+    pairs = one.join(other, "h").where("ca <> cb and a < b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("overlap"))
+    # of the two rows the one whose used columns end first leaves out at most least - 1 columns that the pair shares
+    pairs = pairs.where(F.col("overlap") + F.ceil(F.lit(percent) * F.greatest("na", "nb") / 100) - 1 >= F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent)))
+    found.append(written(_linked(pairs.select("a", "b"), sets, percent), "links"))
+    for t in (own, y):
+        dropped(t)
+    return all_found()
+
+
+def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text; other columns are ignored).
 
     n_shingles: size of the set of distinct shingles. component_id: least doc_id reachable by links, itself included; two
@@ -263,7 +358,7 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     A null doc_id links with nothing and has a null component_id.
     """
     sizes = written(set_sizes(docs, width), "sizes")
-    found = links(docs, sizes, width, percent)
+    found = links(docs, sizes, width, percent, rounds)
     first = sizes.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("first"))
     copies = sizes.where("doc_id is not null").join(first, ["n", "h1", "h2"]).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     comp = components(found.unionByName(copies))

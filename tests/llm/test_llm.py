@@ -51,7 +51,7 @@ def corpus(seed=0, n=120):
 
 def frame(spark, texts, **more):
     rows = [(i, t, "clash", 1) for i, t in enumerate(texts)]
-    return spark.createDataFrame(rows, "doc_id long, text string, n long, h long" if False else "doc_id long, text string, shared string, h int")
+    return spark.createDataFrame(rows, "doc_id long, text string, shared string, h int")
 
 
 def linked(texts, percent=75):
@@ -83,12 +83,23 @@ def test_word_hashes_equal_words():
     assert np.diff(at).tolist() == [len(words(t)) for t in texts]
 
 
-@pytest.mark.parametrize("direct", [6, 0])
-def test_ngram_join_against_all_pairs(spark, monkeypatch, direct):
+@pytest.mark.parametrize("rounds", [4, 1, 0])
+def test_ngram_join_against_all_pairs(spark, rounds):
     texts = corpus()
-    if not direct:  # as for large groups: against one row in each round
-        monkeypatch.setattr(ngram_join, "DIRECT", 0)
-        monkeypatch.setattr(ngram_join, "max", lambda *a: a[-1] if a[0] == 100_000 else max(*a), raising=False)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(frame(spark, texts), rounds=rounds).collect()}
+    assert got == dict(enumerate(linked(texts)))
+
+
+def test_ngram_join_with_one_large_group(spark):
+    r = random.Random(5)
+    base, more = [f"b{k}" for k in range(80)], corpus(6, 20)
+    near = []
+    for _ in range(300):
+        own = list(base)
+        for _ in range(r.choice([0, 1, 1, 2])):
+            own[r.randrange(80)] = f"x{r.randrange(10**6)}"
+        near.append(" ".join(own))
+    texts = near + more
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(frame(spark, texts)).collect()}
     assert got == dict(enumerate(linked(texts)))
 
