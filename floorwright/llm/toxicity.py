@@ -32,11 +32,12 @@ _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _TRIPLES = np.array([[b, b ^ 0x55, (b * 7 + 3) & 255] for b in range(256)], np.uint8)
 #: Optimal parsing: the lengths of greedy and lazy parsing are too uneven to compare.
 _SHORTEST = {"source_size": 256, "dict_size": 40 << 10, "strategy": zstandard.STRATEGY_BTOPT, "min_match": 5, "search_log": 3, "target_length": 16}
-_LEVEL, _FAST = 19, 1
+#: Fast, and only matches of more than two letters count.
+_HINT = {"level": 1, "source_size": 256, "strategy": zstandard.STRATEGY_FAST, "min_match": 7, "target_length": 1}
 #: A cell is ten bytes of length by one byte of saving.
 _LENGTHS, _SAVED, _LOST = 10, 40, 8
-#: The cell of windows that the toxic dictionary alone shortens by less than _GAIN bytes, at the fast level.
-_NOTHING, _GAIN = _LENGTHS * _SAVED, 15
+#: The cell of windows that the toxic dictionary alone shortens by less than _GAIN bytes, in the fast pass.
+_NOTHING, _GAIN = _LENGTHS * _SAVED, 8
 #: So many windows' worth of the one-dimensional odds go into a cell's own.
 _LEAN = 2000
 #: Windows compressed in one call.
@@ -94,7 +95,7 @@ def _spelled(found: list[bytes]) -> list[bytes]:
 
 
 def _compressor(content: bytes, **more):
-    how = zstandard.ZstdCompressionParameters.from_level(more.pop("level", _LEVEL), write_content_size=False, write_dict_id=False, write_checksum=False, **more)
+    how = zstandard.ZstdCompressionParameters.from_level(more.pop("level", 19), write_content_size=False, write_dict_id=False, write_checksum=False, **more)
     held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     held.precompute_compress(compression_params=how)
     return zstandard.ZstdCompressor(compression_params=how, dict_data=held).compress
@@ -104,7 +105,7 @@ def cells(model: ToxicityModel, text: bytes) -> np.ndarray:
     """The cell of each window of a text."""
     if model.key() not in _ready:
         _ready.clear()
-        _ready[model.key()] = (_compressor(model.toxic, level=_FAST, source_size=256, dict_size=len(model.toxic)), _compressor(model.ordinary, **_SHORTEST), _compressor(model.toxic + model.ordinary, **_SHORTEST))
+        _ready[model.key()] = (_compressor(model.toxic, **_HINT, dict_size=len(model.toxic)), _compressor(model.ordinary, **_SHORTEST), _compressor(model.toxic + model.ordinary, **_SHORTEST))
     fast, plain, toxic = _ready[model.key()]
     found = windows(text, model.config.words)
     out = np.full(len(found), _NOTHING, np.int16)
@@ -167,7 +168,7 @@ def _passages(texts: list[tuple[bytes, int]], config: ToxicityConfig) -> list[by
 def _trained(size: int, samples: list[bytes], config: ToxicityConfig) -> bytes:
     """A dictionary that zstandard trains on the samples; too few of them to train on are the dictionary themselves."""
     try:
-        return zstandard.train_dictionary(size, samples, k=config.segment, d=6, level=_LEVEL).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=config.segment, d=6, level=19).as_bytes()
     except zstandard.ZstdError:
         return (b"".join(samples) or b"\0" * 9)[-size:]
 
