@@ -43,8 +43,8 @@ class LanguageModelConfig:
     held: int = 65536
     width: int = 16
     window: int = 16
-    lanes: int = 32
-    rate: float = 0.02
+    lanes: int = 256
+    rate: float = 0.04
     #: Added to the root of the squared gradients: holds back weights of which a shard tells little.
     damping: float = 1e-5
     #: Steps over which each shard's rate rises.
