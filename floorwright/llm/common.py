@@ -13,9 +13,11 @@ BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where that is unset (tests)."""
+    """The folder that spark.checkpoint.dir names; a temporary one only where that is unset and all run on one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="floorwright-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

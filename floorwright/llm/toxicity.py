@@ -269,15 +269,15 @@ def fit_from_tables(docs: DataFrame, labels: DataFrame, config: ToxicityConfig =
     return ready or model
 
 
-def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """docs with a column toxic_score added (one of that name is replaced). Null and empty texts count as texts without windows."""
+def score_documents(docs: DataFrame, model: ToxicityModel, column: str = "toxic_score") -> DataFrame:
+    """docs with a column of scores added (one of that name is replaced). Null and empty texts count as texts without windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in steps(batches, most=STEP):
-            yield b.append_column("toxic_score", pa.array(scores(model, texts), pa.float64()))
+            yield b.append_column(column, pa.array(scores(model, texts), pa.float64()))
 
-    docs = docs.drop("toxic_score")
-    return docs.mapInArrow(run, docs.select("*", F.lit(0.0).cast("double").alias("toxic_score")).schema)
+    docs = docs.drop(column)
+    return docs.mapInArrow(run, docs.select("*", F.lit(0.0).cast("double").alias(column)).schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> DataFrame:
