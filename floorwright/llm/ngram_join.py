@@ -17,8 +17,10 @@ transpose holds every overlap count. It is never formed whole, and a row travels
    size-derived bound ceil(.75 n) a row can't link with another component, and leaves; this is repeated while rows leave.
 5. The rest of the product, between components only. Each row's columns are ordered by how many components they hold,
    rarest first, and cut at the size-derived bound: the columns left out can't be the only ones that a linked pair shares.
-   Blocks of these columns accumulate the overlap counts of pairs of different components; a pair whose count and columns
-   left out can't reach the bound is discarded, the others are counted over the two whole sets.
+   Rows that these columns connect are dealt into blocks; each pair of blocks is multiplied in one task, which accumulates
+   the overlap counts of its rows over chunks of columns and keeps the pairs that reach the bound their sizes set. What
+   leaves the task is the least row that each row's links reach, not the pairs. Rows of the largest component aren't
+   multiplied with each other.
 
 Steps 1, 4 and 5 lose no link between components; step 3 only saves work, so its number of rounds changes no result.
 """
@@ -29,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,9 +43,11 @@ WIDTH, PERCENT = 5, 75
 #: Rows of a block of columns in step 1, as entries of eight bytes.
 BLOCK = 1 << 20
 #: Rounds of contraction and the hash orders in each.
-ROUNDS, ORDERS = 4, 8
+ROUNDS, ORDERS = 2, 8
 #: Parts into which the rows of one column are dealt, each with a row of its own to be multiplied with.
 SALTS = 64
+#: Rows of a block of the product and columns of a chunk of it.
+ROWS, CHUNK = 512, 4096
 
 
 def needed(n: int | np.ndarray, percent: int = PERCENT):
@@ -172,7 +177,7 @@ def _smallest(sets: DataFrame, seed: int) -> DataFrame:
                 cols = [np.frombuffer(x.as_buffer(), np.uint64) for x in own.column("hashes")]
                 starts, h = np.cumsum([0] + [len(c) for c in cols[:-1]]), np.concatenate(cols)
                 for k in range(ORDERS):
-                    least = np.minimum.reduceat(mix(h + np.uint64(seed * ORDERS + k + 1) * np.uint64(0x9E3779B97F4A7C15)), starts)
+                    least = np.minimum.reduceat(mix(h + np.uint64((seed * ORDERS + k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))), starts)
                     yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("n"), own.column("component"), pa.array(np.full(len(cols), k, np.int32)), pa.array(least.view(np.int64))], ["doc_id", "n", "component", "k", "h"])
 
     return sets.select("doc_id", "n", "component", "hashes").mapInArrow(run, "doc_id long, n long, component long, k int, h long")
@@ -336,19 +341,96 @@ def links(docs: DataFrame, sizes: DataFrame, width: int = WIDTH, percent: int =
     rank = F.expr("row_number() over (partition by doc_id order by held, h)")
     # columns of one component count first: of n columns, n - least + 1 have one that a linked row has too
     take = F.col("n") - least + 1 - (F.col("n") - F.expr("count(*) over (partition by doc_id)"))
-    used = y.withColumn("rank", rank).withColumn("take", take).where("rank <= take").select("h", "doc_id", "n", "comp")
-    one = used.select("h", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    other = used.select("h", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    pairs = one.join(other, "h").where("ca <> cb and a < b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("overlap"))
-    # of the two rows the one whose used columns end first leaves out at most least - 1 columns that the pair shares
-    pairs = pairs.where(F.col("overlap") + F.ceil(F.lit(percent) * F.greatest("na", "nb") / 100) - 1 >= F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent)))
-    found.append(written(_linked(pairs.select("a", "b"), sets, percent), "links"))
-    for t in (own, y):
-        dropped(t)
+    used = written(y.withColumn("rank", rank).withColumn("take", take).where("rank <= take").select("h", "doc_id"), "used")
+    dropped(own)
+    dropped(y)
+    groups = components(_met(used)).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "cluster")
+    rows = placed(sets, comp).join(groups, "doc_id")
+    found.append(written(_product(written(rows, "rows"), percent), "links"))
+    dropped(used)
     return all_found()
 
 
+def _met(used: DataFrame) -> DataFrame:
+    """(a, b): pairs of rows that share a column, as few as connect all rows of each column; a column's rows are dealt into parts."""
+    own = used.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    parts = own.groupBy("h", "part").agg(F.min("doc_id").alias("b"))
+    tops = parts.groupBy("h").agg(F.min("b").alias("top"))
+    one = own.join(parts, ["h", "part"]).select(F.col("doc_id").alias("a"), "b")
+    return one.unionByName(parts.join(tops, "h").select(F.col("b").alias("a"), F.col("top").alias("b"))).where("a <> b").distinct()
+
+
+def _product(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect what any links between rows of a cluster connect.
+
+    rows: doc_id, n, component, cluster, hashes. In each cluster the rows of its largest component are one side, the others
+    are multiplied with each other and with that side, block by block.
+    """
+    of = rows.groupBy("cluster", "component").agg(F.count("*").alias("rows"))
+    most = of.groupBy("cluster").agg(F.max_by("component", F.struct("rows", "component")).alias("major"), F.max("rows").alias("top"), F.sum("rows").alias("rows"))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / ROWS)).cast("int")
+    most = written(most.where("rows > top").select("cluster", "major", blocks(F.col("rows") - F.col("top")).alias("others"), blocks(F.col("top")).alias("majors")), "clusters")
+    own = rows.join(small(most, most.count()), "cluster").withColumn("is_major", F.col("component") == F.col("major"))
+    own = own.withColumn("t", F.pmod(F.xxhash64("doc_id"), F.when(F.col("is_major"), F.col("majors")).otherwise(F.col("others"))).cast("int"))
+    kept = ["cluster", "doc_id", "n", "component", "hashes"]
+
+    def side(df: DataFrame, number: int, kind: int, i, j) -> DataFrame:
+        return df.select(*kept, F.lit(number).alias("side"), F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+
+    def spread(df: DataFrame, first, last) -> DataFrame:
+        return df.withColumn("k", F.explode(F.sequence(first, last)))
+
+    rest, major, t, k = own.where("not is_major"), own.where("is_major"), F.col("t"), F.col("k")
+    last = F.col("others") - 1
+    dealt = side(spread(rest, t, last), 0, 0, t, k).unionByName(side(spread(rest, F.lit(0), t), 1, 0, k, t))
+    dealt = dealt.unionByName(side(spread(rest, F.lit(0), F.col("majors") - 1), 0, 1, t, k)).unionByName(side(spread(major, F.lit(0), last), 1, 1, k, t))
+
+    def multiply(block: pa.Table) -> pa.Table:
+        which, ids, n, comps = (block.column(c).to_numpy() for c in ("side", "doc_id", "n", "component"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in block.column("hashes")]
+        a, b = np.flatnonzero(which == 0), np.flatnonzero(which == 1)
+        none = pa.table({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        if not len(a) or not len(b):
+            return none
+        row = np.empty(len(ids), np.int64)
+        row[a], row[b] = np.arange(len(a)), np.arange(len(b))
+        h, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        _, column = np.unique(h, return_inverse=True)
+        in_a = which[of] == 0
+        both = np.zeros(column.max() + 1, np.int8)
+        both[column[in_a]] |= 1
+        both[column[~in_a]] |= 2
+        shared = np.cumsum(both == 3) - 1
+        keep = both[column] == 3
+        column, of, in_a = shared[column[keep]], of[keep], in_a[keep]
+        order = np.argsort(column, kind="stable")
+        column, of, in_a = column[order], of[order], in_a[order]
+        overlap = np.zeros((len(a), len(b)), np.float32)
+        for c in range(0, int(column[-1]) + 1 if len(column) else 0, CHUNK):
+            i, j = np.searchsorted(column, (c, c + CHUNK))
+            x, y = np.zeros((len(a), CHUNK), np.float32), np.zeros((len(b), CHUNK), np.float32)
+            col, r, left = column[i:j] - c, row[of[i:j]], in_a[i:j]
+            x[r[left], col[left]] = 1
+            y[r[~left], col[~left]] = 1
+            overlap += x @ y.T
+        hit = 100 * overlap >= percent * (n[a][:, None] + n[b][None, :] - overlap)
+        hit &= comps[a][:, None] != comps[b][None, :]
+        a, b, hit = a[hit.any(1)], b[hit.any(0)], hit[hit.any(1)][:, hit.any(0)]
+        if not len(a):
+            return none
+        top, x, y = np.iinfo(np.int64).max, ids[a], ids[b]
+        while True:  # the least row reached; only the least neighbour could part what another link joins
+            nx = np.minimum(x, np.where(hit, y[None, :], top).min(1))
+            ny = np.minimum(y, np.where(hit, nx[:, None], top).min(0))
+            if (nx == x).all() and (ny == y).all():
+                break
+            x, y = nx, ny
+        out = pa.table({"a": np.concatenate([ids[a], ids[b]]), "b": np.concatenate([x, y])})
+        return out.filter(pc.not_equal(out.column("a"), out.column("b")))
+
+    return dealt.groupBy("cluster", "kind", "i", "j").applyInArrow(multiply, "a long, b long")
+
+
 def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text; other columns are ignored).
 
