@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +51,18 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def in_one_task(rows: DataFrame, make: Callable[..., Any]) -> Any:
+    """What make() gives for the columns of rows, as lists: computed by one task on an executor, so that a sample of bounded
+    rows never passes the driver; only the result (a model) comes back. None without rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            columns = [[x for b in held for x in b.column(k).to_pylist()] for k in range(held[0].num_columns)]
+            held.clear()
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(make(*columns))], pa.binary())], ["made"])
+
+    found = rows.repartition(1).mapInArrow(run, "made binary").collect()
+    return pickle.loads(found[0].made) if found else None

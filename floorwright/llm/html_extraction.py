@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floorwright.llm.common import table
-from floorwright.llm.html_blocks import Block, blocks
+from floorwright.llm.common import in_one_task, table
+from floorwright.llm.html_blocks import Block, Node, blocks, chain
 from floorwright.llm.text import steps
 
 #: Names that say outright what a block belongs to.
@@ -55,17 +55,37 @@ def _bucket(kind: str, word: str, buckets: int) -> int:
     return zlib.crc32(f"{kind}:{word}".encode()) % buckets
 
 
-def features(own: list[Block], config: LabellerConfig) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
-    """For each block its path buckets, its word buckets and its numbers."""
-    n = config.buckets
-    paths, words, numbers = [], [], np.zeros((len(own), 6), np.float32)
+def features(own: list[Block], config: LabellerConfig) -> tuple[list[Node | None], list[list[int]], np.ndarray]:
+    """For each block its path, its word buckets and its numbers."""
+    words, numbers = [], np.zeros((len(own), 6), np.float32)
     for k, b in enumerate(own):
-        named = [w for name in b.path for w in name.split(".")]
-        paths.append([_bucket("t", w, n) for w in dict.fromkeys(named)] or [_bucket("t", "", n)])
         text = b.text.lower().split()
-        words.append([_bucket("w", w, n) for w in text])
+        words.append([_bucket("w", w, config.buckets) for w in text])
         numbers[k] = (np.log1p(len(b.text)), np.log1p(len(text)), b.links / max(1, len(b.text)), k / len(own), 1 - k / len(own), b.text[-1] in ".!?\"'")
-    return paths, words, numbers
+    return [b.node for b in own], words, numbers
+
+
+def _path_buckets(b: Block, buckets: int) -> list[int]:
+    return [_bucket("t", w, buckets) for w in b.words] or [_bucket("t", "", buckets)]
+
+
+def _path_means(vectors: np.ndarray, nodes: list[Node | None]) -> np.ndarray:
+    """The mean vector of each path's distinct words; a node adds its own to the sum of the path above, once for all its blocks."""
+    buckets, out = len(vectors), np.empty((len(nodes), vectors.shape[1]), np.float32)
+    sums: dict[int, tuple[np.ndarray, int]] = {}
+    none = (np.zeros(vectors.shape[1], np.float32), 0)
+    for k, node in enumerate(nodes):
+        new, at = [], node
+        while at is not None and id(at) not in sums:
+            new.append(at)
+            at = at.parent
+        total, n = sums[id(at)] if at is not None else none
+        for at in reversed(new):
+            for w in at.words:
+                total, n = total + vectors[_bucket("t", w, buckets)], n + 1
+            sums[id(at)] = (total, n)
+        out[k] = total / n if n else vectors[_bucket("t", "", buckets)]
+    return out
 
 
 def _mean(vectors: np.ndarray, ids: list[list[int]]) -> np.ndarray:
@@ -139,7 +159,7 @@ def _laid_out(feats: list[tuple], width: int, emb: np.ndarray) -> tuple[np.ndarr
     """(steps, pages, features) and its mask, from the pages' features."""
     t, p = max(len(f[0]) for f in feats), len(feats)
     x, mask = np.zeros((t, p, 2 * width + 6), np.float32), np.zeros((t, p), bool)
-    paths, words = _mean(emb, [i for f in feats for i in f[0]]), _mean(emb, [i for f in feats for i in f[1]])
+    paths, words = _path_means(emb, [i for f in feats for i in f[0]]), _mean(emb, [i for f in feats for i in f[1]])
     at = 0
     for k, f in enumerate(feats):
         n = len(f[0])
@@ -177,12 +197,12 @@ def _rewritten(own: list[Block], y: list[int], r: np.random.Generator) -> list[B
     head = ("h1", "h2", "h3", "h4")[r.integers(4)]
     for b, v in zip(own, y, strict=True):
         if v:
-            b = Block(b.text, tuple(head if n == "h1" else n for n in b.path), b.links)
+            b = Block(b.text, chain(tuple(head if n == "h1" else n for n in b.path)), b.links)
         if v != side:
             out.append(b)
             continue
         path = [n if n in _NEUTRAL else name for n in b.path]
-        out.append(Block(b.text, tuple(path), b.links))
+        out.append(Block(b.text, chain(tuple(path)), b.links))
     return out
 
 
@@ -199,13 +219,14 @@ def _added(own: list[Block], y: list[int], pool: list[str], r: np.random.Generat
             text = pool[r.integers(len(pool))]
             if r.random() < 0.5:
                 text = " ".join(text.split()[: 2 + r.integers(12)])
-            own.insert(at, Block(text, (*inside[: 2 + r.integers(2)], name, *((("p", "h1", "h2", "h3", "li", "span")[r.integers(6)],) if r.random() < 0.6 else ())), len(text) if r.random() < 0.3 else 0))
+            path = (*inside[: 2 + r.integers(2)], name, *((("p", "h1", "h2", "h3", "li", "span")[r.integers(6)],) if r.random() < 0.6 else ()))
+            own.insert(at, Block(text, chain(path), len(text) if r.random() < 0.3 else 0))
             y.insert(at, 0)
     return own, y
 
 
 def fit(pages: list[str], config: LabellerConfig = LabellerConfig()) -> Labeller:
-    """A labeller fitted on whole pages; without any block that markup speaks for it labels by the initial weights' bias."""
+    """A labeller fitted on whole pages; one that never met a block that markup speaks for takes every block as text."""
     r = np.random.default_rng(config.seed)
     w = _initial(config)
     data = []
@@ -216,13 +237,13 @@ def fit(pages: list[str], config: LabellerConfig = LabellerConfig()) -> Labeller
         for i in range(0, len(known), config.blocks):
             data.append(known[i : i + config.blocks])
     if not data:
-        return Labeller(config, w)
+        return Labeller(config, w | {"out": np.zeros_like(w["out"]), "bias": np.ones_like(w["bias"])})
     pool = [b.text for own in data for b, _ in own]
     m, v, step = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}, 0
     for _ in range(config.epochs):
         order = r.permutation(len(data))
         for s in range(0, len(order), config.batch):
-            feats, ys = [], []
+            feats, lists, ys = [], [], []
             for i in order[s : s + config.batch]:
                 own, y = [b for b, _ in data[i]], [k for _, k in data[i]]
                 kind = r.random()
@@ -231,6 +252,7 @@ def fit(pages: list[str], config: LabellerConfig = LabellerConfig()) -> Labeller
                 if kind > 0.6:
                     own, y = _added(own, y, pool, r)
                 feats.append(features(own, config))
+                lists.append(([_path_buckets(b, config.buckets) for b in own], feats[-1][1]))
                 ys.append(y)
             x, mask = _laid_out(feats, config.width, w["emb"])
             target = np.zeros(mask.shape, np.float32)
@@ -247,7 +269,7 @@ def fit(pages: list[str], config: LabellerConfig = LabellerConfig()) -> Labeller
                 dxs, g[f"{side}x"], g[f"{side}h"], g[f"{side}c"] = _lstm_back(x[::rev], dtop[::rev, :, lo : lo + h], keep[0 if side == "f" else 1], w[f"{side}x"], w[f"{side}h"])
                 dx += dxs[::rev]
             demb = np.zeros_like(w["emb"])
-            for k, f in enumerate(feats):
+            for k, f in enumerate(lists):
                 for which, lo in ((0, 0), (1, config.width)):
                     sizes = [len(i) for i in f[which]]
                     flat = np.fromiter((i for q in f[which] for i in q), np.int64, sum(sizes))
@@ -295,14 +317,15 @@ def extract(pages: DataFrame, model: Labeller) -> DataFrame:
 
 
 def fit_from_table(pages: DataFrame, config: LabellerConfig = LabellerConfig()) -> Labeller:
-    """Fits on at most about config.pages rows, chosen by a hash of page_id; pages over 256 KiB are no training pages."""
-    own = pages.select("page_id", "html").where(F.octet_length("html") <= 1 << 18)
+    """Fits in one task on at most about config.pages whole rows, chosen by a hash of page_id; null html is passed over."""
     n = pages.count()
     share = min(1.0, config.pages / max(1, n))
-    rows = own.where(F.pmod(F.xxhash64("page_id"), F.lit(1 << 20)) < int(share * (1 << 20))).toArrow()
-    order = np.argsort(np.array([zlib.crc32(str(i).encode()) for i in rows.column("page_id").to_pylist()]), kind="stable")
-    html = rows.column("html").to_pylist()
-    return fit([html[i] for i in order], config)
+    rows = pages.where("html is not null").where(F.pmod(F.xxhash64("page_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+    def make(ids: list, texts: list[str]) -> Labeller:
+        return fit([t for _, t in sorted(zip(ids, texts, strict=True), key=lambda x: (zlib.crc32(str(x[0]).encode()), x[1]))], config)
+
+    return in_one_task(rows.select("page_id", "html"), make) or fit([], config)
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

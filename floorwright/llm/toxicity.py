@@ -14,7 +14,6 @@ from labelled texts that the dictionaries haven't seen, and so do the weights th
 
 from __future__ import annotations
 
-import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -25,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floorwright.llm.common import small
+from floorwright.llm.common import in_one_task, small
 from floorwright.llm.text import STEP, steps
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -225,19 +224,6 @@ def held_out(doc_id: str, config: ToxicityConfig):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % config.folds == config.held_out
 
 
-def _in_one_task(rows: DataFrame, make) -> ToxicityModel | None:
-    """What make() gives for all rows (as lists of columns), computed by one task on an executor; only the model comes back."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        columns = [[x for b in held for x in b.column(k).to_pylist()] for k in range(2)]
-        held.clear()
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(make(*columns))], pa.binary())], ["model"])
-
-    found = rows.repartition(1).mapInArrow(run, "model binary").collect()
-    return pickle.loads(found[0].model) if found else None
-
-
 def fit_from_tables(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
     """Fits on labelled rows that aren't held out, at most about config.labelled_rows of them, chosen by hash.
 
@@ -254,7 +240,7 @@ def fit_from_tables(docs: DataFrame, labels: DataFrame, config: ToxicityConfig =
     rows = texts.join(known, "doc_id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
     calibrates = F.crc32("text") % 3 == 2
 
-    model = _in_one_task(rows.where(~calibrates), lambda t, y: train_dictionaries(list(zip(t, y, strict=True)), config)) or ToxicityModel(config)
+    model = in_one_task(rows.where(~calibrates), lambda t, y: train_dictionaries(list(zip(t, y, strict=True)), config)) or ToxicityModel(config)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -265,7 +251,7 @@ def fit_from_tables(docs: DataFrame, labels: DataFrame, config: ToxicityConfig =
         return model
     # the join leaves few partitions; compressing is the work
     spread = rows.where(calibrates).repartition(64).mapInArrow(count, "cells binary, toxic int")
-    ready = _in_one_task(spread, lambda c, y: calibrate(model, sorted(((np.frombuffer(x, np.int16), v) for x, v in zip(c, y, strict=True)), key=lambda x: (x[1], x[0].tobytes()))))
+    ready = in_one_task(spread, lambda c, y: calibrate(model, sorted(((np.frombuffer(x, np.int16), v) for x, v in zip(c, y, strict=True)), key=lambda x: (x[1], x[0].tobytes()))))
     return ready or model
 
 
