@@ -1,13 +1,15 @@
-"""Benchmark decontamination: MinHash containment search by prefix sketches with a size test, DataFrame functions only.
-
-An item of m distinct shingles is contained in a document if at least need(m) = ceil(.75 m) of them are in it. Items
-aren't partitioned by size, all share one table of hashes; an item's signature is its k smallest shingle hashes (a bottom-k MinHash sketch), with
-k = m - need(m) + 1, the least size for which no document that contains the item can miss all of the sketch. A document
-is probed with all its shingles, so a short item is found anywhere inside a long text; a hash all of whose items
-need more shingles than the document has is passed over. What the sketches find is then counted over the items' whole sets.
-
-The document side is never shuffled: it meets the sketches in a broadcast join if these have been counted and are small,
-and in a shuffle join on the hash else. Only hits move.
+"""Benchmark decontamination: size-partitioned MinHash containment search, DataFrame functions only.
+
+An item of m distinct shingles is contained in a document if at least need(m) = ceil(.75 m) of them are in it. Items are
+partitioned by size, a partition for each power of two of m. A partition has its own signature length k: the signatures of
+its items are their k smallest shingle hashes (bottom-k MinHash), with the largest m - need(m) + 1 of its items as k, the
+least length for which no document that contains an item can miss all of its signature. A document is probed with all its
+shingles, so a short item is found anywhere inside a long text, and only in the partitions that it can fill: those whose
+least need is at most the document's own number of shingles. What the signatures find is then counted over whole sets.
+
+The document side is never shuffled: it meets the signatures in a broadcast join if these have been counted and are small,
+and in a shuffle join on the hash else, with each document's rows dealt into parts so that a very common hash isn't one
+task. Only hits move.
 """
 
 from __future__ import annotations
@@ -15,9 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floorwright.llm.common import small, table, written
+from floorwright.llm.common import BROADCAST_ROWS, small, table, written
 
 WIDTH, PERCENT = 5, 75
+#: Parts of a hash in a shuffle join.
+PARTS = 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -52,23 +56,31 @@ def containment(docs: DataFrame, items: DataFrame, width: int = WIDTH, percent:
     """
     own = _shingles(items, "item_id", width).distinct()
     sizes = own.groupBy("item_id").agg(F.count("*").alias("m"))
-    ranked = own.join(sizes, "item_id").withColumn("need", _need(F.col("m"), percent))
+    sizes = sizes.withColumns({"need": _need(F.col("m"), percent), "band": F.floor(F.log2("m")).cast("int")})
+    bands = sizes.groupBy("band").agg(F.max(F.col("m") - F.col("need") + 1).alias("k"), F.min("need").alias("least"))
+    ranked = own.join(sizes.join(F.broadcast(bands), "band"), "item_id")  # at most 63 bands
     ranked = ranked.withColumn("rank", F.expr("row_number() over (partition by item_id order by h)"))
-    index = written(ranked.select("item_id", "h", "m", "need", (F.col("rank") <= F.col("m") - F.col("need") + 1).alias("sketch")), "items")
-    sketch = index.where("sketch").select("h", "need").groupBy("h").agg(F.min("need").alias("need"))
-    n_sketch = sketch.count()
+    index = written(ranked.select("item_id", "h", "m", "need", "least", (F.col("rank") <= F.col("k")).alias("signed")), "items")
+    # a hash of several partitions stands for the one that the smallest document can fill
+    signatures = index.where("signed").groupBy("h").agg(F.min("least").alias("least"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     split = texts.select("doc_id", words(F.col("text")).alias("w"))
     probes = split.select("doc_id", F.greatest(F.size("w") - (width - 1), F.lit(1)).alias("n"), F.explode(shingle_hashes(F.col("w"), width)).alias("h"))
-    hits = probes.join(small(sketch, n_sketch, 2_000_000), "h").where("need <= n").select("doc_id").distinct()
-    hits = written(hits, "hits")
-    n_hits = hits.count()
+    hits = written(_met(probes, signatures).where("least <= n").select("doc_id").distinct(), "hits")
     # only these documents are read again, for the exact count over whole sets
-    again = texts.join(small(hits, n_hits, 2_000_000), "doc_id", "left_semi")
-    n_index = index.count()
-    exact = _shingles(again, "doc_id", width).join(small(index.select("item_id", "h", "need", "m", "sketch"), n_index, 2_000_000), "h")
-    counted = exact.distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("overlap"), F.first("m").alias("item_shingles"), F.first("need").alias("need"), F.max("sketch").alias("sketched"))
-    return counted.where("sketched and overlap >= need").select("doc_id", "item_id", "overlap", "item_shingles")
+    again = texts.join(small(hits, hits.count()), "doc_id", "left_semi")
+    exact = _met(_shingles(again, "doc_id", width).distinct(), index.select("item_id", "h", "need", "m", "signed"))
+    counted = exact.groupBy("doc_id", "item_id").agg(F.count("*").alias("overlap"), F.first("m").alias("item_shingles"), F.first("need").alias("need"), F.max("signed").alias("signed"))
+    return counted.where("signed and overlap >= need").select("doc_id", "item_id", "overlap", "item_shingles")
+
+
+def _met(probes: DataFrame, index: DataFrame) -> DataFrame:
+    """probes joined with index on h: broadcast if the counted index is small, else by h and a part of the documents."""
+    rows = index.count()
+    if rows <= BROADCAST_ROWS:
+        return probes.join(F.broadcast(index), "h")
+    dealt = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return probes.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")).join(dealt, ["h", "part"]).drop("part")
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
