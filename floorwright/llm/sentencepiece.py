@@ -1,11 +1,13 @@
 """SentencePiece encoding and decoding by a shared-prefix Viterbi pass over a trie of distinct marked words.
 
-The vocabulary is a score-ordered one whose encoder joins the best-scored neighbours first. For such a vocabulary the
-encoding of every prefix of a word has one last piece, and a split is the encoding exactly if each two neighbours in it
-stay apart when encoded together. So the forward state of a prefix is one piece (its last), found from the states of
-shorter prefixes: among the pieces that end here the one that stays apart from the state before it. Distinct words are
-sorted, which makes a depth-first walk of their trie: a word starts from the state of the longest prefix that it shares
-with the word before it, and only its remaining letters are new.
+Distinct words are sorted, which makes a depth-first walk of their trie: a word starts from the forward states of the
+longest prefix that it shares with the word before it, and only its remaining letters are new. The forward state of a
+prefix is (score, last piece, state before it): over all pieces that end here the best sum of the score before and the
+piece's own; the pieces of a word are read off the states backwards.
+
+The vocabulary is a score-ordered one whose encoder joins the best-scored neighbours first. For it a split is the encoding
+exactly if each two neighbours in it stay apart when encoded together, so only such pieces are candidates. That leaves one
+for nearly every prefix; the best score decides among them.
 
 Marked words: blanks become the mark and one mark is put first, as the vocabulary's settings say; a word is a run of marks
 with the letters after it (no piece holds a mark after a letter; the loader checks that). Letters that are no piece become
@@ -35,6 +37,10 @@ _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
+#: (score of the best split of a prefix, its last piece, the state before that piece)
+State = tuple[float, str | None, "State | None"]
+
+
 @dataclass
 class Pieces:
     """A vocabulary: ranks of joinable pieces, ids of bytes, and what decoding needs."""
@@ -46,6 +52,7 @@ class Pieces:
     longest: int
     texts: list[str]
     kinds: list[int]  # 0 text, 1 byte, 2 control
+    raw: list[bytes] = field(default_factory=list)  # the bytes that a piece decodes to
     apart: dict[tuple[str, str], bool] = field(default_factory=dict)
     words: dict[str, tuple[int, ...]] = field(default_factory=dict)
 
@@ -68,7 +75,13 @@ class Pieces:
                 kinds.append(0)
                 if MARK in p.lstrip(MARK):
                     raise ValueError(f"a piece holds a mark after a letter: {p!r}")
-        return cls(ids, ranks, byte_ids, sp.unk_id(), max(map(len, ids)), texts, kinds)
+        raw = [b"" if k == 2 else t.encode() if k == 0 else bytes([int(t[3:5], 16)]) for t, k in zip(texts, kinds, strict=True)]
+        return cls(ids, ranks, byte_ids, sp.unk_id(), max(map(len, ids)), texts, kinds, raw)
+
+    @property
+    def least(self) -> float:
+        """The score of a letter that is no piece: below all others."""
+        return min(self.ranks.values()) - 10.0
 
     def joined(self, text: str) -> list[str]:
         """The encoding of a short text by joining: the definition that the forward pass has to meet."""
@@ -93,26 +106,32 @@ class Pieces:
             found = self.apart[key] = self.joined(left + right) == ([left, right] if left else [right])
         return found
 
-    def last_pieces(self, words: list[str]) -> Iterator[tuple[str, list[str | None]]]:
-        """For each of the sorted distinct words the last pieces of all its prefixes; states of shared prefixes are reused."""
-        state: list[str | None] = [None]
+    def forward(self, words: list[str]) -> Iterator[tuple[str, list[State]]]:
+        """For each of the sorted distinct words the states of all its prefixes; those of a shared prefix are the same objects."""
+        states: list[State] = [(0.0, None, None)]
         before = ""
-        ranks, longest, apart = self.ranks, self.longest, self.stay_apart
+        ranks, longest, apart, least = self.ranks, self.longest, self.stay_apart, self.least
         for w in words:
             k, n = 0, min(len(before), len(w))
             while k < n and before[k] == w[k]:
                 k += 1
-            del state[k + 1 :]
+            del states[k + 1 :]
             for end in range(k + 1, len(w) + 1):
+                best = None
                 for start in range(max(0, end - longest), end):
                     p = w[start:end]
-                    if (p in ranks or end - start == 1) and (start == 0 and (end == 1 or self.joined_alone(p)) or start and apart(state[start], p)):
-                        state.append(p)
-                        break
-                else:
-                    state.append(w[end - 1])
+                    r = ranks.get(p)
+                    if r is None:
+                        if end - start > 1:
+                            continue
+                        r = least  # a letter that is no piece
+                    at = states[start]
+                    score = at[0] + r
+                    if (best is None or score > best[0]) and (apart(at[1], p) if start else self.joined_alone(p)):
+                        best = (score, p, at)
+                states.append(best or (states[end - 1][0] + least, w[end - 1], states[end - 1]))
             before = w
-            yield w, state
+            yield w, states
 
     def joined_alone(self, piece: str) -> bool:
         """Whether joining ever makes this piece of its own letters."""
@@ -123,17 +142,16 @@ class Pieces:
         if len(self.words) > _REMEMBERED:
             self.words.clear()
         known = self.words
-        for w, state in self.last_pieces(sorted(words - known.keys())):
+        for w, states in self.forward(sorted(words - known.keys())):
             out: list[int] = []
-            end = len(w)
-            while end:  # backwards from the end, reversed below
-                p = state[end]
-                i = self.ids.get(p)
+            at = states[-1]
+            while at[1] is not None:  # backwards from the end, reversed below
+                i = self.ids.get(at[1])
                 if i is not None:
                     out.append(i)
                 else:
-                    out.extend(self.byte_ids[b] for b in reversed(p.encode()))
-                end -= len(p)
+                    out.extend(self.byte_ids[b] for b in reversed(at[1].encode()))
+                at = at[2]
             known[w] = tuple(reversed(out))
         return known
 
@@ -152,14 +170,7 @@ class Pieces:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; byte pieces that are no UTF-8 become U+FFFD, control pieces nothing."""
-        parts: list[bytes] = []
-        for i in ids:
-            kind = self.kinds[i]
-            if kind == 0:
-                parts.append(self.texts[i].encode())
-            elif kind == 1:
-                parts.append(bytes([int(self.texts[i][3:5], 16)]))
-        text = b"".join(parts).decode("utf-8", "replace").replace(MARK, " ")
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
 
