@@ -125,15 +125,15 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, config: LanguageModelConfig) -> Vocabulary:
-    """Totals over all counts, and the most frequent words, as many as fit into config.held."""
+    """Totals over all counts, and the config.held most frequent words (of equal counts the least hash)."""
     level = F.floor(F.log2("n") * 8)
     by = sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r.level)
-    least, have = math.inf, 0
+    least, have = 0, 0
     for r in by:
-        if have + r.words > config.held:
+        least, have = r.level, have + r.words
+        if have >= config.held:
             break
-        have, least = have + r.words, r.level
-    top = counts.where(level >= least).toArrow() if have else counts.limit(0).toArrow()
+    top = counts.where(level >= least).orderBy(F.desc("n"), "h").limit(config.held).toArrow()
     h, head, n = (top.column(c).to_numpy() for c in ("h", "head", "n"))
     order = np.lexsort((h, -n))
     h, head, n = h[order].view(np.uint64), head[order], n[order]
@@ -433,8 +433,8 @@ def score_documents(docs: DataFrame, config: LanguageModelConfig = LanguageModel
             r = score_texts(texts, vocab, config, weights)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(r[k]) for k in ("n_tokens", "held", "base", "score")], pa.array(r["rest"], pa.list_(pa.int64()))], ["doc_id", "n_tokens", "held", "base", "score", "rest"])
 
-    parts = written(own.mapInArrow(run, "doc_id long, n_tokens long, held long, base double, score double, rest array<long>"), "parts")
-    parts = parts.withColumn("row", F.monotonically_increasing_id())
+    parts = own.mapInArrow(run, "doc_id long, n_tokens long, held long, base double, score double, rest array<long>")
+    parts = written(parts.withColumn("row", F.monotonically_increasing_id()), "parts")  # the id is written with the row
     rare = parts.select("row", F.explode("rest").alias("h")).join(counts.select("h", "n"), "h")
     rare = rare.groupBy("row").agg(F.count("*").alias("rare"), F.sum(F.log10(F.col("n") + 1)).alias("gain"))
     out = parts.drop("rest").join(rare, "row", "left")
