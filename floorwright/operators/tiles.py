@@ -52,9 +52,15 @@ def tiles(plans: DataFrame, tile: int, overlap: float = 0.25) -> DataFrame:
     return rows.select("plan_id", "ty", F.explode(tile_starts(F.col("width"), tile, overlap)).alias("tx"))
 
 
+def _bell(at, tile: int):
+    """Minus the exponent of a tile's weight at a place along one side; at: a column or an array."""
+    off = at - (tile - 1) / 2.0
+    return off * off / (2.0 * (tile / 4.0) ** 2)
+
+
 def gaussian(at: Column, tile: int) -> Column:
     """Weight of a place in a tile along one side, 1 in the middle (before the floor of 1e-3 on the product)."""
-    return F.exp(-0.5 * F.pow((at - (tile - 1) / 2.0) / (0.25 * tile), 2))
+    return F.exp(-_bell(at, tile))
 
 
 def blend(scored: DataFrame, tile: int) -> DataFrame:
@@ -65,19 +71,26 @@ def blend(scored: DataFrame, tile: int) -> DataFrame:
     return own.groupBy("plan_id", "y", "x", "class_id").agg((F.sum(F.col("p") * F.col("w")) / F.greatest(F.sum("w"), F.lit(1e-6))).alias("p"))
 
 
-def softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(1, keepdims=True))
-    return e / e.sum(1, keepdims=True)
+#: Views of images (n, 3, h, w) that a score is averaged over, each with what turns its result back; the last for squares only.
+VIEWS = [
+    (lambda x: x, lambda p: p),
+    (lambda x: np.flip(x, 3), lambda p: np.flip(p, 3)),
+    (lambda x: np.flip(x, 2), lambda p: np.flip(p, 2)),
+    (lambda x: np.flip(np.swapaxes(x, 2, 3), 2), lambda p: np.swapaxes(np.flip(p, 2), 2, 3)),
+]
+
 
+def shares(logits: np.ndarray) -> np.ndarray:
+    """Logits (n, classes, h, w) as probabilities of the classes."""
+    above = np.logaddexp.reduce(logits, axis=1)
+    return np.exp(logits - above[:, None])
 
-def flipped_mean(score: Scorer, x: np.ndarray, tta: bool = True) -> np.ndarray:
-    """Probabilities, averaged over the image, its two mirror images and, if square, a quarter turn."""
-    out = [softmax(score(x))]
-    if tta:
-        out += [softmax(score(x[..., ::-1].copy()))[..., ::-1], softmax(score(x[..., ::-1, :].copy()))[..., ::-1, :]]
-        if x.shape[-1] == x.shape[-2]:
-            out.append(np.rot90(softmax(score(np.rot90(x, 1, (2, 3)).copy())), -1, (2, 3)))
-    return np.mean(out, 0)
+
+def over_views(score: Scorer, x: np.ndarray, tta: bool) -> np.ndarray:
+    """Probabilities of images, averaged over the views that apply."""
+    views = VIEWS[: 1 if not tta else 4 if x.shape[2] == x.shape[3] else 3]
+    total = sum(back(shares(score(np.ascontiguousarray(view(x))))) for view, back in views)
+    return total / len(views)
 
 
 def normalised(image: np.ndarray) -> np.ndarray:
@@ -90,14 +103,16 @@ def denormalised(x: np.ndarray) -> np.ndarray:
 
 
 def window(tile: int) -> np.ndarray:
-    g = np.exp(-0.5 * ((np.arange(tile) - (tile - 1) / 2) / (0.25 * tile)) ** 2)
-    w = np.outer(g, g)
-    return np.maximum(w / w.max(), 1e-3).astype(np.float32)
+    """The weights of a whole tile: what gaussian() gives for both sides, 1 at the most, never below 1e-3."""
+    side = _bell(np.arange(tile), tile)
+    both = side[:, None] + side
+    return np.exp(np.maximum(both.min() - both, np.log(1e-3))).astype(np.float32)
 
 
 def starts(length: int, tile: int, overlap: float = 0.25) -> list[int]:
-    stride = max(1, int(tile * (1 - overlap)))
-    return [0] if length <= tile else [*range(0, length - tile, stride), length - tile]
+    """tile_starts() of a number: every stride, those beyond the last that fits moved back to it."""
+    every = np.arange(0, length, max(1, int(tile * (1 - overlap))))
+    return np.unique(every.clip(max=max(0, length - tile))).tolist()
 
 
 def probabilities(image: np.ndarray, score: Scorer, tile: int = 512, overlap: float = 0.25, batch: int = 4, tta: bool = False) -> np.ndarray:
@@ -113,7 +128,7 @@ def probabilities(image: np.ndarray, score: Scorer, tile: int = 512, overlap: fl
     total, norm = None, np.zeros((ph, pw), np.float32)
     for i in range(0, len(at), batch):
         own = at[i : i + batch]
-        p = flipped_mean(score, np.stack([x[:, r : r + side_h, c : c + side_w] for r, c in own]), tta)
+        p = over_views(score, np.stack([x[:, r : r + side_h, c : c + side_w] for r, c in own]), tta)
         total = np.zeros((p.shape[1], ph, pw), np.float32) if total is None else total
         for (r, c), q in zip(own, p, strict=True):
             total[:, r : r + side_h, c : c + side_w] += q * weight

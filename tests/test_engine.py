@@ -11,10 +11,11 @@ from floorwright.operators import edits, geometry, matching, metrics, raster, ti
 from floorwright.sources import exports, generate, readers
 from floorwright.streaming import metrics as streaming
 
-SVG = """<svg xmlns="http://www.w3.org/2000/svg"><g transform="translate(10,0)">
-<g class="Space Kitchen"><polygon points="0,0 90,0 90,99 0,99"/></g><g class="Space Bedroom"><polygon points="95,0 189,0 189,99 95,99"/></g>
-<g class="Wall External"><polygon points="90,0 95,0 95,99 90,99"/><g class="Door Swing"><polygon points="90,45 95,45 95,60 90,60"/><g class="Panel"><polygon points="0,0 5,0 5,5"/></g></g></g>
-<g class="Window"><polygon points="30,0 50,0 50,4 30,4"/></g></g></svg>"""
+#: Two rooms drawn at half size, a wall with a sliding door and a handle (decoration), a railing and a window; all moved by (4, 6).
+SVG = """<svg xmlns="http://www.w3.org/2000/svg"><g id="storey" transform="translate(4 6)">
+<g transform="scale(2)"><g class="Space Bath"><polygon points="1,1 21,1 21,16 1,16"/></g><g class="Space Pantry"><polygon points="24,1 44,1 44,31 24,31"/></g></g>
+<g class="Wall"><polygon points="44,2 48,2 48,62 44,62"/><g class="Door Sliding"><polygon points="44,40 48,40 48,52 44,52"/></g><g class="Handle"><polygon points="0,0 60,0 60,60"/></g></g>
+<g class="Railing"><polygon points="2,58 40,58 40,62 2,62"/></g><g class="Window Fixed"><polygon points="60,0 80,0 80,3 60,3"/></g></g></svg>"""
 
 
 def one(df):
@@ -22,48 +23,66 @@ def one(df):
 
 
 def test_confusion_matrix(spark):
-    t, p = [0, 0, 1, 1, 2, 2, 255, 255], [0, 1, 1, 1, 2, 0, 0, 0]
-    df = spark.createDataFrame(list(zip(t, p, strict=True)), "target int, pred int")
-    per = metrics.per_class(metrics.confusion(df), 3)
-    iou = [r.iou for r in per.orderBy("class_id").collect()]
-    assert iou == pytest.approx([1 / 3, 2 / 3, 1 / 2])
-    assert one(metrics.summary(per))["pixel_acc"] == pytest.approx(4 / 6)
-    empty = metrics.summary(metrics.per_class(metrics.confusion(df.limit(0)), 3))
-    assert one(empty)["miou"] == 0
+    counts = {(0, 0): 5, (0, 1): 2, (1, 1): 4, (1, 2): 1, (2, 2): 3, (255, 1): 4}
+    rows = [k for k, n in counts.items() for _ in range(n)]
+    df = spark.createDataFrame(rows, "target int, pred int")
+    per = metrics.per_class(metrics.confusion(df), 4)
+    found = {r.class_id: (r.gt, r.pr, r.iou) for r in per.collect()}
+    assert {k: v[:2] for k, v in found.items()} == {0: (7, 5), 1: (5, 6), 2: (3, 4), 3: (0, 0)}
+    assert [found[k][2] for k in range(4)] == pytest.approx([5 / 7, 4 / 7, 3 / 4, 0])
+    total = one(metrics.summary(per))
+    assert total["pixel_acc"] == pytest.approx(12 / 15)
+    assert total["mean_acc"] == pytest.approx((5 / 7 + 4 / 5 + 1) / 3)
+    nothing = metrics.summary(metrics.per_class(metrics.confusion(df.where("target = 255")), 4))
+    assert one(nothing)["miou"] == one(nothing)["pixel_acc"] == 0
 
 
 def test_edge_map(spark):
-    df = spark.range(400).select(F.lit(0).alias("plan_id"), F.floor(F.col("id") / 20).alias("y"), (F.col("id") % 20).alias("x"))
-    df = df.withColumn("label", (F.col("x") >= 10).cast("int"))
-    e = {(r.y, r.x): r.edge for r in raster.edge_map(df, 1).collect()}
-    assert (e[5, 9], e[5, 10], e[5, 2]) == (1, 1, 0)
+    """Bands of six rows: a square of radius 2 meets another band from the fifth row on."""
+    df = spark.range(18 * 7).select(F.lit(3).alias("plan_id"), F.floor(F.col("id") / 7).alias("y"), (F.col("id") % 7).alias("x"))
+    df = df.withColumn("label", (F.floor(F.col("y") / 6) % 2).cast("int"))
+    rows = raster.edge_map(df, 2).groupBy("y").agg(F.min("edge").alias("lo"), F.max("edge").alias("hi")).collect()
+    assert {r.y for r in rows if r.lo} == {r.y for r in rows if r.hi} == {4, 5, 6, 7, 10, 11, 12, 13}
 
 
 def test_affine_and_points(spark):
-    df = spark.createDataFrame([("translate(10,5) scale(2)", 1.0, 1.0), ("rotate(90)", 1.0, 0.0), (None, 3.0, 4.0)], "t string, x double, y double")
-    m = S.affine(F.col("t"))
-    rows = df.select(S.applied(m, F.array(F.struct("x", "y")))[0].alias("p")).collect()
-    assert [(round(r.p.x, 9), round(r.p.y, 9)) for r in rows] == [(12, 7), (0, 1), (3, 4)]
-    pts = spark.createDataFrame([("1,2 3 4,-5e0 6 7",), ("1,2 3,4",)], "s string").select(S.points(F.col("s")).alias("p")).collect()
-    assert [tuple(q) for q in pts[0].p] == [(1, 2), (3, 4), (-5, 6)]
-    assert pts[1].p == []
+    df = spark.createDataFrame([("scale(3,2) translate(4,-1)", 1.0, 1.0), ("matrix(0 1 -1 0 7 2)", 2.0, 5.0), ("", 8.0, 9.0), (None, -1.0, 0.5)], "t string, x double, y double")
+    rows = df.select(S.applied(S.affine(F.col("t")), F.array(F.struct("x", "y")))[0].alias("p")).collect()
+    assert [v for r in rows for v in (r.p.x, r.p.y)] == pytest.approx([15, 0, 2, 4, 8, 9, -1, 0.5])
+    pts = spark.createDataFrame([("0.5,1 2 -3e1;7,8",), ("4 4 9",), ("",)], "s string").select(S.points(F.col("s")).alias("p")).collect()
+    assert [[tuple(q) for q in r.p] for r in pts] == [[(0.5, 1), (2, -30), (7, 8)], [], []]
 
 
 def test_room_classes(spark):
-    df = spark.createDataFrame([("Kitchen",), ("NotARoom",), ("Bedroom",), ("Railing",)], "r string")
-    rows = df.select(taxonomy.room_class(F.col("r"), "cubicasa12").alias("a"), taxonomy.room_class(F.col("r")).alias("b")).collect()
-    assert [(r.a, r.b) for r in rows] == [(3, 2), (11, 2), (5, 2), (8, 0)]
-    with pytest.raises(ValueError):
-        taxonomy.taxonomy("none")
+    kinds = {"CarPort": (10, 2), "Attic": (11, 2), "Railing": (8, 0), "DraughtLobby": (7, 2), "Sauna": (6, 2)}
+    df = spark.createDataFrame([(k,) for k in kinds], "r string")
+    rows = df.select("r", taxonomy.room_class(F.col("r"), "cubicasa12").alias("a"), taxonomy.room_class(F.col("r")).alias("b")).collect()
+    assert {r.r: (r.a, r.b) for r in rows} == kinds
+    with pytest.raises(ValueError, match="unknown taxonomy"):
+        taxonomy.taxonomy("fine")
 
 
 def test_svg_to_mask(spark):
-    polys = readers.svg_polygons(spark.createDataFrame([(0, SVG)], "plan_id long, svg string"))
-    assert sorted(r.kind for r in polys.collect()) == ["door", "room", "room", "wall", "window"]
-    for tax, want in (("coarse", {(50, 30): 2, (20, 102): 1, (50, 102): 3, (2, 50): 4}), ("cubicasa12", {(50, 30): 3, (50, 150): 5})):
-        r = readers.paint(polys, 100, 200, tax).first()
-        mask = np.frombuffer(r.data, np.uint8).reshape(100, 200)
-        assert {k: int(mask[k]) for k in want} == want
+    polys = readers.svg_polygons(spark.createDataFrame([(4, SVG), (5, "<svg><g class='Wall'>"), (6, None)], "plan_id long, svg string"))
+    assert sorted((r.plan_id, r.kind, r.subtype) for r in polys.collect()) == [(4, "door", "Sliding"), (4, "railing", ""), (4, "room", "Bath"), (4, "room", "Pantry"), (4, "wall", ""), (4, "window", "Fixed")]
+    want = {"coarse": {(20, 20): 2, (40, 70): 2, (66, 20): 0, (20, 50): 1, (50, 50): 3, (7, 70): 4, (75, 90): 0}, "cubicasa12": {(20, 20): 6, (40, 70): 9, (66, 20): 8, (20, 50): 2, (50, 50): 12, (7, 70): 13}}
+    for tax, at in want.items():
+        r = readers.paint(polys, 80, 100, tax).first()
+        mask = np.frombuffer(r.data, np.uint8).reshape(80, 100)
+        assert {k: int(mask[k]) for k in at} == at
+    bad = readers.svg_errors(spark.createDataFrame([(4, SVG), (5, "<svg><g class='Wall'>"), (6, None)], "plan_id long, svg string")).collect()
+    assert [r.plan_id for r in bad] == [5]
+
+
+def test_views_and_windows():
+    """Each view's result turned back lies on the image; weights are largest in the middle and never vanish."""
+    x = np.random.default_rng(4).random((1, 3, 6, 6)).astype(np.float32)
+    for view, back in tiles.VIEWS:
+        assert (back(view(x)) == x).all()
+    w = tiles.window(8)
+    assert w.max() == pytest.approx(1) and w.min() >= 1e-3 and (w == w.T).all() and (w == w[::-1]).all()
+    assert tiles.starts(100, 100) == tiles.starts(40, 100) == [0]
+    assert tiles.starts(101, 100) == [0, 1]
 
 
 def test_snap_merge_and_junctions(spark):
