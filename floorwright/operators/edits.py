@@ -96,9 +96,12 @@ def add_openings(openings: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def placed_openings(feet: DataFrame, kind: str) -> DataFrame:
-    """Openings for clicks that met a wall (placed_on_wall): door 3.4, window 4.5 thicknesses wide, one more pixel deep."""
+    """Openings for clicks that met a wall (placed_on_wall): door 3.4, window 4.5 thicknesses wide, one more pixel deep.
+
+    ord: of a plan's clicks in order of their foot, the same however the rows are partitioned.
+    """
     wide = {"door": 3.4, "window": 4.5}[kind]
-    return feet.select("plan_id", F.monotonically_increasing_id().alias("ord"), F.lit(kind).alias("kind"), F.col("fx").alias("cx"), F.col("fy").alias("cy"), (F.col("thickness") * wide).alias("width"), (F.col("thickness") + 1.0).alias("depth"), "angle", "wall_id")
+    return feet.select("plan_id", F.struct("fx", "fy", "wall_id").alias("ord"), F.lit(kind).alias("kind"), F.col("fx").alias("cx"), F.col("fy").alias("cy"), (F.col("thickness") * wide).alias("width"), (F.col("thickness") + 1.0).alias("depth"), "angle", "wall_id")
 
 
 def remove_walls(walls: DataFrame, openings: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:

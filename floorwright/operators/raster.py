@@ -54,21 +54,27 @@ def longest(segments: DataFrame, by: list[str]) -> DataFrame:
     return segments.groupBy(*by).agg(first.alias("s")).select(*by, "s.*")
 
 
-def box(pixels: DataFrame, radius: int, value: str, kind: str, name: str) -> DataFrame:
-    """pixels with the largest or least value in the square of so many pixels around each; absent pixels count for nothing.
+def _around(radius: int, across: dict, down: dict, pixels: DataFrame) -> DataFrame:
+    """pixels with columns computed over the square of so many pixels around each: first along rows, then along columns.
 
-    Two passes of a window over neighbouring rows, so each pixel is read twice, not (2 r + 1)^2 times.
+    Each pixel is read twice, not (2 r + 1)^2 times; absent pixels count for nothing.
     """
+    row = Window.partitionBy("plan_id", "y").orderBy("x").rangeBetween(-radius, radius)
+    column = Window.partitionBy("plan_id", "x").orderBy("y").rangeBetween(-radius, radius)
+    out = pixels.select("*", *[e.over(row).alias(c) for c, e in across.items()])
+    return out.select("*", *[e.over(column).alias(c) for c, e in down.items()]).drop(*across)
+
+
+def box(pixels: DataFrame, radius: int, value: str, kind: str, name: str) -> DataFrame:
+    """pixels with the largest or least value in the square of so many pixels around each."""
     f = F.max if kind == "max" else F.min
-    across = f(value).over(Window.partitionBy("plan_id", "y").orderBy("x").rangeBetween(-radius, radius))
-    down = f("_a").over(Window.partitionBy("plan_id", "x").orderBy("y").rangeBetween(-radius, radius))
-    return pixels.withColumn("_a", across).withColumn(name, down).drop("_a")
+    return _around(radius, {"_a": f(value)}, {name: f("_a")}, pixels)
 
 
 def edge_map(pixels: DataFrame, radius: int, label: str = "label") -> DataFrame:
     """pixels with edge 0 or 1: whether the square around holds more than one label; ignored labels count as -1."""
     own = pixels.withColumn("_v", F.when(F.col(label) == 255, -1).otherwise(F.col(label)))
-    own = box(box(own, radius, "_v", "max", "_hi"), radius, "_v", "min", "_lo")
+    own = _around(radius, {"_a": F.max("_v"), "_b": F.min("_v")}, {"_hi": F.max("_a"), "_lo": F.min("_b")}, own)
     return own.withColumn("edge", (F.col("_hi") != F.col("_lo")).cast("int")).drop("_v", "_hi", "_lo")
 
 
@@ -90,13 +96,22 @@ def component_stats(pixels: DataFrame, by: list[str]) -> DataFrame:
 
 
 def overlaps(a: DataFrame, b: DataFrame, left: str, right: str) -> DataFrame:
-    """(plan_id, left, right, inter, area_left, area_right, iou) of regions that share a pixel."""
-    both = a.select(*PIXEL, left).join(b.select(*PIXEL, right), list(PIXEL)).groupBy("plan_id", left, right).agg(F.count("*").alias("inter"))
-    area = lambda df, k, name: df.groupBy("plan_id", k).agg(F.count("*").alias(name))
-    both = both.join(area(a, left, "area_left"), ["plan_id", left]).join(area(b, right, "area_right"), ["plan_id", right])
+    """(plan_id, left, right, inter, area_left, area_right, iou) of regions that share a pixel; runs are joined, not pixels."""
+    one = runs(a, ["plan_id", "y", left], "x").select("plan_id", "y", left, "lo", "hi", "n")
+    two = runs(b, ["plan_id", "y", right], "x").select("plan_id", "y", right, F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("n").alias("n2"))
+    both = one.join(two, ["plan_id", "y"]).where("lo <= hi2 and lo2 <= hi")
+    both = both.groupBy("plan_id", left, right).agg(F.sum(F.least("hi", "hi2") - F.greatest("lo", "lo2") + 1).cast("long").alias("inter"))
+    both = both.join(one.groupBy("plan_id", left).agg(F.sum("n").alias("area_left")), ["plan_id", left]).join(two.groupBy("plan_id", right).agg(F.sum("n2").alias("area_right")), ["plan_id", right])
     return both.withColumn("iou", F.col("inter") / (F.col("area_left") + F.col("area_right") - F.col("inter")))
 
 
+def overlap_counts(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(plan_id, both_, only_a, only_b, either): pixels of two masks in one pass over both."""
+    marked = a.select(*PIXEL, F.lit(1).alias("m")).unionByName(b.select(*PIXEL, F.lit(2).alias("m"))).groupBy(*PIXEL).agg(F.bit_or("m").alias("m"))
+    count = lambda v, name: F.count_if(F.col("m") == v).alias(name)
+    return marked.groupBy("plan_id").agg(count(3, "both_"), count(1, "only_a"), count(2, "only_b"), F.count("*").alias("either"))
+
+
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select(*PIXEL).unionByName(b.select(*PIXEL)).distinct()
 
@@ -113,7 +128,11 @@ def outside(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def resized(pixels: DataFrame, width: int, height: int, to_width: int, to_height: int) -> DataFrame:
     """Nearest neighbour to another size: target pixel (x, y) takes source pixel floor((x, y) * source / target)."""
-    src = lambda at, n, m: F.expr(f"filter(sequence(0, {m} - 1), i -> i * {n} div {m} = {at})")
+
+    def targets(at: str, n: int, m: int):
+        first, last = f"cast(({at} * {m} + {n} - 1) div {n} as int)", f"cast((({at} + 1) * {m} + {n} - 1) div {n} - 1 as int)"
+        return F.expr(f"case when {first} <= {last} then sequence({first}, {last}) else array() end")
+
     rest = [c for c in pixels.columns if c not in ("x", "y")]
-    rows = pixels.select(*rest, "x", F.explode(src("y", height, to_height)).alias("y"))
-    return rows.select(*rest, "y", F.explode(src("x", width, to_width)).alias("x"))
+    rows = pixels.select(*rest, "x", F.explode(targets("y", height, to_height)).alias("y"))
+    return rows.select(*rest, "y", F.explode(targets("x", width, to_width)).alias("x"))

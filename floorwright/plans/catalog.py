@@ -128,11 +128,6 @@ def _(spark, d):
     return rounded(metrics.lr_schedule(spark.range(2400).select(F.col("id").cast("int").alias("it")), 0.002, 2400, 150), "lr", places=9)
 
 
-@query("parity_check", f"select {r('max(abs(o_totalprice - floor(o_totalprice)))')} max_abs_diff from orders")
-def _(spark, d):
-    return rounded(scene.read(spark, d, "orders").agg(metrics.parity(F.col("o_totalprice"), F.floor("o_totalprice")).alias("max_abs_diff")), "max_abs_diff")
-
-
 _GATE = "select case when event_id % 2 = 0 then 'fp32' else 'int8' end artifact, avg(value) miou from events group by 1"
 
 
@@ -153,13 +148,6 @@ def _(spark, d):
     return e.where("k is not null and event_type = 'purchase'").select("event_id", F.col("k").cast("long").alias("k"))
 
 
-@query("ema_log")
-def _(spark, d):
-    """Exponential means of each user's values in order of time; a fold, so pytest compares it with a plain loop."""
-    own = scene.read(spark, d, "events").groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "value"))), lambda s: s["value"]).alias("v"))
-    return rounded(own.select("user_id", metrics.ema(F.col("v")).alias("ema")), "ema")
-
-
 @query("label_map", "select p_partkey, case when p_size % 4 = 0 then 8 when p_size % 4 = 1 then 3 when p_size % 4 = 2 then 5 else 11 end fourteen, case when p_size % 4 = 0 then 0 else 2 end coarse from part")
 def _(spark, d):
     kind = F.element_at(F.array(*map(F.lit, ("Railing", "Kitchen", "Bedroom", "NoSuchRoom"))), F.col("p_size") % 4 + 1)
@@ -254,22 +242,11 @@ def _(spark, d):
     return rounded(_overlaps(spark, d), "iou")
 
 
-@query("match_rooms")
-def _(spark, d):
-    """Greedy one-to-one matching; pytest compares it with a plain version."""
-    return rounded(matching.match_rooms(_overlaps(spark, d)), "iou")
-
-
 def _plan_scores(spark, d):
     rect = lambda shift: scene.rectangles(spark, d, shift).select("plan_id", "rid")
     return matching.plan_scores(matching.match_rooms(_overlaps(spark, d)), rect(0), rect(2))
 
 
-@query("exact_count_rate")
-def _(spark, d):
-    return rounded(metrics.matching_totals(_plan_scores(spark, d)), "exact_rate", "mean_iou")
-
-
 _PR = "select quality q, toxic t, count(*) n from labels group by all"
 
 
@@ -281,20 +258,9 @@ def _(spark, d):
     return c.select(p.alias("precision"), rec.alias("recall"), f.alias("f1"))
 
 
-@query("match_openings")
-def _(spark, d):
-    o = scene.openings(spark, d)
-    pred = o.select("plan_id", "kind", F.col("opening_id").alias("pred_id"), F.col("px").alias("x"), (F.col("py") + 1.0).alias("y"))
-    true = o.where("opening_id % 3 <> 0").select("plan_id", "kind", F.col("opening_id").alias("true_id"), F.col("px").alias("tx"), F.col("py").alias("ty"), "width")
-    return rounded(matching.match_openings(pred, true, ["plan_id", "kind"], 6.0), "dist")
-
-
 @query("mask_algebra", f"with a as ({_PIX}), b as ({_PIX2}) select plan_id, count(*) filter (where a.rid is not null and b.rid is not null) both_, count(*) filter (where b.rid is null) only_a, count(*) filter (where a.rid is null) only_b, count(*) either from a full join b using (plan_id, y, x) group by plan_id")
 def _(spark, d):
-    a, b = scene.rooms(spark, d), scene.rooms(spark, d, 2)
-    n = lambda df, name: df.groupBy("plan_id").agg(F.count("*").alias(name))
-    out = n(raster.union(a, b), "either").join(n(raster.inside(a, b), "both_"), "plan_id", "left").join(n(raster.outside(a, b), "only_a"), "plan_id", "left").join(n(raster.outside(b, a), "only_b"), "plan_id", "left")
-    return out.na.fill(0)
+    return raster.overlap_counts(scene.rooms(spark, d), scene.rooms(spark, d, 2))
 
 
 # ---- geometry
@@ -411,12 +377,6 @@ def _(spark, d):
     return rounded(geometry.cluster_and_merge(segs, F.lit(3.6), F.lit(4.8)), "x1", "y1", "x2", "y2", "t")
 
 
-@query("opening_wall_fk", f"select plan_id, count(*) n from ({_HOST}) where wall_id is not null group by plan_id")
-def _(spark, d):
-    o = _hosted(spark, d).where("wall_id is not null")
-    return o.join(scene.walls(spark, d), ["plan_id", "wall_id"], "left_semi").groupBy("plan_id").agg(F.count("*").alias("n"))
-
-
 @query("plan_summary", f"""with a as (select plan_id, count(*) rooms, sum(abs({_area()}) / 2) room_area from ({scene.POLYGONS}) group by 1), b as (select plan_id, count(*) walls, sum(sqrt((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1))) wall_length from ({scene.WALLS}) group by 1),
 c as (select plan_id, count(*) filter (where kind = 'door') doors, count(*) filter (where kind = 'window') windows from ({scene.OPENINGS}) group by 1)
 select plan_id, coalesce(rooms, 0) rooms, coalesce(walls, 0) walls, coalesce(doors, 0) doors, coalesce(windows, 0) windows, {r('coalesce(wall_length, 0)', 1)} wall_length, {r('coalesce(room_area, 0)', 1)} room_area from a full join b using (plan_id) full join c using (plan_id)""")
@@ -452,13 +412,6 @@ def _(spark, d):
     return rounded(tiles.blend(s, 8), "p")
 
 
-@query("svg_transform")
-def _(spark, d):
-    """Affine maps parsed and multiplied; pytest compares them with plain products."""
-    t = F.format_string("translate(%d, %d) scale(2) rotate(90)", F.col("p_partkey") % 50, F.col("p_size"))
-    return rounded(scene.read(spark, d, "part").select("p_partkey", S.affine(t).alias("m")).select("p_partkey", "m.*"), *"abcdef")
-
-
 @query("points_parse", f"select room_id, {r('abs(' + _area() + ') / 2', 2)} area, 5 n from ({scene.POLYGONS})")
 def _(spark, d):
     text = F.array_join(F.transform("polygon", lambda p: F.concat(p["x"].cast("string"), F.lit(","), p["y"].cast("string"))), " ")
@@ -499,18 +452,10 @@ def _(spark, d):
     return edits.orphans(_hosted(spark, d), scene.walls(spark, d).where("wall_id % 5 <> 0")).select("opening_id", "wall_id")
 
 
-@query("geojson_features", f"select room_id, 6 ring_points, plan_id from ({scene.POLYGONS})")
-def _(spark, d):
-    rooms = scene.polygons(spark, d).withColumn("holes", F.array().cast("array<array<struct<x:double,y:double>>>"))
-    f = exports.room_features(rooms)
-    ring = F.size(F.from_json(F.get_json_object("feature", "$.geometry.coordinates[0]"), "array<array<double>>"))
-    return f.select("room_id", ring.alias("ring_points"), "plan_id")
-
-
 def _generated(spark, d):
     """A generated plan for each nation, on the executors."""
     plans = scene.read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"))
-    return generate.masks_of(plans, seed=100, size=192)
+    return generate.masks_of(plans.repartition("id"), seed=100, size=512)
 
 
 @query("generated_masks")
@@ -547,12 +492,10 @@ def _(spark, d):
     return shapes.select("plan_id", "ordinal", "kind", "subtype", S.half_up(S.polygon_area(F.col("points")), 2).alias("area"))
 
 
-@query("snap_polygon", f"select room_id, 5 vertices from ({scene.POLYGONS})")
-def _(spark, d):
-    return scene.polygons(spark, d).select("room_id", F.size(S.without_repeats(F.concat(F.col("polygon"), F.slice("polygon", 1, 1)))).alias("vertices"))
-
-
 @query("history_prune", "select user_id plan_id, count(*) n from (select user_id, row_number() over (partition by user_id order by event_id desc) k from events) where k <= 101 group by user_id")
 def _(spark, d):
     log = scene.read(spark, d, "events").select(F.col("user_id").alias("plan_id"), F.col("event_id").alias("version"), F.col("event_type").alias("op"))
     return edits.history_table(spark, log).groupBy("plan_id").agg(F.count("*").alias("n"))
+
+
+from floorwright.plans import catalog_functions  # noqa: E402, F401  (registers its queries here)

@@ -13,11 +13,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 from floorwright.functions import scalars as S
 from floorwright.functions import taxonomy
 from floorwright.kernels.raster import fill_polygon
+from floorwright.operators.raster import painters_order
 
 #: Fixed value: largest upload in bytes.
 MOST = 25 * 1024 * 1024
@@ -106,23 +106,42 @@ def svg_shapes(text: str) -> Iterator[tuple[int, str, str, str, str]]:
         todo += [(child, maps, mine) for child in reversed(list(node))]
 
 
-@udtf(returnType="ordinal int, kind string, subtype string, transforms string, points string")
-class SvgShapes:
-    def eval(self, text: str):
-        if text:
-            yield from svg_shapes(text)
+_SHAPE = "array<struct<ordinal:int,kind:string,subtype:string,transforms:string,points:string>>"
+
+
+def _parsed(drawings: DataFrame) -> DataFrame:
+    """(plan_id, shapes, error) of drawings (plan_id, svg): a drawing that is no XML has an error and no shapes."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            shapes, errors = [], []
+            for text in pdf.svg:
+                try:
+                    shapes.append([dict(zip(("ordinal", "kind", "subtype", "transforms", "points"), s, strict=True)) for s in svg_shapes(text)] if text else [])
+                    errors.append(None)
+                except ET.ParseError as e:
+                    shapes.append([])
+                    errors.append(str(e))
+            yield pd.DataFrame({"plan_id": pdf.plan_id, "shapes": shapes, "error": pd.Series(errors, dtype=object)})
+
+    return drawings.select("plan_id", "svg").mapInPandas(run, f"plan_id {drawings.schema['plan_id'].dataType.simpleString()}, shapes {_SHAPE}, error string")
 
 
 def svg_polygons(drawings: DataFrame) -> DataFrame:
-    """(plan_id, ordinal, kind, subtype, points) of drawings (plan_id, svg), points in the drawing's own space."""
-    spark = drawings.sparkSession
-    spark.udtf.register("svg_shapes", SvgShapes)
-    drawings.createOrReplaceTempView("_drawings")
-    raw = spark.sql("select d.plan_id, s.* from _drawings d, lateral svg_shapes(d.svg) s")
+    """(plan_id, ordinal, kind, subtype, points) of drawings (plan_id, svg), points in the drawing's own space.
+
+    Null drawings and those that are no XML have none; svg_errors() gives the latter.
+    """
+    raw = _parsed(drawings).select("plan_id", F.explode("shapes").alias("s")).select("plan_id", "s.*")
     out = raw.select("plan_id", "ordinal", "kind", "subtype", S.applied(S.affine(F.col("transforms")), S.points(F.col("points"))).alias("points"))
     return out.where(F.size("points") > 0)
 
 
+def svg_errors(drawings: DataFrame) -> DataFrame:
+    """(plan_id, error) of the drawings that are no XML."""
+    return _parsed(drawings).where("error is not null").select("plan_id", "error")
+
+
 def paint(polygons: DataFrame, height: int, width: int, tax: str = "coarse") -> DataFrame:
     """(plan_id, height, width, data, taxonomy): polygons painted in the painter's order. One plan is one group."""
     t = taxonomy.taxonomy(tax)
@@ -131,8 +150,7 @@ def paint(polygons: DataFrame, height: int, width: int, tax: str = "coarse") ->
     value = F.when(kind == "room", taxonomy.room_class(F.col("subtype"), tax)).when(kind == "railing", taxonomy.room_class(F.lit("Railing"), tax))
     for k, v in fixed.items():
         value = value.when(kind == k, v)
-    order = F.when(kind == "room", 0).when(kind == "railing", 1).when(kind == "wall", 2).when(kind == "window", 3).otherwise(4)
-    own = polygons.select("plan_id", "ordinal", order.alias("z"), value.cast("int").alias("value"), F.transform("points", lambda p: F.array(p["x"], p["y"])).alias("points"))
+    own = polygons.select("plan_id", "ordinal", painters_order(kind).alias("z"), value.cast("int").alias("value"), F.transform("points", lambda p: F.array(p["x"], p["y"])).alias("points"))
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         mask = np.zeros((height, width), np.uint8)
