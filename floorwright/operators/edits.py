@@ -145,6 +145,12 @@ class History:
     versions: tuple[int, ...] = (0,)
     at: int = 0
     fresh: int = 1
+    #: A version that is shown while it is drawn, and not kept.
+    shown: int | None = None
+
+    def preview(self) -> History:
+        """Shows the version that a commit would make; undo, redo and commit end that, and only commit keeps it."""
+        return replace(self, shown=self.fresh)
 
     def commit(self) -> History:
         """A new version after the present one; what was undone is dropped, and so are versions over the limit of undo steps."""
@@ -152,14 +158,14 @@ class History:
         return History(kept, len(kept) - 1, self.fresh + 1)
 
     def undo(self) -> History:
-        return replace(self, at=max(0, self.at - 1))
+        return replace(self, at=max(0, self.at - 1), shown=None)
 
     def redo(self) -> History:
-        return replace(self, at=min(len(self.versions) - 1, self.at + 1))
+        return replace(self, at=min(len(self.versions) - 1, self.at + 1), shown=None)
 
     @property
     def version(self) -> int:
-        return self.versions[self.at]
+        return self.versions[self.at] if self.shown is None else self.shown
 
 
 def history_table(spark: SparkSession, log: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from floorwright.kernels import pixels
+
 Scorer = Callable[[np.ndarray], np.ndarray]
 #: Named scorers: a factory for each, called once in every Python worker.
 SCORERS: dict[str, Callable[[], Scorer]] = {}
@@ -136,16 +138,23 @@ def probabilities(image: np.ndarray, score: Scorer, tile: int = 512, overlap: fl
     return (total / np.maximum(norm, 1e-6))[:, :h, :w]
 
 
-def predict(images: DataFrame, make: Callable[[], Scorer], tile: int = 512, overlap: float = 0.25, tta: bool = False) -> DataFrame:
-    """(plan_id, height, width, data, confidence) of images (plan_id, height, width, data): labels as bytes, row by row."""
+def predict(images: DataFrame, make: Callable[[], Scorer], tile: int = 512, overlap: float = 0.25, tta: bool = False, max_side: int = 4096) -> DataFrame:
+    """(plan_id, height, width, data, confidence) of images (plan_id, height, width, data): labels as bytes, row by row.
+
+    An image whose longer side is over max_side is scored in that size, and its labels are brought back to full size.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = make()
         for pdf in parts:
             out = []
             for r in pdf.itertuples():
-                p = probabilities(np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, 3), score, tile, overlap, tta=tta)
-                out.append((r.plan_id, r.height, r.width, p.argmax(0).astype(np.uint8).tobytes(), float(p.max(0).mean())))
+                image = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, 3)
+                size = pixels.fitted(r.height, r.width, max_side)
+                own = image if size == (r.height, r.width) else pixels.resampled(image, *size)
+                p = probabilities(own, score, tile, overlap, tta=tta)
+                labels = pixels.nearest(p.argmax(0).astype(np.uint8), r.height, r.width)
+                out.append((r.plan_id, r.height, r.width, labels.tobytes(), float(p.max(0).mean())))
             yield pd.DataFrame(out, columns=["plan_id", "height", "width", "data", "confidence"])
 
     return images.select("plan_id", "height", "width", "data").mapInPandas(run, "plan_id long, height int, width int, data binary, confidence double")

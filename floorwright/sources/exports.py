@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import json
 import struct
 import zlib
@@ -103,6 +104,44 @@ def png(pixels: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, {1: 0, 3: 2, 4: 6}[c], 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
+def png_text(pixels: np.ndarray) -> str:
+    """A PNG file as base64 text, for a reply."""
+    return base64.b64encode(png(pixels)).decode()
+
+
+def from_png(data: bytes | str) -> np.ndarray:
+    """The pixels of a PNG file of 8-bit grey, RGB or RGBA rows (bytes or base64 text); other files raise ValueError."""
+    raw = base64.b64decode(data) if isinstance(data, str) else bytes(data)
+    if raw[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("no PNG file")
+    parts, at = {}, 8
+    while at + 8 <= len(raw):
+        n, kind = struct.unpack(">I4s", raw[at : at + 8])
+        parts.setdefault(kind, []).append(raw[at + 8 : at + 8 + n])
+        at += n + 12
+    w, h, depth, colour, _, _, interlaced = struct.unpack(">IIBBBBB", parts[b"IHDR"][0])
+    if depth != 8 or colour not in (0, 2, 6) or interlaced:
+        raise ValueError("only 8-bit grey, RGB and RGBA without interlacing")
+    c = {0: 1, 2: 3, 6: 4}[colour]
+    rows = np.frombuffer(zlib.decompress(b"".join(parts[b"IDAT"])), np.uint8).reshape(h, w * c + 1)
+    out = np.zeros((h + 1, w + 1, c), np.int64)  # a row and a column of zeros before the first
+    for y, row in enumerate(rows, 1):
+        kind, line = row[0], row[1:].reshape(w, c).astype(np.int64)
+        if kind == 0:
+            out[y, 1:] = line
+        elif kind == 1:
+            out[y, 1:] = np.cumsum(line, 0) % 256
+        elif kind == 2:
+            out[y, 1:] = (line + out[y - 1, 1:]) % 256
+        else:
+            for x in range(1, w + 1):
+                a, b, d = out[y, x - 1], out[y - 1, x], out[y - 1, x - 1]
+                near = np.abs([b - d, a - d, a + b - 2 * d])
+                guess = (a + b) // 2 if kind == 3 else np.choose(near.argmin(0), [a, b, d])
+                out[y, x] = (line[x - 1] + guess) % 256
+    return out[1:, 1:].astype(np.uint8).reshape((h, w) if c == 1 else (h, w, c))
+
+
 def palette_mask(labels: np.ndarray, tax: taxonomy.Taxonomy = taxonomy.COARSE) -> np.ndarray:
     """Labels in their colours, background transparent."""
     colors = np.zeros((256, 4), np.uint8)

@@ -42,10 +42,12 @@ def raw_masks(spark: SparkSession, path: str, height: int, width: int) -> DataFr
 
 
 def uploads(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, content, status): 413 for files over the limit (content is left out), else 200."""
+    """(path, length, content, status): 413 for files over the limit, 400 for those that are no image (neither has content), else 200."""
     raw = spark.read.format("binaryFile").load(path)
-    big = F.col("length") > MOST
-    return raw.select("path", "length", F.when(~big, F.col("content")).alias("content"), F.when(big, 413).otherwise(200).alias("status"))
+    place = F.regexp_replace("path", "^([a-z0-9]+):/+", "$1:/").alias("place")  # the two readers write a local path differently
+    shown = images(spark, path).select(place, F.lit(True).alias("shown"))
+    status = F.when(F.col("length") > MOST, 413).when(F.col("shown").isNull(), 400).otherwise(200)
+    return raw.withColumn("place", place).join(shown, "place", "left").select("path", "length", F.when(status == 200, F.col("content")).alias("content"), status.alias("status"))
 
 
 def split_folders(spark: SparkSession, path: str, split: str) -> DataFrame:
