@@ -39,7 +39,9 @@ _LENGTHS, _SAVED, _LOST = 10, 40, 8
 _NOTHING, _GAIN = _LENGTHS * _SAVED, 8
 #: So many windows' worth of the one-dimensional odds go into a cell's own.
 _LEAN = 2000
-#: Windows compressed in one call.
+#: Numbers of byte n-grams.
+_GRAMS = 1 << 23
+#: Windows spelled at once.
 _CALL = 4096
 
 
@@ -54,7 +56,7 @@ class ToxicityConfig:
     ratio: float = 3.0
     segment: int = 24
     #: Bytes of ordinary windows (chosen evenly) that the ordinary dictionary is trained on at most.
-    training_bytes: int = 12 << 20
+    training_bytes: int = 4 << 20
     #: Labelled rows that the fit uses at most (chosen by a hash of doc_id); their texts are used whole.
     labelled_rows: int = 12_000
     #: Remainder of crc32(doc_id as text) modulo folds that is held out.
@@ -127,7 +129,7 @@ def _features(odds: np.ndarray) -> list[float]:
 
 
 def _grams(text: bytes, n: int) -> np.ndarray:
-    """A number of 24 bits for each byte n-gram of the text; 0 for one that goes beyond a word's end."""
+    """A number below _GRAMS for each byte n-gram of the text; 0 for one that goes beyond a word's end."""
     x = np.frombuffer(text, np.uint8).astype(np.uint64)
     h = np.zeros(max(0, len(x) - n + 1), np.uint64)
     for j in range(n):
@@ -135,7 +137,7 @@ def _grams(text: bytes, n: int) -> np.ndarray:
     h ^= h >> np.uint64(29)
     blank = np.concatenate([[0], np.cumsum(x == 32)])
     inside = blank[n : n + len(h)] - blank[1 : 1 + len(h)] == 0
-    return np.where(inside, h * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40), np.uint64(0)).astype(np.int32)
+    return np.where(inside, h * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(41), np.uint64(0)).astype(np.int32)
 
 
 def _line(text: bytes) -> bytes:
@@ -144,16 +146,17 @@ def _line(text: bytes) -> bytes:
 
 def _passages(texts: list[tuple[bytes, int]], config: ToxicityConfig) -> list[bytes]:
     """The runs of toxic texts whose n-grams stand in significantly more toxic texts than expected."""
-    counts, n = np.zeros((2, 1 << 24), np.int32), [0, 0]
+    counts, n = np.zeros((2, _GRAMS), np.int32), [0, 0]
     for t, y in texts:
         counts[y][np.unique(_grams(_line(t), config.gram))] += 1
         n[y] += 1
-    expected = counts.sum(0, dtype=np.float32)
-    expected += 1
-    expected *= n[1] / max(1, sum(n))
     counts[:, 0] = 0
-    own = (counts[1] - expected > config.deviations * np.sqrt(expected)) & (counts[1] * n[0] > config.ratio * n[1] * (counts[0] + 0.5))
-    del counts, expected
+    own = np.empty(_GRAMS, bool)
+    for i in range(0, _GRAMS, 1 << 18):  # in parts, so that no more than the counts is held
+        good, bad = counts[:, i : i + (1 << 18)].astype(np.float64)
+        expected = (good + bad + 1) * (n[1] / max(1, sum(n)))
+        own[i : i + len(bad)] = (bad - expected > config.deviations * np.sqrt(expected)) & (bad * n[0] > config.ratio * n[1] * (good + 0.5))
+    del counts
     out = []
     for t, y in texts:
         if y:
