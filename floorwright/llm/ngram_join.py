@@ -41,7 +41,7 @@ from floorwright.llm.text import STEP, mix, shingle_sets, steps
 
 WIDTH, PERCENT = 5, 75
 #: Rows of a block of columns in step 1, as entries of eight bytes.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: Rounds of contraction and the hash orders in each.
 ROUNDS, ORDERS = 2, 8
 #: Parts into which the rows of one column are dealt, each with a row of its own to be multiplied with.
@@ -80,7 +80,7 @@ def set_sizes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def _kept_of_texts(width: int, percent: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-        for b, texts in steps(batches, most=2 * STEP):
+        for b, texts in steps(batches, most=STEP):
             yield b.column("doc_id").to_numpy(zero_copy_only=False), [s[: kept(len(s), percent)].copy() for s in shingle_sets(texts, width)]
 
     return read
