@@ -337,7 +337,8 @@ def train_shard(texts: list[bytes], vocab: Vocabulary, config: LanguageModelConf
     hashes, heads, offsets = _tokens(texts, config)
     ids, _ = _ids(hashes, heads, vocab)
     end = int(_ids(np.array([END]), np.zeros(1, np.int64), vocab)[0][0])
-    inputs, targets, fresh, at, _ = grid(ids, offsets, config.lanes, end, max(config.window, len(ids) // config.lanes // 4))
+    lanes = min(config.lanes, max(8, len(ids) // (100 * config.window)))  # a shard of few tokens takes about 100 steps all the same
+    inputs, targets, fresh, at, _ = grid(ids, offsets, lanes, end, max(config.window, len(ids) // lanes // 4))
     net = Network(vocab, config, {k: v.copy() for k, v in weights.items()})
     w = net.weights
     m, v, spare = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(3))
