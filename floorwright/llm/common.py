@@ -27,6 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def lean(spark: SparkSession) -> None:
+    """Batches of at most 1000 rows between the JVM and Python workers: rows are whole texts or sets, and the default of 10,000
+    of them is held several times over on both sides. A smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000")) > 1000:
+        spark.conf.set(name, "1000")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and outlives a lost executor."""
     spark = df.sparkSession

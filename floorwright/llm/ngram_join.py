@@ -35,13 +35,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from floorwright.llm.common import dropped, small, written
+from floorwright.llm.common import dropped, lean, small, written
 from floorwright.llm.components import components
 from floorwright.llm.text import STEP, mix, shingle_sets, steps
 
 WIDTH, PERCENT = 5, 75
 #: Rows of a block of columns in step 1, as entries of eight bytes.
 BLOCK = 1 << 19
+#: Sets that a worker takes at once.
+SLICE = 500
 #: Rounds of contraction and the hash orders in each.
 ROUNDS, ORDERS = 2, 8
 #: Parts into which the rows of one column are dealt, each with a row of its own to be multiplied with.
@@ -88,8 +90,8 @@ def _kept_of_texts(width: int, percent: int):
 
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
     for b in batches:
-        for i in range(0, b.num_rows, 2000):
-            own = b.slice(i, 2000)
+        for i in range(0, b.num_rows, SLICE):
+            own = b.slice(i, SLICE)
             yield own.column("doc_id").to_numpy(zero_copy_only=False), [np.frombuffer(x.as_buffer(), np.uint64) for x in own.column("hashes")]
 
 
@@ -172,8 +174,8 @@ def _smallest(sets: DataFrame, seed: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 1000):
-                own = b.slice(i, 1000)
+            for i in range(0, b.num_rows, SLICE):
+                own = b.slice(i, SLICE)
                 cols = [np.frombuffer(x.as_buffer(), np.uint64) for x in own.column("hashes")]
                 starts, h = np.cumsum([0] + [len(c) for c in cols[:-1]]), np.concatenate(cols)
                 for k in range(ORDERS):
@@ -220,8 +222,8 @@ def _between(sets: DataFrame, blocks: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                b = whole.slice(at, 2000)
+            for at in range(0, whole.num_rows, SLICE):
+                b = whole.slice(at, SLICE)
                 ids, comps = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "component"))
                 cols = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column("hashes")]
                 h, row = np.concatenate(cols), np.repeat(np.arange(len(cols)), [len(c) for c in cols])
@@ -439,6 +441,7 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     empty set, link with nothing and are their own component. Rows that repeat a doc_id are one node and each come back.
     A null doc_id links with nothing and has a null component_id.
     """
+    lean(docs.sparkSession)
     sizes = written(set_sizes(docs, width), "sizes")
     found = links(docs, sizes, width, percent, rounds)
     first = sizes.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("first"))

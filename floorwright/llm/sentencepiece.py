@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floorwright.llm.common import table
+from floorwright.llm.common import lean, table
 from floorwright.llm.text import steps
 
 MARK = "▁"
@@ -198,6 +198,7 @@ def encode_documents(docs: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
             decoded = [sp.decode(x) for x in ids]
             yield b.append_column("piece_ids", pa.array(ids, pa.list_(pa.int32()))).append_column("decoded", pa.array(decoded, pa.string()))
 
+    lean(docs.sparkSession)
     docs = docs.drop("piece_ids", "decoded")
     schema = docs.select("*", F.lit(None).cast("array<int>").alias("piece_ids"), F.lit(None).cast("string").alias("decoded")).schema
     return docs.mapInArrow(run, schema)

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floorwright.llm.common import in_one_task, small
+from floorwright.llm.common import in_one_task, lean, small
 from floorwright.llm.text import STEP, steps
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -265,6 +265,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, column: str = "toxic_
         for b, texts in steps(batches, most=STEP):
             yield b.append_column(column, pa.array(scores(model, texts), pa.float64()))
 
+    lean(docs.sparkSession)
     docs = docs.drop(column)
     return docs.mapInArrow(run, docs.select("*", F.lit(0.0).cast("double").alias(column)).schema)
 
