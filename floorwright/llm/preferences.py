@@ -47,7 +47,7 @@ def rendered(role: Column, text: Column) -> Column:
 def format_pairs(pairs: DataFrame) -> DataFrame:
     """(pair_id, prompt_turns, prompt, chosen, rejected, chosen_spans, rejected_spans), one row for each pair.
 
-    Spans are [start, end) in characters of the completion. Two equal sides are all prompt and have empty completions; a
+    Spans are [start, end) in characters of the completion. All turns of a pair are in its one row. Two equal sides are all prompt and have empty completions; a
     pair of which one side is missing has an empty prompt.
     """
     rows = preference_rows(pairs).withColumn("s", rendered(F.col("role"), F.col("text")))
@@ -70,14 +70,15 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def swapped_pairs(conversations: DataFrame) -> DataFrame:
-    """Pairs from a table that has none: for each conversation with an assistant turn, chosen is the conversation up to the
-    last of these, rejected the same with that turn taken from its neighbour (conv_id with the last bit flipped), if that
-    one has an assistant turn too."""
+    """Pairs from a table that has none, one for each conversation: chosen is the whole conversation, rejected the same with
+    its last assistant turn taken from its neighbour (conv_id with the last bit flipped). Where that one has no assistant
+    turn, or isn't there, the rejected turn is empty; a conversation without an assistant turn has two equal sides, which
+    are all prompt. Turns behind the last assistant turn stay on both sides."""
     own = turns(conversations)
-    last = own.where(F.col("role") == TRAINED).groupBy("conv_id").agg(F.max("turn").alias("turn"), F.max_by(F.struct("role", "text"), "turn").alias("said"))
-    other = last.select(F.col("conv_id").bitwiseXOR(F.lit(1).cast("long")).alias("conv_id"), F.col("said.text").alias("other"))
-    ends = last.join(other, "conv_id").select("conv_id", F.col("turn").alias("last"), "other")
-    rows = own.join(ends, "conv_id").where("turn <= last")
+    last = own.where(F.col("role") == TRAINED).groupBy("conv_id").agg(F.max("turn").alias("last"), F.max_by("text", "turn").alias("said"))
+    other = last.select(F.col("conv_id").bitwiseXOR(F.lit(1).cast("long")).alias("conv_id"), F.col("said").alias("other"))
+    ends = last.join(other, "conv_id", "left").select("conv_id", "last", F.coalesce("other", F.lit("")).alias("other"))
+    rows = own.join(ends, "conv_id", "left")
     sides = F.explode(F.array(F.struct(F.lit("chosen").alias("side"), F.col("text").alias("text")), F.struct(F.lit("rejected").alias("side"), F.when(F.col("turn") == F.col("last"), F.col("other")).otherwise(F.col("text")).alias("text"))))
     return rows.select(F.col("conv_id").alias("pair_id"), "turn", "role", sides.alias("x")).select("pair_id", "x.side", "turn", "role", "x.text")
 
@@ -93,8 +94,8 @@ ORACLE = f"""
 with t as (select conv_id, turn, min(struct_pack(r := coalesce(role, ''), x := coalesce(text, ''))) s from conversations
            where conv_id is not null and turn is not null group by conv_id, turn),
 l as (select conv_id, max(turn) turn, arg_max(s, turn) s from t where s.r = 'assistant' group by conv_id),
-e as (select a.conv_id, a.turn fin, b.s.x other from l a join l b on b.conv_id = xor(a.conv_id, 1)),
-p as (select t.conv_id, t.turn, t.s.r r, t.s.x c, case when t.turn = fin then other else t.s.x end j from t join e using (conv_id) where t.turn <= fin),
+e as (select a.conv_id, a.turn fin, coalesce(b.s.x, '') other from l a left join l b on b.conv_id = xor(a.conv_id, 1)),
+p as (select t.conv_id, t.turn, t.s.r r, t.s.x c, case when t.turn = fin then other else t.s.x end j from t left join e using (conv_id)),
 f as (select conv_id, min(turn) filter (where c <> j) fork from p group by conv_id),
 q as (select p.*, fork is null or turn < fork shared, '<|' || r || '|>' || chr(10) head from p join f using (conv_id)),
 k as (select conv_id, turn, r, shared, length(head) h, head || c || '{_TURN_END} cs, head || j || '{_TURN_END} js from q),

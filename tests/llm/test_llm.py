@@ -357,5 +357,11 @@ def test_preferences(spark):
     assert (out[2].prompt_turns, out[2].chosen, out[2].rejected) == (1, "", "")
     assert (out[3].prompt, out[3].rejected) == ("", "")
     odd = spark.createDataFrame([(0, 0, None, None), (0, 0, "assistant", "x"), (None, 1, "user", "y"), (1, None, "user", "z")], "conv_id long, turn long, role string, text string")
-    assert preferences.format_pairs(preferences.swapped_pairs(odd)).count() == 0
+    only = preferences.format_pairs(preferences.swapped_pairs(odd)).collect()
+    assert [(x.pair_id, x.prompt_turns, x.chosen, x.rejected) for x in only] == [(0, 1, "", "")]
+    said = [(4, 0, "user", "q"), (4, 1, "assistant", "a"), (4, 2, "user", "thanks"), (5, 0, "assistant", "b"), (8, 0, "assistant", "alone"), (9, 0, "user", "no answer")]
+    got = {x.pair_id: x for x in preferences.format_pairs(preferences.swapped_pairs(spark.createDataFrame(said, odd.schema))).collect()}
+    assert set(got) == {4, 5, 8, 9}
+    assert got[4].chosen == "<|assistant|>\na<|end|>\n<|user|>\nthanks<|end|>\n" and got[4].rejected == got[4].chosen.replace("\na<", "\nb<")
+    assert got[8].rejected == "<|assistant|>\n<|end|>\n" and (got[9].chosen, got[9].prompt_turns) == ("", 1)
     assert json.dumps(preferences.turns(odd).count()) == "1"
