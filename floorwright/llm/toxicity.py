@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from floorwright.llm.common import in_one_task, lean, small
-from floorwright.llm.text import STEP, steps
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _TRIPLES = np.array([[b, b ^ 0x55, (b * 7 + 3) & 255] for b in range(256)], np.uint8)
@@ -261,13 +260,12 @@ def fit_from_tables(docs: DataFrame, labels: DataFrame, config: ToxicityConfig =
 def score_documents(docs: DataFrame, model: ToxicityModel, column: str = "toxic_score") -> DataFrame:
     """docs with a column of scores added (one of that name is replaced). Null and empty texts count as texts without windows."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, texts in steps(batches, most=STEP):
-            yield b.append_column(column, pa.array(scores(model, texts), pa.float64()))
+    @F.arrow_udf("double")  # only texts go to the workers and only scores come back
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(scores(model, [x or b"" for x in texts.cast(pa.binary()).to_pylist()]), pa.float64())
 
     lean(docs.sparkSession)
-    docs = docs.drop(column)
-    return docs.mapInArrow(run, docs.select("*", F.lit(0.0).cast("double").alias(column)).schema)
+    return docs.withColumn(column, score(F.col("text")))
 
 
 def classify(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> DataFrame:
