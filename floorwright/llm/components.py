@@ -8,28 +8,26 @@ from pyspark.sql import functions as F
 from floorwright.llm.common import dropped, written
 
 
-def _star(pairs: DataFrame) -> DataFrame:
-    """For each node the least node among itself and its neighbours; pre-aggregated before the shuffle."""
-    return pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-
-
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): component is the least node that links reach. Only nodes with a link are returned.
 
     edges: two long columns a, b. Nulls and loops are passed over; repeated links count once.
-    A node with very many links is never gathered in one task: its minimum is pre-aggregated and joined back.
+    A node with very many links is never gathered in one task: its minimum is pre-aggregated and written, and links meet
+    it in a join of two plain tables, which Spark broadcasts where that one is small and deals out anew where it is skewed.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and a <> b").distinct()
     e = written(e, "links")
     before = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_star(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        stars = written(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "stars")
+        large = written(both.join(stars, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
         state = new.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        dropped(e)
+        for old in (e, stars, large, least):
+            dropped(old)
         e = new
         if state == before:
             break

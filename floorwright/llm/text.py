@@ -54,6 +54,17 @@ def _piece_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def run_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each run of bytes buf[start:end]; the runs stand in order and don't overlap."""
+    out, k = np.empty(len(starts), np.uint64), 0
+    while k < len(starts):  # pieces end between runs
+        last = max(k + 1, int(np.searchsorted(ends, starts[k] + PIECE, side="right")))
+        at = starts[k]
+        out[k:last] = _piece_hashes(buf[at : ends[last - 1]], starts[k:last] - at, ends[k:last] - at)
+        k = last
+    return out
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes_and_heads(texts)[:2]
 
@@ -70,12 +81,7 @@ def word_hashes_and_heads(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, n
     inside = ~((buf == 32) | ((buf >= 9) & (buf <= 13)))
     turns = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
     starts, ends = turns[0::2], turns[1::2]
-    out, k = np.empty(len(starts), np.uint64), 0
-    while k < len(starts):  # pieces end between words
-        last = max(k + 1, int(np.searchsorted(ends, starts[k] + PIECE, side="right")))
-        at = starts[k]
-        out[k:last] = _piece_hashes(buf[at : ends[last - 1]], starts[k:last] - at, ends[k:last] - at)
-        k = last
+    out = run_hashes(buf, starts, ends)
     bounds = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
     heads = buf[starts].astype(np.int64) * 256 + np.where(ends - starts > 1, buf[starts + 1], 0)
     return out, np.searchsorted(starts, bounds).astype(np.int64), heads
