@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import pickle
 import tempfile
 import uuid
@@ -9,7 +11,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if it has been counted and has at most so many rows of a few numbers.
@@ -35,6 +37,49 @@ def lean(spark: SparkSession) -> None:
         spark.conf.set(name, "1000")
 
 
+def give_back() -> None:
+    """Hands memory that Arrow and the C library keep for later back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(run: Callable) -> Callable:
+    """run, a function of mapInArrow, but what its task took goes back to the system when it ends: workers are used again by
+    other stages, and each would keep the most that any of its tasks ever took."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
+def tidy_group(make: Callable) -> Callable:
+    """The same for a function of applyInArrow."""
+
+    @functools.wraps(make)
+    def tidied(group: pa.Table) -> pa.Table:
+        out = make(group)
+        del group
+        give_back()
+        return out
+
+    return tidied
+
+
+def bounded(rows: DataFrame, key: Column, most: int) -> DataFrame:
+    """At most so many of the distinct rows: those whose hash `key` is least. Only hashes are sorted and only one number reaches the driver."""
+    own = rows.withColumn("_key", key)
+    last = own.select("_key").distinct().orderBy("_key").limit(most).agg(F.max("_key")).first()[0]
+    return own.where(F.col("_key") <= F.lit(last)).dropDuplicates(["_key"]).drop("_key")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and outlives a lost executor."""
     spark = df.sparkSession
@@ -80,5 +125,5 @@ def in_one_task(rows: DataFrame, make: Callable[..., Any]) -> Any:
             held.clear()
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(make(*columns))], pa.binary())], ["made"])
 
-    found = rows.repartition(1).mapInArrow(run, "made binary").collect()
+    found = rows.repartition(1).mapInArrow(tidy(run), "made binary").collect()
     return pickle.loads(found[0].made) if found else None

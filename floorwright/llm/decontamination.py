@@ -5,7 +5,7 @@ partitioned by size, a partition for each power of two of m. A partition has its
 its items are their k smallest shingle hashes (bottom-k MinHash), with the largest m - need(m) + 1 of its items as k, the
 least length for which no document that contains an item can miss all of its signature. A document is probed with all its
 shingles, so a short item is found anywhere inside a long text, and only in the partitions that it can fill: those whose
-least need is at most the document's own number of shingles. What the signatures find is then counted over whole sets.
+least need is at most the document's own number of shingles (a document of several rows in all of them). What the signatures find is then counted over whole sets.
 
 The document side is never shuffled: it meets the signatures in a broadcast join if these have been counted and are small,
 and in a shuffle join on the hash else, with each document's rows dealt into parts so that a very common hash isn't one
@@ -64,9 +64,9 @@ def containment(docs: DataFrame, items: DataFrame, width: int = WIDTH, percent:
     # a hash of several partitions stands for the one that the smallest document can fill
     signatures = index.where("signed").groupBy("h").agg(F.min("least").alias("least"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    split = texts.select("doc_id", words(F.col("text")).alias("w"))
-    probes = split.select("doc_id", F.greatest(F.size("w") - (width - 1), F.lit(1)).alias("n"), F.explode(shingle_hashes(F.col("w"), width)).alias("h"))
-    hits = written(_met(probes, signatures).where("least <= n").select("doc_id").distinct(), "hits")
+    split = _with_fill(texts.select("doc_id", words(F.col("text")).alias("w")), width)
+    probes = split.select("doc_id", "n", F.explode(shingle_hashes(F.col("w"), width)).alias("h"))
+    hits = written(_met(probes, signatures).where("n is null or least <= n").select("doc_id").distinct(), "hits")
     # only these documents are read again, for the exact count over whole sets
     again = texts.join(small(hits, hits.count()), "doc_id", "left_semi")
     exact = _met(_shingles(again, "doc_id", width).distinct(), index.select("item_id", "h", "need", "m", "signed"))
@@ -74,6 +74,20 @@ def containment(docs: DataFrame, items: DataFrame, width: int = WIDTH, percent:
     return counted.where("signed and overlap >= need").select("doc_id", "item_id", "overlap", "item_shingles")
 
 
+def _with_fill(split: DataFrame, width: int) -> DataFrame:
+    """split (doc_id, w) with n, the most shingles that the document can have; null where its doc_id stands in several rows,
+    so that it is probed in all partitions. Only ids are shuffled; with very many such ids n is null everywhere."""
+    again = written(split.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    rows = again.count()
+    n = F.greatest(F.size("w") - (width - 1), F.lit(1))
+    if rows > BROADCAST_ROWS:
+        return split.withColumn("n", F.lit(None).cast("int"))
+    if rows:
+        split = split.join(F.broadcast(again.withColumn("again", F.lit(True))), "doc_id", "left")
+        n = F.when(F.col("again").isNull(), n)
+    return split.select("doc_id", "w", n.alias("n"))
+
+
 def _met(probes: DataFrame, index: DataFrame) -> DataFrame:
     """probes joined with index on h: broadcast if the counted index is small, else by h and a part of the documents."""
     rows = index.count()

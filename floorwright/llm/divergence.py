@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floorwright.llm.common import dropped, small, table, written
+from floorwright.llm.common import dropped, lean, small, table, tidy, written
 from floorwright.llm.text import run_hashes, steps
 
 _LETTERS = np.array([b >= 128 or 65 <= b <= 90 or 97 <= b <= 122 for b in range(256)])
@@ -44,7 +44,7 @@ class DivergenceConfig:
     bits: int = 64
     #: Sources of a tile's side and terms of a tile.
     sources: int = 128
-    terms: int = 4096
+    terms: int = 1024
 
 
 def terms(texts: list[bytes]) -> tuple[pa.BinaryArray, np.ndarray]:
@@ -122,7 +122,7 @@ def term_counts(docs: DataFrame, config: DivergenceConfig) -> DataFrame:
             merge()
             yield out()
 
-    found = docs.select("lang", "source", "text").mapInArrow(run, "lang string, source string, h long, n long, d long")
+    found = docs.select("lang", "source", "text").mapInArrow(tidy(run), "lang string, source string, h long, n long, d long")
     return found.groupBy("lang", "source", "h").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
 
 
@@ -142,7 +142,7 @@ def _strings(docs: DataFrame, config: DivergenceConfig) -> DataFrame:
             own = pa.concat_arrays(held).unique()
             yield pa.RecordBatch.from_arrays([pa.array(digests(own, config.bits)), own.cast(pa.string())], ["h", "term"])
 
-    return docs.select("text").mapInArrow(run, "h long, term string")
+    return docs.select("text").mapInArrow(tidy(run), "h long, term string")
 
 
 def _split_counts(docs: DataFrame, split: DataFrame, config: DivergenceConfig) -> DataFrame:
@@ -175,6 +175,7 @@ def audit(docs: DataFrame, config: DivergenceConfig = DivergenceConfig()) -> Dat
     gives no rows, and neither does a lang's only group without terms.
     """
     own = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
+    lean(docs.sparkSession)
     counts = written(term_counts(own, config), "counts")
     kept = written(counts.groupBy("lang", "h").agg(F.sum("d").alias("d")).where(F.col("d") >= config.least_texts).select("lang", "h"), "kept")
     wanted = written(kept.select("h").distinct(), "wanted")
@@ -215,7 +216,7 @@ def _tops(shares: DataFrame, groups: DataFrame, in_lang: DataFrame, strings: Dat
 
 
 def _pairs(shares: DataFrame, groups: DataFrame, n_groups: int, config: DivergenceConfig) -> DataFrame:
-    s, size = groups.sparkSession, config.sources
+    size = config.sources
     numbered = groups.withColumn("k", F.expr("row_number() over (partition by lang order by source) - 1"))
     tiles = F.ceil(F.expr("count(*) over (partition by lang)") / size).cast("int")
     zero = F.when(F.col("v") > 0, _share(F.lit(0), F.greatest(F.col("total"), F.lit(1)), config)).otherwise(0)
@@ -260,7 +261,6 @@ def _pairs(shares: DataFrame, groups: DataFrame, n_groups: int, config: Divergen
 
     kinds = "lang string, a int, b int, total long, met long"
     sums = rows.groupBy("lang", "part", "i", "j").applyInArrow(tile, kinds).where("a < b").groupBy("lang", "a", "b").agg(F.sum("total").alias("total"), F.sum("met").alias("met"))
-    del s
     of = lambda c: numbered.select("lang", F.col("k").alias(c), F.col("source").alias(f"source_{c}"), F.col("zero").alias(f"zero_{c}"), *(["v"] if c == "a" else []))
     named = sums.join(small(of("a"), n_groups), ["lang", "a"]).join(small(of("b"), n_groups), ["lang", "b"])
     value = F.col("total") + (F.col("v") - F.col("met")) * F.abs(F.col("zero_a") - F.col("zero_b"))

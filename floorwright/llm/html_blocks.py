@@ -22,6 +22,8 @@ _RAW_END = {name: re.compile(rf"</{name}\b[^>]*(?:>|$)", re.I) for name in ("scr
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript object script style template title head html".split())
 #: Elements beyond which the start of an element closes none.
 _BARRIER = frozenset("table ul ol dl select div article section".split())
+#: Which elements the start of one closes.
+_CLOSES = {tag: [t for t, closing in CLOSED_BY.items() if tag in closing] for tag in frozenset().union(*CLOSED_BY.values())}
 _SPACE = re.compile(r"\s+")
 _PLAIN = re.compile(r"[a-z0-9]+")
 
@@ -116,6 +118,8 @@ def blocks(page: str) -> list[Block]:
     open_: list[tuple[str, Node | None, tuple[str, ...], bool]] = []  # (tag, path, its words, hidden)
     count: Counter[str] = Counter()  # open elements by tag
     held: Counter[str] = Counter()  # words on the path
+    places: dict[str, list[int]] = {t: [] for t in CLOSED_BY}  # where elements that a start closes are open, and where barriers are
+    barriers: list[int] = []
     none_after = {'"': len(page), "'": len(page)}
     parts: list[str] = []
     links = hidden = in_link = 0
@@ -132,7 +136,11 @@ def blocks(page: str) -> list[Block]:
     def close(k: int) -> None:
         """Closes open_[k] and all inside it."""
         nonlocal hidden, in_link
-        for t, _, words, gone in open_[k:]:
+        for t, _, words, gone in reversed(open_[k:]):
+            if t in places:
+                places[t].pop()
+            elif t in _BARRIER:
+                barriers.pop()
             hidden -= gone
             in_link -= t == "a"
             count[t] -= 1
@@ -190,13 +198,9 @@ def blocks(page: str) -> list[Block]:
             end()
         elif tag == "br":
             text(" ")
-        if any(count[t] and tag in closing for t, closing in CLOSED_BY.items()):
-            for k in range(len(open_) - 1, -1, -1):
-                if tag in CLOSED_BY.get(open_[k][0], ()):
-                    close(k)
-                    break
-                if open_[k][0] in _BARRIER:
-                    break
+        inner = max((places[t][-1] for t in _CLOSES.get(tag, ()) if places[t]), default=-1)
+        if inner > (barriers[-1] if barriers else -1):
+            close(inner)
         if tag in VOID or attrs.endswith("/") and tag in HIDDEN:
             continue
         name, gone = _name(tag, attrs)
@@ -206,6 +210,10 @@ def blocks(page: str) -> list[Block]:
             words = tuple(dict.fromkeys(name.split(".")))
             node = Node(name, node, tuple(w for w in words if not held[w]))
             held.update(words)
+        if tag in places:
+            places[tag].append(len(open_))
+        elif tag in _BARRIER:
+            barriers.append(len(open_))
         open_.append((tag, node, words, gone))
         count[tag] += 1
         hidden += gone

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floorwright.llm.common import in_one_task, table
+from floorwright.llm.common import bounded, in_one_task, lean, table, tidy
 from floorwright.llm.html_blocks import Block, Node, blocks, chain
 from floorwright.llm.text import steps
 
@@ -35,7 +35,7 @@ class LabellerConfig:
     buckets: int = 4096
     width: int = 24
     hidden: int = 24
-    #: Pages that the fit uses at most, chosen by a hash of page_id, and blocks of each at most that one step reads.
+    #: Pages that the fit uses at most, chosen by a hash, and blocks of each at most that one step reads.
     pages: int = 600
     blocks: int = 120
     epochs: int = 10
@@ -312,15 +312,14 @@ def extract(pages: DataFrame, model: Labeller) -> DataFrame:
             texts = [" ".join(x.text for x, p in zip(page, probs, strict=True) if p >= 0.5) for page, probs in zip(own, label(model, own), strict=True)]
             yield b.select(["page_id", "url"]).append_column("text", pa.array(texts, pa.string())).append_column("n_chars", pa.array([len(t) for t in texts], pa.int64()))
 
+    lean(pages.sparkSession)
     own = pages.select("page_id", "url", "html")
-    return own.mapInArrow(run, own.select("page_id", "url", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema)
+    return own.mapInArrow(tidy(run), own.select("page_id", "url", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema)
 
 
 def fit_from_table(pages: DataFrame, config: LabellerConfig = LabellerConfig()) -> Labeller:
-    """Fits in one task on at most about config.pages whole rows, chosen by a hash of page_id; null html is passed over."""
-    n = pages.count()
-    share = min(1.0, config.pages / max(1, n))
-    rows = pages.where("html is not null").where(F.pmod(F.xxhash64("page_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    """Fits in one task on at most config.pages whole rows, chosen by a hash of page_id and html; repeated rows count once, null html is passed over."""
+    rows = bounded(pages.where("html is not null"), F.xxhash64("page_id", "html"), config.pages)
 
     def make(ids: list, texts: list[str]) -> Labeller:
         return fit([t for _, t in sorted(zip(ids, texts, strict=True), key=lambda x: (zlib.crc32(str(x[0]).encode()), x[1]))], config)

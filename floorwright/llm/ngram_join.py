@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from floorwright.llm.common import dropped, lean, small, written
+from floorwright.llm.common import dropped, lean, small, tidy, tidy_group, written
 from floorwright.llm.components import components
 from floorwright.llm.text import STEP, mix, shingle_sets, steps
 
@@ -50,6 +50,8 @@ ROUNDS, ORDERS = 2, 8
 SALTS = 64
 #: Rows of a block of the product and columns of a chunk of it.
 ROWS, CHUNK = 512, 4096
+#: Meetings of two entries in a chunk, for each pair of rows, beyond which a filled-in product is the faster one.
+DENSE = 24
 
 
 def needed(n: int | np.ndarray, percent: int = PERCENT):
@@ -77,7 +79,7 @@ def set_sizes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             h2 = [int(np.bitwise_xor.reduce(mix(s + np.uint64(1))).view(np.int64)) if len(s) else 0 for s in sets]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], ["doc_id", "n", "h1", "h2"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, n long, h1 long, h2 long")
 
 
 def _kept_of_texts(width: int, percent: int):
@@ -140,8 +142,8 @@ def _recurring(rows: DataFrame, read, blocks: int) -> DataFrame:
             n.append(c)
         return pa.table({"doc_id": np.concatenate(who) if who else np.zeros(0, np.int64), "shared": np.concatenate(n).astype(np.int64) if n else np.zeros(0, np.int64)})
 
-    entries = rows.mapInArrow(cut, "block int, hashes binary, ids binary, counts binary, dups binary")
-    return entries.groupBy("block").applyInArrow(count, "doc_id long, shared long").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
+    entries = rows.mapInArrow(tidy(cut), "block int, hashes binary, ids binary, counts binary, dups binary")
+    return entries.groupBy("block").applyInArrow(tidy_group(count), "doc_id long, shared long").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -152,7 +154,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
             sets = shingle_sets(texts, width)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "n", "hashes"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, hashes binary")
+    return docs.mapInArrow(tidy(run), "doc_id long, n long, hashes binary")
 
 
 def _columns(sets: DataFrame) -> DataFrame:
@@ -166,7 +168,7 @@ def _columns(sets: DataFrame) -> DataFrame:
                 times = [len(x) for x in h]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[i : i + 500], times)), pa.array(np.repeat(ns[i : i + 500], times)), pa.array(np.concatenate(h))], ["doc_id", "n", "h"])
 
-    return sets.mapInArrow(run, "doc_id long, n long, h long")
+    return sets.mapInArrow(tidy(run), "doc_id long, n long, h long")
 
 
 def _smallest(sets: DataFrame, seed: int) -> DataFrame:
@@ -182,7 +184,7 @@ def _smallest(sets: DataFrame, seed: int) -> DataFrame:
                     least = np.minimum.reduceat(mix(h + np.uint64((seed * ORDERS + k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))), starts)
                     yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("n"), own.column("component"), pa.array(np.full(len(cols), k, np.int32)), pa.array(least.view(np.int64))], ["doc_id", "n", "component", "k", "h"])
 
-    return sets.select("doc_id", "n", "component", "hashes").mapInArrow(run, "doc_id long, n long, component long, k int, h long")
+    return sets.select("doc_id", "n", "component", "hashes").mapInArrow(tidy(run), "doc_id long, n long, component long, k int, h long")
 
 
 def _suggested(sets: DataFrame, seed: int, percent: int) -> DataFrame:
@@ -214,7 +216,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), "a")
-    return left.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb")), "b").select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
+    return left.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb")), "b").select("a", "b", "ha", "hb").mapInArrow(tidy(run), "a long, b long")
 
 
 def _between(sets: DataFrame, blocks: int) -> DataFrame:
@@ -240,8 +242,8 @@ def _between(sets: DataFrame, blocks: int) -> DataFrame:
         i, c = np.unique(ids[here], return_counts=True)
         return pa.table({"doc_id": np.concatenate([who, i]), "shared": np.concatenate([n, c.astype(np.int64)])})
 
-    entries = sets.select("doc_id", "component", "hashes").mapInArrow(cut, "block int, " + ", ".join(f"{c} binary" for c, _ in _ENTRY))
-    return entries.groupBy("block").applyInArrow(count, "doc_id long, shared long").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
+    entries = sets.select("doc_id", "component", "hashes").mapInArrow(tidy(cut), "block int, " + ", ".join(f"{c} binary" for c, _ in _ENTRY))
+    return entries.groupBy("block").applyInArrow(tidy_group(count), "doc_id long, shared long").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
 
 
 _ENTRY = [("h", np.uint64), ("ids", np.int64), ("comps", np.int64), ("met", np.uint64), ("who", np.int64), ("n", np.int64)]
@@ -362,6 +364,25 @@ def _met(used: DataFrame) -> DataFrame:
     return one.unionByName(parts.join(tops, "h").select(F.col("b").alias("a"), F.col("top").alias("b"))).where("a <> b").distinct()
 
 
+def _overlaps(column: np.ndarray, row: np.ndarray, left: np.ndarray, n_a: int, n_b: int) -> np.ndarray:
+    """Overlap counts (n_a * n_b) over one chunk of columns; entries are in order of their column.
+
+    Sparse, column by column: each entry of a left row meets those of the right rows of its column. Where these are more
+    than DENSE for each pair of rows, the chunk is filled in and multiplied; counts of a chunk are exact in 32 bits.
+    """
+    ca, ra, cb, rb = column[left], row[left], column[~left], row[~left]
+    first, last = np.searchsorted(cb, ca), np.searchsorted(cb, ca, side="right")
+    times = last - first
+    total = int(times.sum())
+    if total > DENSE * n_a * n_b:
+        x, y = np.zeros((n_a, CHUNK), np.float32), np.zeros((n_b, CHUNK), np.float32)
+        x[ra, ca] = 1
+        y[rb, cb] = 1
+        return (x @ y.T).astype(np.int64).ravel()
+    at = np.arange(total) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first, times)
+    return np.bincount(np.repeat(ra, times) * n_b + rb[at], minlength=n_a * n_b)
+
+
 def _product(rows: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that connect what any links between rows of a cluster connect.
 
@@ -407,14 +428,11 @@ def _product(rows: DataFrame, percent: int) -> DataFrame:
         column, of, in_a = shared[column[keep]], of[keep], in_a[keep]
         order = np.argsort(column, kind="stable")
         column, of, in_a = column[order], of[order], in_a[order]
-        overlap = np.zeros((len(a), len(b)), np.float32)
+        overlap = np.zeros(len(a) * len(b), np.int64)
         for c in range(0, int(column[-1]) + 1 if len(column) else 0, CHUNK):
             i, j = np.searchsorted(column, (c, c + CHUNK))
-            x, y = np.zeros((len(a), CHUNK), np.float32), np.zeros((len(b), CHUNK), np.float32)
-            col, r, left = column[i:j] - c, row[of[i:j]], in_a[i:j]
-            x[r[left], col[left]] = 1
-            y[r[~left], col[~left]] = 1
-            overlap += x @ y.T
+            overlap += _overlaps(column[i:j] - c, row[of[i:j]], in_a[i:j], len(a), len(b))
+        overlap = overlap.reshape(len(a), len(b))
         hit = 100 * overlap >= percent * (n[a][:, None] + n[b][None, :] - overlap)
         hit &= comps[a][:, None] != comps[b][None, :]
         a, b, hit = a[hit.any(1)], b[hit.any(0)], hit[hit.any(1)][:, hit.any(0)]
@@ -430,7 +448,7 @@ def _product(rows: DataFrame, percent: int) -> DataFrame:
         out = pa.table({"a": np.concatenate([ids[a], ids[b]]), "b": np.concatenate([x, y])})
         return out.filter(pc.not_equal(out.column("a"), out.column("b")))
 
-    return dealt.groupBy("cluster", "kind", "i", "j").applyInArrow(multiply, "a long, b long")
+    return dealt.groupBy("cluster", "kind", "i", "j").applyInArrow(tidy_group(multiply), "a long, b long")
 
 
 def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:

@@ -27,23 +27,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floorwright.llm.common import table, written
+from floorwright.llm.common import lean, table, tidy, tidy_group, written
 from floorwright.llm.text import STEP, steps, word_hashes_and_heads
 
+#: Rows of states for which probabilities are computed at once: what they need stays in the processor's cache.
+_ROWS = 512
 #: The hash that stands for the end of a text.
 END = np.uint64(0x5BD1E995CAFEF00D)
 
 
 @dataclass(frozen=True)
 class LanguageModelConfig:
-    hot: int = 4096
-    per_class: int = 64
-    heads: int = 64
+    hot: int = 1024
+    per_class: int = 32
+    heads: int = 32
     #: Words whose counts every worker holds; those of the rest are joined.
     held: int = 65536
     width: int = 16
     window: int = 16
-    lanes: int = 256
+    lanes: int = 512
     rate: float = 0.04
     #: Added to the root of the squared gradients: holds back weights of which a shard tells little.
     damping: float = 1e-5
@@ -102,7 +104,7 @@ def word_counts(docs: DataFrame, config: LanguageModelConfig) -> DataFrame:
             held[:] = [merged()]
             yield out()
 
-    return docs.select("text").mapInArrow(run, "h long, head int, n long").groupBy("h").agg(F.first("head").alias("head"), F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(tidy(run), "h long, head int, n long").groupBy("h").agg(F.first("head").alias("head"), F.sum("n").alias("n"))
 
 
 @dataclass
@@ -154,6 +156,16 @@ def vocabulary(counts: DataFrame, config: LanguageModelConfig) -> Vocabulary:
     return Vocabulary(h[by_hash], ids[by_hash].astype(np.int32), share[by_hash], (np.log10(n + 1) - total)[by_hash], head_total, total, n[:hot].astype(np.float64), head_n + 1, all_n)
 
 
+def _tanh(x: np.ndarray) -> None:
+    """tanh in place, by the exponential, which numpy has in vector form; beyond 15 it is 1 in single precision."""
+    np.clip(x, -15, 15, out=x)
+    x *= 2
+    np.exp(x, out=x)
+    x += 1
+    np.divide(-2, x, out=x)
+    x += 1
+
+
 class Network:
     """Gated recurrent network with a class-factored softmax. ids below hot are words; from hot on, head classes."""
 
@@ -185,8 +197,10 @@ class Network:
         """States (steps, lanes, width) from the inputs' gate sums; h is set to 0 where a text begins."""
         w, n = self.weights["wh"], self.config.width
         out = np.empty((*pre.shape[:2], n), np.float32)
+        turns = fresh.any(1)
         for t in range(len(pre)):
-            h = h * ~fresh[t][:, None]
+            if turns[t]:
+                h = h * ~fresh[t][:, None]
             hw = h @ w
             g = pre[t][:, : 2 * n] + hw[:, : 2 * n]
             np.negative(g, out=g)
@@ -194,32 +208,37 @@ class Network:
             g += 1
             np.reciprocal(g, out=g)
             z, r = g[:, :n], g[:, n:]
-            c = np.tanh(pre[t][:, 2 * n :] + r * hw[:, 2 * n :])
+            c = r * hw[:, 2 * n :]
+            c += pre[t][:, 2 * n :]
+            _tanh(c)
             if keep is not None:
                 keep.append((h, hw[:, 2 * n :], z, r, c))
-            h = c + z * (h - c)
-            out[t] = h
+            h = np.subtract(h, c, out=out[t])
+            h *= z
+            h += c
         return out
 
     def log_probs(self, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Natural log of P(class) and, for hot words, of P(word | class), for each row of states."""
         w, out = self.weights, np.empty(len(ids))
         cls = self.class_of(ids)
-        for i in range(0, len(ids), 4096):
-            s = states[i : i + 4096]
-            x = s @ w["cw"] + w["cb"]
+        for i in range(0, len(ids), _ROWS):
+            x = states[i : i + _ROWS] @ w["cw"]
+            x += w["cb"]
             x -= x.max(1, keepdims=True)
-            own = x[np.arange(len(s)), cls[i : i + 4096]]
-            out[i : i + 4096] = own - np.log(np.exp(x, out=x).sum(1))
+            own = x[np.arange(len(x)), cls[i : i + _ROWS]]
+            out[i : i + _ROWS] = own - np.log(np.exp(x, out=x).sum(1))
         order = np.argsort(cls, kind="stable")
         ends = np.searchsorted(cls[order], np.arange(self.word_classes + 1))
+        sorted_, place = states[order], (ids - cls * self.config.per_class)[order]
         for k in range(self.word_classes):
-            at = order[ends[k] : ends[k + 1]]
-            if len(at):
-                x = states[at] @ w["ww"][k] + w["wb"][k]
+            for a in range(ends[k], ends[k + 1], _ROWS):
+                b = min(a + _ROWS, ends[k + 1])
+                x = sorted_[a:b] @ w["ww"][k]
+                x += w["wb"][k]
                 x -= x.max(1, keepdims=True)
-                own = x[np.arange(len(at)), ids[at] - k * self.config.per_class]
-                out[at] += own - np.log(np.exp(x, out=x).sum(1))
+                own = x[np.arange(b - a), place[a:b]]
+                out[order[a:b]] += own - np.log(np.exp(x, out=x).sum(1))
         return out
 
     def gradients(self, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, used: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -231,14 +250,19 @@ class Network:
         flat, ids, mask = states.reshape(-1, n), targets.ravel(), used.ravel()
         cls = self.class_of(ids)
         g = {k: np.zeros_like(v) for k, v in w.items()}
-        y = flat @ w["cw"] + w["cb"]
-        y -= y.max(1, keepdims=True)
-        np.exp(y, out=y)
-        y /= y.sum(1, keepdims=True)
-        y[np.arange(len(ids)), cls] -= 1
-        y *= (mask / np.float32(mask.sum()))[:, None]
-        g["cw"], g["cb"] = flat.T @ y, y.sum(0)
-        ds = y @ w["cw"].T
+        share = (mask / np.float32(mask.sum()))[:, None]
+        ds = np.empty_like(flat)
+        for i in range(0, len(ids), _ROWS):
+            own = slice(i, i + _ROWS)
+            y = flat[own] @ w["cw"]
+            y += w["cb"]
+            y -= y.max(1, keepdims=True)
+            np.exp(y, out=y)
+            y *= share[own] / y.sum(1, keepdims=True)
+            y[np.arange(len(y)), cls[own]] -= share[own, 0]
+            g["cw"] += flat[own].T @ y
+            g["cb"] += y.sum(0)
+            np.matmul(y, w["cw"].T, out=ds[own])
         at = np.flatnonzero(cls < self.word_classes)
         at = at[np.argsort(cls[at], kind="stable")]
         if len(at):  # rows in the order of their class; the softmax of all at once
@@ -253,13 +277,13 @@ class Network:
             np.exp(q, out=q)
             q /= q.sum(1, keepdims=True)
             q[np.arange(len(at)), ids[at] - own * p] -= 1
-            q *= (mask[at] / np.float32(mask.sum()))[:, None]
+            q *= share[at]
             g["wb"][own[first]] = np.add.reduceat(q, first)
             for k, a, b in spans:
                 np.matmul(rows[a:b].T, q[a:b], out=g["ww"][k])
                 np.matmul(q[a:b], w["ww"][k].T, out=back[a:b])
             ds[at] += back
-        ds = ds.reshape(states.shape)
+        ds, turns = ds.reshape(states.shape), fresh.any(1)
         dh, dpre = np.zeros_like(h), np.empty((*inputs.shape, 3 * n), np.float32)
         for t in range(len(inputs) - 1, -1, -1):
             before, hc, z, r, c = keep[t]
@@ -270,7 +294,9 @@ class Network:
             dpre[t] = np.concatenate([dz, dr, dc], 1)
             dhw = np.concatenate([dz, dr, dc * r], 1)
             g["wh"] += before.T @ dhw
-            dh = (dh * z + dhw @ w["wh"].T) * ~fresh[t][:, None]
+            dh = dh * z + dhw @ w["wh"].T
+            if turns[t]:
+                dh *= ~fresh[t][:, None]
         fd = dpre.reshape(-1, 3 * n)
         g["wx"], g["b"] = x.reshape(-1, n).T @ fd, fd.sum(0)
         np.add.at(g["emb"], inputs.ravel(), fd @ w["wx"].T)
@@ -288,28 +314,41 @@ def laid_out(lengths: np.ndarray, lanes: int) -> list[list[int]]:
     return sorted(own, key=lambda x: -int(lengths[x].sum()))
 
 
-def grid(ids: np.ndarray, offsets: np.ndarray, lanes: int, first: int, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(inputs, targets, fresh, places, lengths): arrays of (steps, lanes); places index ids, -1 where a lane has ended.
+class Lanes:
+    """Texts side by side in lanes, read window by window; memory is in proportion to the tokens, however uneven the lanes.
 
     most: texts of more tokens are dealt out in runs of so many (in training, so that all lanes end at about the same time).
     """
-    begins = offsets[:-1]
-    if most:
-        offsets = np.unique(np.concatenate([offsets, *[np.arange(a, b, most) for a, b in zip(offsets[:-1], offsets[1:], strict=True) if b - a > most]]))
-    own = laid_out(np.diff(offsets), lanes)
-    places = [np.concatenate([np.arange(offsets[i], offsets[i + 1]) for i in x]) if x else np.zeros(0, np.int64) for x in own]
-    n = np.array([len(x) for x in places])
-    at = np.full((int(n.max(initial=0)), len(own)), -1, np.int64)
-    for k, x in enumerate(places):
-        at[: len(x), k] = x
-    starts = np.zeros(len(ids) + 1, bool)
-    starts[offsets[:-1]] = True
-    fresh = starts[at]
-    targets = ids[np.maximum(at, 0)]
-    new = np.zeros(len(ids) + 1, bool)
-    new[begins] = True
-    inputs = np.where(new[at], first, ids[np.maximum(at - 1, 0)])
-    return inputs, targets, fresh, at, n
+
+    def __init__(self, ids: np.ndarray, offsets: np.ndarray, lanes: int, first: int, most: int | None = None):
+        begins = offsets[:-1]
+        if most:
+            offsets = np.unique(np.concatenate([offsets, *[np.arange(a, b, most) for a, b in zip(offsets[:-1], offsets[1:], strict=True) if b - a > most]]))
+        own = laid_out(np.diff(offsets), lanes)
+        self.count = len(own)
+        self.sizes = np.array([int((offsets[np.array(x, np.int64) + 1] - offsets[x]).sum()) if x else 0 for x in own])
+        order = np.array([i for x in own for i in x], np.int64)
+        lengths = offsets[order + 1] - offsets[order]
+        within = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        self.places = within + np.repeat(offsets[order], lengths)  # lane after lane
+        self.starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1])).astype(np.int64)
+        self.ids, self.first = ids, first
+        self.fresh, self.new = np.zeros(len(ids) + 1, bool), np.zeros(len(ids) + 1, bool)
+        self.fresh[offsets[:-1]] = True
+        self.new[begins] = True
+
+    @property
+    def steps(self) -> int:
+        return int(self.sizes.max(initial=0))
+
+    def window(self, t: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(inputs, targets, fresh, places) of the steps from t on, for the lanes still alive at t; places are -1 beyond a lane's end."""
+        live = int((self.sizes > t).sum())  # lanes are in order of length
+        step = t + np.arange(min(size, self.steps - t))[:, None]
+        there = step < self.sizes[None, :live]
+        at = self.places[np.where(there, self.starts[None, :live] + step, 0)]
+        inputs = np.where(self.new[at], self.first, self.ids[np.maximum(at - 1, 0)])
+        return inputs, self.ids[at], self.fresh[at] & there, np.where(there, at, -1)
 
 
 def _ids(hashes: np.ndarray, heads: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -338,17 +377,15 @@ def train_shard(texts: list[bytes], vocab: Vocabulary, config: LanguageModelConf
     ids, _ = _ids(hashes, heads, vocab)
     end = int(_ids(np.array([END]), np.zeros(1, np.int64), vocab)[0][0])
     lanes = min(config.lanes, max(8, len(ids) // (100 * config.window)))  # a shard of few tokens takes about 100 steps all the same
-    inputs, targets, fresh, at, _ = grid(ids, offsets, lanes, end, max(config.window, len(ids) // lanes // 4))
+    laid = Lanes(ids, offsets, lanes, end, max(config.window, len(ids) // lanes // 4))
     net = Network(vocab, config, {k: v.copy() for k, v in weights.items()})
     w = net.weights
     m, v, spare = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(3))
-    h = np.zeros((inputs.shape[1], config.width), np.float32)
-    spans = range(0, len(inputs), config.window)
+    h = np.zeros((laid.count, config.width), np.float32)
+    spans = range(0, laid.steps, config.window)
     for step, t in enumerate(spans, 1):
-        used = at[t : t + config.window] >= 0
-        if not used.any():
-            break
-        g, h = net.gradients(inputs[t : t + config.window], targets[t : t + config.window], fresh[t : t + config.window], used, h)
+        inputs, targets, fresh, at = laid.window(t, config.window)
+        g, h = net.gradients(inputs, targets, fresh, at >= 0, h[: at.shape[1]])
         norm = math.sqrt(sum(float(np.vdot(x, x)) for x in g.values()))
         rate = config.rate * min(1.0, step / config.warm) * (1 - 0.9 * step / len(spans))
         for k in w:  # Adam with clipped gradients
@@ -370,7 +407,8 @@ def fit(docs: DataFrame, vocab: Vocabulary, config: LanguageModelConfig) -> dict
     shards = max(1, math.ceil(vocab.tokens / config.rounds / config.shard_tokens))
     weights = Network(vocab, config).weights
     sizes = sum(x.size for x in weights.values())
-    dealt = lambda seed, n: F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(n)).cast("int")
+    docs = docs.select("text", F.xxhash64("doc_id", "text", F.monotonically_increasing_id()).alias("h"))  # repeated rows are dealt out too
+    dealt = lambda seed, n: F.pmod(F.xxhash64("h", F.lit(seed)), F.lit(n)).cast("int")
     for turn in range(config.rounds):
         now = weights
         part = docs.where(dealt(config.seed, config.rounds) == turn).select(dealt(config.seed + 1, shards).alias("shard"), "text")
@@ -386,7 +424,7 @@ def fit(docs: DataFrame, vocab: Vocabulary, config: LanguageModelConfig) -> dict
             return pa.table({"part": pa.array([0], pa.int32()), "tokens": pa.array([sum(n)], pa.int64()), "weights": pa.array([(total / max(1, sum(n))).astype(np.float32).tobytes()], pa.binary())})
 
         kind = "part int, tokens long, weights binary"
-        found = part.groupBy("shard").applyInArrow(learn, kind).groupBy("part").applyInArrow(average, kind).groupBy(F.col("part") * 0).applyInArrow(average, kind).collect()
+        found = part.groupBy("shard").applyInArrow(tidy_group(learn), kind).groupBy("part").applyInArrow(average, kind).groupBy(F.col("part") * 0).applyInArrow(average, kind).collect()
         if found:
             weights = _unpack(np.frombuffer(found[0].weights, np.float32), weights)
     return weights
@@ -397,17 +435,16 @@ def score_texts(texts: list[bytes], vocab: Vocabulary, config: LanguageModelConf
     hashes, heads, offsets = _tokens(texts, config)
     ids, held = _ids(hashes, heads, vocab)
     end = int(_ids(np.array([END]), np.zeros(1, np.int64), vocab)[0][0])
-    inputs, targets, fresh, at, n = grid(ids, offsets, lanes, end)
+    laid = Lanes(ids, offsets, lanes, end)
     net = Network(vocab, config, weights)
     gates = weights["emb"] @ weights["wx"] + weights["b"]
-    h = np.zeros((inputs.shape[1], config.width), np.float32)
+    h = np.zeros((laid.count, config.width), np.float32)
     logp = np.empty(len(ids))
-    for t in range(0, len(inputs), window):
-        live = int((n > t).sum())  # lanes are in order of length
-        used = at[t : t + window, :live] >= 0
-        states = net.run(gates[inputs[t : t + window, :live]], fresh[t : t + window, :live], h[:live])
-        h = states[-1]
-        logp[at[t : t + window, :live][used]] = net.log_probs(states[used], targets[t : t + window, :live][used])
+    for t in range(0, laid.steps, window):
+        inputs, targets, fresh, at = laid.window(t, window)
+        states = net.run(gates[inputs], fresh, h[: at.shape[1]])
+        h, used = states[-1], at >= 0
+        logp[at[used]] = net.log_probs(states[used], targets[used])
     known = held >= 0
     share = np.where(known, vocab.share[np.maximum(held, 0)], -vocab.head_total[heads]) if len(vocab.share) else -vocab.head_total[heads]
     base = np.where(known, vocab.base[np.maximum(held, 0)], -vocab.total) if len(vocab.base) else np.full(len(ids), -vocab.total)
@@ -423,6 +460,7 @@ def score_documents(docs: DataFrame, config: LanguageModelConfig = LanguageModel
     Learns from the rows that aren't held out; a null doc_id counts as not held out. Null and empty texts are one end
     token. Scores are log10 probabilities of whole texts, the end included.
     """
+    lean(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     train = own.where(~held_out(config))
     counts = written(word_counts(train, config), "counts")
@@ -434,7 +472,7 @@ def score_documents(docs: DataFrame, config: LanguageModelConfig = LanguageModel
             r = score_texts(texts, vocab, config, weights)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(r[k]) for k in ("n_tokens", "held", "base", "score")], pa.array(r["rest"], pa.list_(pa.int64()))], ["doc_id", "n_tokens", "held", "base", "score", "rest"])
 
-    parts = own.mapInArrow(run, "doc_id long, n_tokens long, held long, base double, score double, rest array<long>")
+    parts = own.mapInArrow(tidy(run), "doc_id long, n_tokens long, held long, base double, score double, rest array<long>")
     parts = written(parts.withColumn("row", F.monotonically_increasing_id()), "parts")  # the id is written with the row
     rare = parts.select("row", F.explode("rest").alias("h")).join(counts.select("h", "n"), "h")
     rare = rare.groupBy("row").agg(F.count("*").alias("rare"), F.sum(F.log10(F.col("n") + 1)).alias("gain"))

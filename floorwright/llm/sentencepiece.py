@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floorwright.llm.common import lean, table
+from floorwright.llm.common import lean, table, tidy
 from floorwright.llm.text import steps
 
 MARK = "▁"
@@ -201,7 +201,7 @@ def encode_documents(docs: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
     lean(docs.sparkSession)
     docs = docs.drop("piece_ids", "decoded")
     schema = docs.select("*", F.lit(None).cast("array<int>").alias("piece_ids"), F.lit(None).cast("string").alias("decoded")).schema
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def ids_digest(ids: np.ndarray) -> int:
@@ -220,7 +220,7 @@ def digests(docs: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
 
     out = encode_documents(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
     same = F.translate(F.coalesce("text", F.lit("")), MARK, " ") == F.col("decoded")
-    return out.select("doc_id", "piece_ids", same.alias("round_trip")).mapInArrow(run, "doc_id long, n_pieces long, pieces_crc32 long, round_trip boolean")
+    return out.select("doc_id", "piece_ids", same.alias("round_trip")).mapInArrow(tidy(run), "doc_id long, n_pieces long, pieces_crc32 long, round_trip boolean")
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

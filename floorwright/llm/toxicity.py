@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floorwright.llm.common import in_one_task, lean, small
+from floorwright.llm.common import bounded, give_back, in_one_task, lean, small, tidy
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _TRIPLES = np.array([[b, b ^ 0x55, (b * 7 + 3) & 255] for b in range(256)], np.uint8)
@@ -56,7 +56,9 @@ class ToxicityConfig:
     segment: int = 24
     #: Bytes of ordinary windows (chosen evenly) that the ordinary dictionary is trained on at most.
     training_bytes: int = 4 << 20
-    #: Labelled rows that the fit uses at most (chosen by a hash of doc_id); their texts are used whole.
+    #: Whether windows that the toxic dictionary alone, in the fast pass, hardly shortens skip the two slow ones.
+    hint: bool = True
+    #: Labelled rows that the fit uses at most (chosen by a hash); their texts are used whole.
     labelled_rows: int = 12_000
     #: Remainder of crc32(doc_id as text) modulo folds that is held out.
     folds: int = 5
@@ -111,7 +113,7 @@ def cells(model: ToxicityModel, text: bytes) -> np.ndarray:
     out = np.full(len(found), _NOTHING, np.int16)
     for i in range(0, len(found), _CALL):
         for k, w in enumerate(_spelled(found[i : i + _CALL]), i):
-            if len(w) - len(fast(w)) >= _GAIN:
+            if not model.config.hint or len(w) - len(fast(w)) >= _GAIN:
                 a = len(plain(w))
                 out[k] = min(a // 10, _LENGTHS - 1) * _SAVED + min(max(a - len(toxic(w)) + _LOST, 0), _SAVED - 1)
     return out
@@ -227,19 +229,16 @@ def held_out(doc_id: str, config: ToxicityConfig):
 
 
 def fit_from_tables(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
-    """Fits on labelled rows that aren't held out, at most about config.labelled_rows of them, chosen by hash.
+    """Fits on labelled rows that aren't held out, at most config.labelled_rows of them, chosen by a hash of doc_id and text.
 
     Two thirds of the texts train the dictionaries, the rest calibrates. Where a doc_id has several labels the largest
-    counts; rows that repeat a doc_id each count. Null and empty texts and unlabelled rows are passed over.
+    counts; rows that repeat a doc_id with its text count once. Null and empty texts and unlabelled rows are passed over.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("doc_id is not null and toxic is not null").where(~held_out("doc_id", config))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    n = known.count()
-    share = min(1.0, config.labelled_rows / max(1, n))
-    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    known = small(known, int(n * share))
+    known = small(known, known.count())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("octet_length(text) > 0")
-    rows = texts.join(known, "doc_id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    rows = bounded(texts.join(known, "doc_id"), F.xxhash64("doc_id", "text"), config.labelled_rows).select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
     calibrates = F.crc32("text") % 3 == 2
 
     model = in_one_task(rows.where(~calibrates), lambda t, y: train_dictionaries(list(zip(t, y, strict=True)), config)) or ToxicityModel(config)
@@ -252,7 +251,7 @@ def fit_from_tables(docs: DataFrame, labels: DataFrame, config: ToxicityConfig =
     if not model.toxic:
         return model
     # the join leaves few partitions; compressing is the work
-    spread = rows.where(calibrates).repartition(64).mapInArrow(count, "cells binary, toxic int")
+    spread = rows.where(calibrates).repartition(64).mapInArrow(tidy(count), "cells binary, toxic int")
     ready = in_one_task(spread, lambda c, y: calibrate(model, sorted(((np.frombuffer(x, np.int16), v) for x, v in zip(c, y, strict=True)), key=lambda x: (x[1], x[0].tobytes()))))
     return ready or model
 
@@ -261,8 +260,13 @@ def score_documents(docs: DataFrame, model: ToxicityModel, column: str = "toxic_
     """docs with a column of scores added (one of that name is replaced). Null and empty texts count as texts without windows."""
 
     @F.arrow_udf("double")  # only texts go to the workers and only scores come back
-    def score(texts: pa.Array) -> pa.Array:
-        return pa.array(scores(model, [x or b"" for x in texts.cast(pa.binary()).to_pylist()]), pa.float64())
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for texts in batches:
+                yield pa.array(scores(model, [x or b"" for x in texts.cast(pa.binary()).to_pylist()]), pa.float64())
+        finally:
+            _ready.clear()
+            give_back()
 
     lean(docs.sparkSession)
     return docs.withColumn(column, score(F.col("text")))
