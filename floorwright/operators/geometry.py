@@ -15,23 +15,49 @@ from floorwright.sources.shared import cut
 SEGMENT = ["x1", "y1", "x2", "y2"]
 
 
+#: Side of a grid cell in which points look for walls.
+CELL = 32.0
+
+
+def wall_cells(walls: DataFrame, reach: Column, cell: float = CELL) -> DataFrame:
+    """walls with cx, cy: each wall in every cell of a grid that it comes within reach of (none that it does is left out).
+
+    Cells of the wall's box grown by reach, without those whose middle is farther off than reach and half a diagonal.
+    """
+    spread = lambda a, b, name: F.explode(F.sequence(F.floor((F.least(a, b) - F.col("_r")) / cell), F.floor((F.greatest(a, b) + F.col("_r")) / cell))).alias(name)
+    out = walls.withColumn("_r", reach).where("_r >= 0").select("*", spread("x1", "x2", "cx")).select("*", spread("y1", "y2", "cy"))
+    off = S.point_segment_distance((F.col("cx") + 0.5) * cell, (F.col("cy") + 0.5) * cell, *SEGMENT)
+    return out.where(off <= F.col("_r") + 0.71 * cell)
+
+
+def _met(points: DataFrame, cells: DataFrame) -> DataFrame:
+    """points (plan_id, px, py, ..) with the walls of their cell and the distance _d to each."""
+    own = points.withColumns({"cx": F.floor(F.col("px") / CELL), "cy": F.floor(F.col("py") / CELL)})
+    return own.join(cells, ["plan_id", "cx", "cy"]).withColumn("_d", S.point_segment_distance("px", "py", *SEGMENT))
+
+
 def nearest_wall(points: DataFrame, walls: DataFrame, key: list[str], reach: Column) -> DataFrame:
     """points (plan_id, key.., px, py, ..) with wall_id and wall_dist of the nearest wall closer than reach; null if none.
 
-    Of walls at the same distance the one with the least wall_id.
+    reach: a number, or made of the walls' columns. Of walls at the same distance the one with the least wall_id. A point
+    meets the walls of its own cell of a grid only, however many its plan has; points and walls with a null meet nothing.
     """
-    d = S.point_segment_distance("px", "py", *SEGMENT)
     keys = ["plan_id", *key]
-    near = points.join(walls.select("plan_id", "wall_id", *SEGMENT), "plan_id").withColumn("_d", d).where(F.col("_d") < reach)
+    cells = wall_cells(walls, reach).select("plan_id", "wall_id", *SEGMENT, "_r", "cx", "cy")
+    near = _met(points.select(*keys, "px", "py"), cells).where("_d < _r")
     best = near.groupBy(*keys).agg(F.min(F.struct("_d", "wall_id")).alias("b")).select(*keys, F.col("b.wall_id").alias("wall_id"), F.col("b._d").alias("wall_dist"))
     return points.join(best, keys, "left")
 
 
 def placed_on_wall(clicks: DataFrame, walls: DataFrame, key: list[str]) -> DataFrame:
-    """clicks with their nearest wall, if closer than 3 thicknesses + 6, and the click's foot on it."""
-    d = S.point_segment_distance("px", "py", *SEGMENT)
+    """clicks with their nearest wall, if closer than 3 thicknesses + 6, and the click's foot on it.
+
+    A nearest wall farther off than the plan's thickest wall allows is refused whichever it is, so that distance bounds the search.
+    """
     keys = ["plan_id", *key]
-    near = clicks.join(walls, "plan_id").withColumn("_d", d)
+    most = walls.groupBy("plan_id").agg((3 * F.max("thickness") + 6).alias("_most"))
+    cells = wall_cells(walls.join(most, "plan_id"), F.col("_most")).select("plan_id", "wall_id", "thickness", *SEGMENT, "cx", "cy")
+    near = _met(clicks, cells)
     best = near.groupBy(*keys).agg(F.min_by(F.struct("wall_id", "thickness", *SEGMENT, "px", "py", "_d"), F.struct("_d", "wall_id")).alias("b"))
     b = best.select(*keys, "b.*").where(F.col("_d") <= 3 * F.col("thickness") + 6)
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
@@ -43,32 +69,37 @@ def placed_on_wall(clicks: DataFrame, walls: DataFrame, key: list[str]) -> DataF
 def snapped_to_references(points: DataFrame, refs: DataFrame, key: list[str], tol: float) -> DataFrame:
     """points with sx, sy: each coordinate moved to the nearest one of the references of its plan, if closer than tol.
 
-    Coordinates are compared by buckets of tol, so no point meets all references of its plan.
+    Both axes go through one join, by buckets of tol, so no point meets all references of its plan.
     """
     keys = ["plan_id", *key]
-    out = points
-    for p, r, s in (("px", "rx", "sx"), ("py", "ry", "sy")):
-        near = F.explode(F.array(*[F.floor(F.col(p) / tol) + i for i in (-1, 0, 1)])).alias("_b")
-        mine = points.select(*keys, p, near)
-        own = refs.select("plan_id", r).distinct().withColumn("_b", F.floor(F.col(r) / tol))
-        hit = mine.join(own, ["plan_id", "_b"]).where(F.abs(F.col(p) - F.col(r)) < tol)
-        hit = hit.groupBy(*keys).agg(F.min(F.struct(F.abs(F.col(p) - F.col(r)).alias("d"), F.col(r).alias("v"))).alias("h")).select(*keys, F.col("h.v").alias(s))
-        out = out.join(hit, keys, "left").withColumn(s, F.coalesce(s, p))
-    return out
+    axes = lambda a, b: F.explode(F.array(F.struct(F.lit(0).alias("axis"), F.col(a).alias("v")), F.struct(F.lit(1).alias("axis"), F.col(b).alias("v"))))
+    near = F.explode(F.array(*[F.floor(F.col("s.v") / tol) + i for i in (-1, 0, 1)])).alias("bucket")
+    mine = points.select(*keys, axes("px", "py").alias("s")).select(*keys, F.col("s.axis").alias("axis"), F.col("s.v").alias("p"), near)
+    own = refs.select("plan_id", axes("rx", "ry").alias("s")).select("plan_id", F.col("s.axis").alias("axis"), F.col("s.v").alias("v"), F.floor(F.col("s.v") / tol).alias("bucket")).distinct()
+    hit = mine.join(own, ["plan_id", "axis", "bucket"]).where(F.abs(F.col("p") - F.col("v")) < tol)
+    best = lambda axis: F.min(F.when(F.col("axis") == axis, F.struct(F.abs(F.col("p") - F.col("v")).alias("d"), F.col("v").alias("v"))))["v"]
+    hit = hit.groupBy(*keys).agg(best(0).alias("sx"), best(1).alias("sy"))
+    return points.join(hit, keys, "left").withColumns({"sx": F.coalesce("sx", "px"), "sy": F.coalesce("sy", "py")})
+
+
+def _around(v: Column, size: Column) -> Column:
+    """A row for each of the three buckets of that size in which something closer than size can stand."""
+    return F.explode(F.array(*[F.floor(v / size) + i for i in (-1, 0, 1)]))
 
 
 def junction_pass(segs: DataFrame, tol: Column, kind: str) -> DataFrame:
     """One pass of closing junctions: ends of H (or V) segments move to the nearest V (or H) segment closer than tol.
 
-    segs: plan_id, seg_id, kind (H, V, D), x1, y1, x2, y2. A segment can be met within its own extent plus tol. Of equal
-    ones the first seg_id counts.
+    segs: plan_id, seg_id, kind (H, V, D), x1, y1, x2, y2. tol: a number, or a column that is the same for a whole plan. A
+    segment can be met within its own extent plus tol. Of equal ones the first seg_id counts. Ends meet segments by buckets of tol.
     """
     h = kind == "H"
     a1, a2, f = ("x1", "x2", "y1") if h else ("y1", "y2", "x1")
     own, other = segs.where(F.col("kind") == kind), segs.where(F.col("kind") == ("V" if h else "H"))
-    o = other.select("plan_id", F.col("seg_id").alias("oid"), F.col("x1" if h else "y1").alias("at"), F.col("y1" if h else "x1").alias("lo"), F.col("y2" if h else "x2").alias("hi"))
+    o = other.select("plan_id", F.col("seg_id").alias("oid"), F.col("x1" if h else "y1").alias("at"), F.col("y1" if h else "x1").alias("lo"), F.col("y2" if h else "x2").alias("hi"), F.floor(F.col("x1" if h else "y1") / tol).alias("bucket"))
     ends = own.select("plan_id", "seg_id", F.col(f).alias("f"), F.explode(F.array(F.struct(F.lit(1).alias("e"), F.col(a1).alias("v")), F.struct(F.lit(2).alias("e"), F.col(a2).alias("v")))).alias("s"), tol.alias("tol"))
-    near = ends.join(o, "plan_id").where((F.col("lo") - F.col("tol") <= F.col("f")) & (F.col("f") <= F.col("hi") + F.col("tol")) & (F.abs(F.col("at") - F.col("s.v")) < F.col("tol")))
+    ends = ends.withColumn("bucket", _around(F.col("s.v"), F.col("tol")))
+    near = ends.join(o, ["plan_id", "bucket"]).where((F.col("lo") - F.col("tol") <= F.col("f")) & (F.col("f") <= F.col("hi") + F.col("tol")) & (F.abs(F.col("at") - F.col("s.v")) < F.col("tol")))
     best = near.groupBy("plan_id", "seg_id", F.col("s.e").alias("e")).agg(F.min(F.struct(F.abs(F.col("at") - F.col("s.v")).alias("d"), "oid", "at")).alias("b"))
     to = best.groupBy("plan_id", "seg_id").agg(F.max(F.when(F.col("e") == 1, F.col("b.at"))).alias("_1"), F.max(F.when(F.col("e") == 2, F.col("b.at"))).alias("_2"))
     moved = own.join(to, ["plan_id", "seg_id"], "left").withColumn(a1, F.coalesce("_1", a1)).withColumn(a2, F.coalesce("_2", a2)).drop("_1", "_2")
@@ -83,9 +114,12 @@ def close_junctions(segs: DataFrame, tol: Column, rounds: int = 2) -> DataFrame:
     straight, other = segs.where("kind <> 'D'"), segs.where("kind = 'D'")
     order = F.when(F.col("kind") == "H", 0).otherwise(1)
     ends = straight.select("plan_id", F.explode(F.array(F.struct(order.alias("k"), "seg_id", F.lit(1).alias("e"), F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(order.alias("k"), "seg_id", F.lit(2).alias("e"), F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("p"))
+    ends = ends.join(segs.select("plan_id", tol.alias("_tol")).distinct(), "plan_id")
+    ends = ends.select("plan_id", "p", F.floor(F.col("p.x") / F.col("_tol")).alias("_bx"), F.floor(F.col("p.y") / F.col("_tol")).alias("_by"))
     for x, y in (("x1", "y1"), ("x2", "y2")):
         d = S.length(x, y, F.col("p.x"), F.col("p.y"))
-        best = other.join(ends, "plan_id").withColumn("_d", d).where(F.col("_d") < tol).groupBy("plan_id", "seg_id").agg(F.min_by("p", F.struct(F.col("_d"), F.col("p.k"), F.col("p.seg_id"), F.col("p.e"))).alias("_p"))
+        mine = other.withColumn("_bx", _around(F.col(x), tol)).withColumn("_by", _around(F.col(y), tol))
+        best = mine.join(ends, ["plan_id", "_bx", "_by"]).withColumn("_d", d).where(F.col("_d") < tol).groupBy("plan_id", "seg_id").agg(F.min_by("p", F.struct(F.col("_d"), F.col("p.k"), F.col("p.seg_id"), F.col("p.e"))).alias("_p"))
         other = other.join(best, ["plan_id", "seg_id"], "left").withColumn(x, F.coalesce("_p.x", x)).withColumn(y, F.coalesce("_p.y", y)).drop("_p")
     return straight.unionByName(other).where(S.length(*SEGMENT) > 0)
 

@@ -9,9 +9,14 @@ PIXEL = ("plan_id", "y", "x")
 
 
 def rectangle_pixels(rects: DataFrame) -> DataFrame:
-    """One row for each pixel of rectangles (plan_id, x0, y0, w, h, ..); other columns come along."""
+    """One row for each pixel of rectangles (plan_id, x0, y0, w, h, ..); other columns come along.
+
+    Rows of pixels are dealt out by (plan_id, y) before they are spread over x: what paints them, finds their runs or joins
+    them row by row needs no further shuffle.
+    """
     rest = [c for c in rects.columns if c not in ("x0", "y0", "w", "h")]
     rows = rects.where("w > 0 and h > 0").select(*rest, "x0", "w", F.explode(F.sequence("y0", F.col("y0") + F.col("h") - 1)).alias("y"))
+    rows = rows.repartition(int(rects.sparkSession.conf.get("spark.sql.shuffle.partitions")), "plan_id", "y")
     return rows.select(*rest, "y", F.explode(F.sequence("x0", F.col("x0") + F.col("w") - 1)).alias("x"))
 
 

@@ -455,7 +455,7 @@ def _(spark, d):
 def _generated(spark, d):
     """A generated plan for each nation, on the executors."""
     plans = scene.read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"))
-    return generate.masks_of(plans.repartition("id"), seed=100, size=512)
+    return generate.masks_of(plans.repartition(max(8, spark.sparkContext.defaultParallelism), "id"), seed=100, size=512)
 
 
 @query("generated_masks")
@@ -498,4 +498,4 @@ def _(spark, d):
     return edits.history_table(spark, log).groupBy("plan_id").agg(F.count("*").alias("n"))
 
 
-from floorwright.plans import catalog_functions  # noqa: E402, F401  (registers its queries here)
+from floorwright.plans import catalog_functions, catalog_regions  # noqa: E402, F401  (register their queries here)
