@@ -117,28 +117,34 @@ def starts(length: int, tile: int, overlap: float = 0.25) -> list[int]:
     return np.unique(every.clip(max=max(0, length - tile))).tolist()
 
 
+def laid_out(image: np.ndarray, tile: int) -> np.ndarray:
+    """An image (h, w, 3) on white paper of whole multiples of 32, a tile at least: a network always sees a whole tile."""
+    size = [max(tile, -(-n // 32) * 32) for n in image.shape[:2]]
+    return pixels.padded(image, *size, 255)
+
+
+def scored_tiles(image: np.ndarray, score: Scorer, tile: int, overlap: float, batch: int, tta: bool) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(row, column, probabilities) of the tiles of a laid-out image, scored so many at a time."""
+    windows = np.lib.stride_tricks.sliding_window_view(normalised(image), (tile, tile), (1, 2))
+    rows, columns = (np.array(starts(n, tile, overlap)) for n in image.shape[:2])
+    at = np.stack(np.meshgrid(rows, columns, indexing="ij"), 2).reshape(-1, 2)
+    for own in np.array_split(at, range(batch, len(at), batch)):
+        found = over_views(score, windows[:, own[:, 0], own[:, 1]].swapaxes(0, 1), tta)
+        yield from ((int(r), int(c), p) for (r, c), p in zip(own, found, strict=True))
+
+
 def probabilities(image: np.ndarray, score: Scorer, tile: int = 512, overlap: float = 0.25, batch: int = 4, tta: bool = False) -> np.ndarray:
-    """(classes, h, w) of an image (h, w, 3), padded to multiples of 32, scored in tiles and blended."""
+    """(classes, h, w) of an image (h, w, 3): the mean over its tiles, weighted by their windows."""
+    paper, weight, sums = laid_out(image, tile), window(tile), None
+    for r, c, p in scored_tiles(paper, score, tile, overlap, batch, tta):
+        own = np.concatenate([p, np.ones_like(p[:1])]) * weight  # the last layer sums the weights
+        sums = np.zeros((len(own), *paper.shape[:2]), np.float32) if sums is None else sums
+        sums[:, r : r + tile, c : c + tile] += own
     h, w = image.shape[:2]
-    ph, pw = (max(-(-n // 32) * 32, min(tile, -(-n // 32) * 32)) for n in (h, w))
-    full = np.full((ph, pw, 3), 255, np.uint8)
-    full[:h, :w] = image
-    x = normalised(full)
-    side_h, side_w = min(tile, ph), min(tile, pw)
-    at = [(r, c) for r in starts(ph, side_h, overlap) for c in starts(pw, side_w, overlap)]
-    weight = window(max(side_h, side_w))[:side_h, :side_w]
-    total, norm = None, np.zeros((ph, pw), np.float32)
-    for i in range(0, len(at), batch):
-        own = at[i : i + batch]
-        p = over_views(score, np.stack([x[:, r : r + side_h, c : c + side_w] for r, c in own]), tta)
-        total = np.zeros((p.shape[1], ph, pw), np.float32) if total is None else total
-        for (r, c), q in zip(own, p, strict=True):
-            total[:, r : r + side_h, c : c + side_w] += q * weight
-            norm[r : r + side_h, c : c + side_w] += weight
-    return (total / np.maximum(norm, 1e-6))[:, :h, :w]
-
-
-def predict(images: DataFrame, make: Callable[[], Scorer], tile: int = 512, overlap: float = 0.25, tta: bool = False, max_side: int = 4096) -> DataFrame:
+    return (sums[:-1] / np.maximum(sums[-1], 1e-6))[:, :h, :w]
+
+
+def predict(images: DataFrame, make: Callable[[], Scorer], tile: int = 512, overlap: float = 0.25, tta: bool = False, max_side: int = 2048) -> DataFrame:
     """(plan_id, height, width, data, confidence) of images (plan_id, height, width, data): labels as bytes, row by row.
 
     An image whose longer side is over max_side is scored in that size, and its labels are brought back to full size.

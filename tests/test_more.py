@@ -96,3 +96,35 @@ def test_public_names():
     assert all(callable(getattr(floorwright, n)) or n == "TAXONOMIES" for n in floorwright.__all__)
     with pytest.raises(AttributeError):
         floorwright.nothing  # noqa: B018
+
+
+def test_views_show_the_image_where_they_say():
+    """Without changes of colour a sample is the image through its view; a whole turn of a plan that fills it loses nothing."""
+    still = augment.Augmentation(crop=32, scale=(1, 1), light=(0, 0, 0), grey=0, tint=(0, 0), blur=(0, 0, 0), noise=(0, 0, 0))
+    mask = np.arange(32 * 32).reshape(32, 32).astype(np.uint8) % 200 + 1
+    image = np.repeat((mask // 2)[:, :, None], 3, 2)
+    seen = set()
+    for seed in range(60):
+        a, b = augment.sample(image, mask, seed, still)
+        turns = [np.rot90(m, k) for m in (mask, mask[:, ::-1]) for k in range(4)]
+        (which,) = [k for k, t in enumerate(turns) if (t == b).all()]
+        seen.add(which)
+    assert seen == set(range(8))
+    far = augment.Augmentation(crop=16, scale=(1.4, 1.4), on_plan=1.0)
+    small = np.zeros((90, 90), np.uint8)
+    small[80, 7] = 3
+    assert all((augment.sample(np.zeros((90, 90, 3), np.uint8), small, seed, far)[1] == 3).any() for seed in range(30))
+    changed = augment.Augmentation(crop=24, blur=(1.0, 1.0, 1.0), light=(0, 0, 0), grey=0, tint=(0, 0), noise=(0, 0, 0))
+    a, b = augment.sample(np.full((10, 10, 3), 100, np.uint8), np.ones((10, 10), np.uint8), 1, changed)
+    assert (a[b == 1] == 100).all() and (a[b == 255] == 255).all()
+
+
+def test_small_images_are_scored_on_a_whole_tile():
+    sizes = []
+
+    def score(x):
+        sizes.append(x.shape[2:])
+        return np.stack([x.mean(1), -x.mean(1)], 1)
+
+    assert tiles.probabilities(np.zeros((20, 90, 3), np.uint8), score, tile=64).shape == (2, 20, 90)
+    assert set(sizes) == {(64, 64)}
