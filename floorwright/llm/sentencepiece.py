@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding by a shared-prefix Viterbi pass over a trie of distinct marked words.
 
 Distinct words are sorted, which makes a depth-first walk of their trie: a word starts from the forward states of the
-longest prefix that it shares with the word before it, and only its remaining letters are new. The forward state of a
+longest prefix that it shares with the word before it, and only its remaining letters are new. A place in the word stays in
+play as long as what follows it begins a piece. The forward state of a
 prefix is (score, last piece, state before it): over all pieces that end here the best sum of the score before and the
 piece's own; the pieces of a word are read off the states backwards.
 
@@ -16,6 +17,7 @@ byte pieces. Decoding inverts all of this.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,12 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from floorwright.llm.common import lean, table, tidy
-from floorwright.llm.text import steps
+from floorwright.llm.text import STEP, steps
 
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words and neighbour checks that a Python worker remembers; beyond that it starts anew.
-_REMEMBERED = 400_000
+#: Words that a Python worker remembers, and half of the neighbour checks; beyond that it starts anew.
+_REMEMBERED = 150_000
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
@@ -49,7 +51,7 @@ class Pieces:
     ranks: dict[str, float]
     byte_ids: list[int]
     unknown: int
-    longest: int
+    begins: dict[str, float | None]  # what pieces begin with: the rank of one that is a piece itself, else None
     texts: list[str]
     kinds: list[int]  # 0 text, 1 byte, 2 control
     raw: list[bytes] = field(default_factory=list)  # the bytes that a piece decodes to
@@ -76,12 +78,10 @@ class Pieces:
                 if MARK in p.lstrip(MARK):
                     raise ValueError(f"a piece holds a mark after a letter: {p!r}")
         raw = [b"" if k == 2 else t.encode() if k == 0 else bytes([int(t[3:5], 16)]) for t, k in zip(texts, kinds, strict=True)]
-        return cls(ids, ranks, byte_ids, sp.unk_id(), max(map(len, ids)), texts, kinds, raw)
+        return cls(ids, ranks, byte_ids, sp.unk_id(), {p[:k]: ranks.get(p[:k]) for p in ids for k in range(1, len(p) + 1)}, texts, kinds, raw)
 
-    @property
-    def least(self) -> float:
-        """The score of a letter that is no piece: below all others."""
-        return min(self.ranks.values()) - 10.0
+    def __post_init__(self) -> None:
+        self.least = min(self.ranks.values()) - 10.0  # the score of a letter that is no piece: below all others
 
     def joined(self, text: str) -> list[str]:
         """The encoding of a short text by joining: the definition that the forward pass has to meet."""
@@ -101,7 +101,7 @@ class Pieces:
         key = (left, right)
         found = self.apart.get(key)
         if found is None:
-            if len(self.apart) > _REMEMBERED:
+            if len(self.apart) > 2 * _REMEMBERED:
                 self.apart.clear()
             found = self.apart[key] = self.joined(left + right) == ([left, right] if left else [right])
         return found
@@ -109,38 +109,46 @@ class Pieces:
     def forward(self, words: list[str]) -> Iterator[tuple[str, list[State]]]:
         """For each of the sorted distinct words the states of all its prefixes; those of a shared prefix are the same objects."""
         states: list[State] = [(0.0, None, None)]
+        alive: list[list[int]] = [[]]  # of each prefix the places from which its end may still belong to one piece
         before = ""
-        ranks, longest, apart, least = self.ranks, self.longest, self.stay_apart, self.least
+        begins, checked, none = self.begins.get, self.apart.get, self
         for w in words:
             k, n = 0, min(len(before), len(w))
             while k < n and before[k] == w[k]:
                 k += 1
-            del states[k + 1 :]
+            del states[k + 1 :], alive[k + 1 :]
             for end in range(k + 1, len(w) + 1):
-                best = None
-                for start in range(max(0, end - longest), end):
+                best, top, own = None, -math.inf, []
+                for start in alive[-1]:
                     p = w[start:end]
-                    r = ranks.get(p)
-                    if r is None:
-                        if end - start > 1:
-                            continue
-                        r = least  # a letter that is no piece
-                    at = states[start]
-                    score = at[0] + r
-                    if (best is None or score > best[0]) and (apart(at[1], p) if start else self.joined_alone(p)):
-                        best = (score, p, at)
-                states.append(best or (states[end - 1][0] + least, w[end - 1], states[end - 1]))
+                    r = begins(p, none)
+                    if r is none:
+                        continue
+                    own.append(start)
+                    if r is not None:
+                        at = states[start]
+                        if at[0] + r > top:
+                            key = (at[1] or "", p)
+                            good = checked(key)
+                            if good or good is None and self.stay_apart(*key):
+                                top = at[0] + r
+                                best = (top, p, at)
+                p, at = w[end - 1], states[end - 1]
+                r = begins(p, none)
+                if r is not none:
+                    own.append(end - 1)
+                score = at[0] + (self.least if r is none or r is None else r)  # a letter may be no piece
+                if best is None or score > top and self.stay_apart(at[1] or "", p):
+                    best = (score, p, at)
+                states.append(best)
+                alive.append(own)
             before = w
             yield w, states
 
-    def joined_alone(self, piece: str) -> bool:
-        """Whether joining ever makes this piece of its own letters."""
-        return self.stay_apart("", piece) if len(piece) > 1 else True
-
     def encode_words(self, words: set[str]) -> dict[str, tuple[int, ...]]:
         """Ids of distinct marked words; those already known are taken from memory."""
-        if len(self.words) > _REMEMBERED:
-            self.words.clear()
+        if len(self.words) > _REMEMBERED:  # those that come again now stay
+            self.words = {w: self.words[w] for w in words if w in self.words}
         known = self.words
         for w, states in self.forward(sorted(words - known.keys())):
             out: list[int] = []
@@ -193,7 +201,7 @@ def encode_documents(docs: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = pieces(model)
-        for b, texts in steps(batches):
+        for b, texts in steps(batches, most=STEP // 4):
             ids = sp.encode([t.decode() for t in texts])
             decoded = [sp.decode(x) for x in ids]
             yield b.append_column("piece_ids", pa.array(ids, pa.list_(pa.int32()))).append_column("decoded", pa.array(decoded, pa.string()))
