@@ -83,6 +83,12 @@ def edge_map(pixels: DataFrame, radius: int, label: str = "label") -> DataFrame:
     return own.withColumn("edge", (F.col("_hi") != F.col("_lo")).cast("int")).drop("_v", "_hi", "_lo")
 
 
+def edge_sides(edges: DataFrame, near: DataFrame) -> DataFrame:
+    """(plan_id, y, x, exterior, interior): edge pixels (plan_id, y, x, edge) that are near the outside (in near), and the others."""
+    own = edges.select(*PIXEL, (F.col("edge") == 1).alias("_e")).join(near.select(*PIXEL, F.lit(True).alias("_n")).distinct(), list(PIXEL), "left")
+    return own.select(*PIXEL, (F.col("_e") & F.col("_n").isNotNull()).alias("exterior"), (F.col("_e") & F.col("_n").isNull()).alias("interior"))
+
+
 def dilate(pixels: DataFrame, radius: int, bit: str = "bit") -> DataFrame:
     return box(pixels, radius, bit, "max", "_d").withColumn(bit, F.col("_d")).drop("_d")
 
