@@ -498,4 +498,4 @@ def _(spark, d):
     return edits.history_table(spark, log).groupBy("plan_id").agg(F.count("*").alias("n"))
 
 
-from floorwright.plans import catalog_functions, catalog_regions, catalog_lines  # noqa: E402, F401, I001  (register their queries here)
+from floorwright.plans import catalog_functions, catalog_regions, catalog_lines, catalog_streams  # noqa: E402, F401, I001  (register their queries here)

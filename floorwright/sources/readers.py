@@ -18,6 +18,7 @@ from floorwright.functions import scalars as S
 from floorwright.functions import taxonomy
 from floorwright.kernels.raster import fill_polygon
 from floorwright.operators.raster import painters_order
+from floorwright.sources.shared import cut, dropped
 
 #: Fixed value: largest upload in bytes.
 MOST = 25 * 1024 * 1024
@@ -163,6 +164,34 @@ def paint(polygons: DataFrame, height: int, width: int, tax: str = "coarse") ->
     return own.groupBy("plan_id").applyInPandas(draw, "plan_id long, height int, width int, data binary, taxonomy string")
 
 
+MASK = "plan_id long, content string, height int, width int, data binary, taxonomy string"
+
+
+def cached_masks(drawings: DataFrame, path: str, height: int, width: int, tax: str = "coarse") -> DataFrame:
+    """(plan_id, content, height, width, data, taxonomy) of drawings (plan_id, svg), read through the table of masks at path.
+
+    A mask is known by its plan, the sha256 of its drawing (content), its size and its taxonomy, which partitions the table.
+    Only drawings without a mask there are drawn, and appended; a changed drawing is another one. Runs at the same time may
+    both append a mask: readers take one row of each. A drawing that holds no shape, or isn't XML, has an empty mask; nulls
+    are passed over, repeated rows count once.
+    """
+    spark = drawings.sparkSession
+    key = ["plan_id", "content"]
+    own = drawings.where("plan_id is not null and svg is not null").select(F.col("plan_id").cast("long").alias("plan_id"), "svg", F.sha2("svg", 256).alias("content")).dropDuplicates(key)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+    held = lambda: spark.read.schema(MASK).parquet(path).where((F.col("taxonomy") == tax) & (F.col("height") == height) & (F.col("width") == width))
+    new = own.join(held().select(*key), key, "left_anti") if there else own
+    new = cut(new.withColumn("id", F.monotonically_increasing_id()))  # the id is written with the drawing
+    if new.limit(1).count():
+        drawn = paint(svg_polygons(new.select(F.col("id").alias("plan_id"), "svg")), height, width, tax).select(F.col("plan_id").alias("id"), "data")
+        blank = F.unhex(F.repeat(F.lit("00"), height * width))
+        rows = new.select(*key, "id").join(drawn, "id", "left").select(*key, F.lit(height).alias("height"), F.lit(width).alias("width"), F.coalesce("data", blank).alias("data"), F.lit(tax).alias("taxonomy"))
+        rows.write.mode("append").partitionBy("taxonomy").parquet(path)
+    dropped(new)
+    return held().join(own.select(*key), key, "left_semi").dropDuplicates(key)
+
+
 LOG = "iter int, epoch int, lr double, ce double, dice double, total double, aux double, elapsed_s double, eval struct<mIoU:double,fwIoU:double,pixel_acc:double,mean_acc:double,per_class_iou:map<string,double>>"
 
 
