@@ -9,15 +9,14 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from typing import Any
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from floorwright.functions import scalars as S
 from floorwright.functions import taxonomy
-from floorwright.kernels.raster import fill_polygon
-from floorwright.operators.raster import painters_order
+from floorwright.operators import scanlines
+from floorwright.operators.raster import painted, painters_order
 from floorwright.sources.shared import cut, dropped
 
 #: Fixed value: largest upload in bytes.
@@ -145,23 +144,23 @@ def svg_errors(drawings: DataFrame) -> DataFrame:
     return _parsed(drawings).where("error is not null").select("plan_id", "error")
 
 
-def paint(polygons: DataFrame, height: int, width: int, tax: str = "coarse") -> DataFrame:
-    """(plan_id, height, width, data, taxonomy): polygons painted in the painter's order. One plan is one group."""
+def painted_pixels(polygons: DataFrame, height: int, width: int, tax: str = "coarse") -> DataFrame:
+    """(plan_id, y, x, value): polygons (plan_id, ordinal, kind, subtype, points) painted in the painter's order, inside the raster."""
     t = taxonomy.taxonomy(tax)
     fixed = {"wall": t.wall, "door": t.door, "window": t.window}
     kind = F.col("kind")
     value = F.when(kind == "room", taxonomy.room_class(F.col("subtype"), tax)).when(kind == "railing", taxonomy.room_class(F.lit("Railing"), tax))
     for k, v in fixed.items():
         value = value.when(kind == k, v)
-    own = polygons.select("plan_id", "ordinal", painters_order(kind).alias("z"), value.cast("int").alias("value"), F.transform("points", lambda p: F.array(p["x"], p["y"])).alias("points"))
+    own = polygons.select("plan_id", "ordinal", painters_order(kind).alias("z"), value.cast("int").alias("value"), "points").where("value is not null")
+    runs = scanlines.filled_runs(own, ["plan_id", "ordinal", "z", "value"], "points", (height, width))
+    return painted(runs.select("plan_id", "ordinal", "z", "value", "y", F.explode(F.sequence("lo", "hi")).alias("x")), "value", ["z", "ordinal"])
 
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        mask = np.zeros((height, width), np.uint8)
-        for r in pdf.sort_values(["z", "ordinal"]).itertuples():
-            fill_polygon(mask, np.array([list(p) for p in r.points]), int(r.value))
-        return pd.DataFrame({"plan_id": [pdf.plan_id.iloc[0]], "height": [height], "width": [width], "data": [mask.tobytes()], "taxonomy": [tax]})
 
-    return own.groupBy("plan_id").applyInPandas(draw, "plan_id long, height int, width int, data binary, taxonomy string")
+def paint(polygons: DataFrame, height: int, width: int, tax: str = "coarse") -> DataFrame:
+    """(plan_id, height, width, data, taxonomy): painted_pixels() as rasters; a plan whose polygons all lie outside has none."""
+    own = scanlines.rasters(painted_pixels(polygons, height, width, tax), height, width, "value")
+    return own.select(F.col("plan_id").cast("long").alias("plan_id"), F.lit(height).alias("height"), F.lit(width).alias("width"), "data", F.lit(tax).alias("taxonomy"))
 
 
 MASK = "plan_id long, content string, height int, width int, data binary, taxonomy string"
