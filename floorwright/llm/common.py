@@ -46,12 +46,31 @@ def give_back() -> None:
         pass
 
 
+#: What a worker keeps from task to task, by module: a function that drops it.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keeps(module: str, drop: Callable[[], None]) -> None:
+    """Says that this worker keeps something of a module (tables, caches), and how it is dropped when it turns to another."""
+    _kept[module] = drop
+
+
+def turns_to(module: str) -> None:
+    """Drops what the worker keeps of other modules."""
+    others = [m for m in _kept if m != module]
+    for m in others:
+        _kept.pop(m)()
+    if others:
+        give_back()
+
+
 def tidy(run: Callable) -> Callable:
     """run, a function of mapInArrow, but what its task took goes back to the system when it ends: workers are used again by
     other stages, and each would keep the most that any of its tasks ever took."""
 
     @functools.wraps(run)
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turns_to(run.__module__)
         try:
             yield from run(batches)
         finally:
@@ -65,6 +84,7 @@ def tidy_group(make: Callable) -> Callable:
 
     @functools.wraps(make)
     def tidied(group: pa.Table) -> pa.Table:
+        turns_to(make.__module__)
         out = make(group)
         del group
         give_back()

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floorwright.llm.common import lean, table, tidy
+from floorwright.llm.common import keeps, lean, table, tidy
 from floorwright.llm.text import STEP, steps
 
 MARK = "▁"
@@ -188,6 +188,7 @@ _loaded: dict[str, Pieces] = {}
 def pieces(path: str) -> Pieces:
     """The vocabulary, once for each Python worker."""
     if path not in _loaded:
+        keeps(__name__, _loaded.clear)
         _loaded[path] = Pieces.load(path)
     return _loaded[path]
 

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floorwright.llm.common import bounded, give_back, in_one_task, lean, small, tidy
+from floorwright.llm.common import bounded, give_back, in_one_task, keeps, lean, small, tidy, turns_to
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _TRIPLES = np.array([[b, b ^ 0x55, (b * 7 + 3) & 255] for b in range(256)], np.uint8)
@@ -106,6 +106,7 @@ def _compressor(content: bytes, **more):
 def cells(model: ToxicityModel, text: bytes) -> np.ndarray:
     """The cell of each window of a text."""
     if model.key() not in _ready:
+        keeps(__name__, _ready.clear)
         _ready.clear()
         _ready[model.key()] = (_compressor(model.toxic, **_HINT, dict_size=len(model.toxic)), _compressor(model.ordinary, **_SHORTEST), _compressor(model.toxic + model.ordinary, **_SHORTEST))
     fast, plain, toxic = _ready[model.key()]
@@ -261,11 +262,11 @@ def score_documents(docs: DataFrame, model: ToxicityModel, column: str = "toxic_
 
     @F.arrow_udf("double")  # only texts go to the workers and only scores come back
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        turns_to(__name__)
         try:
             for texts in batches:
                 yield pa.array(scores(model, [x or b"" for x in texts.cast(pa.binary()).to_pylist()]), pa.float64())
         finally:
-            _ready.clear()
             give_back()
 
     lean(docs.sparkSession)
