@@ -1,4 +1,4 @@
-"""Queries of streams and of the mask cache: what they leave behind, with the SQL of the same over the tables."""
+"""Queries of streams, of the mask cache and of exports: what they leave behind, with the SQL of the same over the tables."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from floorwright.plans import catalog, scene
 from floorwright.plans.catalog import query
-from floorwright.sources import readers
+from floorwright.sources import exports, readers
 from floorwright.sources.shared import shared_path
 from floorwright.streaming import metrics as streaming
 
@@ -49,3 +49,42 @@ def _(spark, d):
     masks = readers.cached_masks(drawings, path, 48, 100)  # half of them are there already
     count = lambda v: (F.length("data") - F.length(F.translate(F.col("data").cast("string"), chr(v), ""))).cast("long")
     return masks.select("plan_id", count(2).alias("room"), count(1).alias("wall"))
+
+
+def _documents(spark, d):
+    rooms = scene.polygons(spark, d).withColumn("label", F.concat(F.lit("room <"), F.col("room_id"), F.lit(">")))
+    return exports.documents(rooms, scene.walls(spark, d), 512, 512)
+
+
+_WALL_SUMS = f"select plan_id, count(*) walls, sum(x1)::double x1, sum({{y1}})::double y1, sum(x2)::double x2, sum({{y2}})::double y2 from ({scene.WALLS}) group by plan_id"
+_ROOM_SUMS = f"select plan_id, count(*) rooms, sum(list_sum(xs))::double xs, sum(list_sum({{ys}}))::double ys from ({scene.POLYGONS}) group by plan_id"
+
+
+def _content_sql(y1: str, y2: str, ys: str) -> str:
+    return f"select plan_id, coalesce(walls, 0) walls, coalesce(x1, 0) x1, coalesce(y1, 0) y1, coalesce(x2, 0) x2, coalesce(y2, 0) y2, coalesce(rooms, 0) rooms, coalesce(xs, 0) xs, coalesce(ys, 0) ys from ({_WALL_SUMS.format(y1=y1, y2=y2)}) full join ({_ROOM_SUMS.format(ys=ys)}) using (plan_id)"
+
+
+def _total(texts):
+    """Sum of an array of numbers as texts."""
+    return F.aggregate(texts, F.lit(0.0), lambda a, v: a + v.cast("double"))
+
+
+@query("svg_content", _content_sql("y1", "y2", "ys"))
+def _(spark, d):
+    out = exports.exported(_documents(spark, d), "svg")
+    walls = F.regexp_extract_all("svg", F.lit('<line class="wall"[^>]*>'), F.lit(0))
+    paths = F.regexp_extract_all("svg", F.lit('<path class="room"[^>]* d="([^"]*)"'), F.lit(1))
+    at = lambda c: _total(F.transform(walls, lambda w: F.regexp_extract(w, f' {c}="([^"]*)"', 1)))
+    corner = lambda k: _total(F.regexp_extract_all(F.array_join(paths, " "), F.lit(r"([0-9.]+),([0-9.]+)"), F.lit(k)))
+    return out.select("plan_id", F.size(walls).cast("long").alias("walls"), *[at(c).alias(c) for c in ("x1", "y1", "x2", "y2")], F.size(paths).cast("long").alias("rooms"), corner(1).alias("xs"), corner(2).alias("ys"))
+
+
+@query("dxf_content", _content_sql("512 - y1", "512 - y2", "list_transform(ys, lambda v: 512 - v)"))
+def _(spark, d):
+    """Codes and values take a line each; 10 and 20 are a first point, 11 and 21 a second one."""
+    out = exports.exported(_documents(spark, d), "dxf")
+    line = F.lit("LINE\n8\nWALLS\n10\n([-0-9.]+)\n20\n([-0-9.]+)\n11\n([-0-9.]+)\n21\n([-0-9.]+)\n")
+    wall = lambda k: F.regexp_extract_all("dxf", F.concat(F.lit("(?m)^"), line), F.lit(k))
+    corner = lambda k: F.regexp_extract_all("dxf", F.lit("VERTEX\n8\nROOMS\n10\n([-0-9.]+)\n20\n([-0-9.]+)\n"), F.lit(k))
+    rooms = F.regexp_count("dxf", F.lit("POLYLINE\n8\nROOMS\n"))
+    return out.select("plan_id", F.size(wall(1)).cast("long").alias("walls"), *[_total(wall(k)).alias(c) for k, c in enumerate(("x1", "y1", "x2", "y2"), 1)], rooms.cast("long").alias("rooms"), _total(corner(1)).alias("xs"), _total(corner(2)).alias("ys"))

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from floorwright.functions import scalars as S
 from floorwright.functions import taxonomy
 
 
@@ -171,6 +172,25 @@ def exported(documents: DataFrame, kind: str, column: str = "geometry") -> DataF
     return documents.withColumn(kind, render(column))
 
 
+def documents(rooms: DataFrame, walls: DataFrame, height: int, width: int) -> DataFrame:
+    """(plan_id, geometry): plans as geometry documents, from rooms (plan_id, room_id, label, polygon) and walls (plan_id, wall_id, x1, y1, x2, y2, thickness).
+
+    Elements stand in order of their ids. A plan that has only one kind has an empty list of the other; nulls of plan_id
+    are passed over. A document is one value, so all of a plan's elements are put together in one place.
+    """
+    pair = lambda a, b: F.array(F.col(a), F.col(b))
+    shape = F.transform("polygon", lambda p: F.array(p["x"], p["y"]))
+    centre = S.polygon_centroid(F.col("polygon"))
+    none = F.array().cast("array<array<array<double>>>")
+    room = F.struct(F.col("room_id").alias("id"), "label", shape.alias("polygon"), none.alias("holes"), S.polygon_area(F.col("polygon")).alias("area_px"), F.lit(None).cast("double").alias("area_m2"), F.array(centre["x"], centre["y"]).alias("centroid"))
+    wall = F.struct(F.col("wall_id").alias("id"), pair("x1", "y1").alias("p1"), pair("x2", "y2").alias("p2"), "thickness", F.lit(False).alias("exterior"))
+    listed = lambda df, e, name: df.where("plan_id is not null").groupBy("plan_id").agg(F.array_sort(F.collect_list(e)).alias(name))
+    both = listed(rooms, room, "rooms").join(listed(walls, wall, "walls"), "plan_id", "full")
+    filled = [F.coalesce(c, F.array().cast(both.schema[c].dataType)).alias(c) for c in ("rooms", "walls")]
+    doc = F.struct(F.lit(width).alias("width"), F.lit(height).alias("height"), F.lit(None).cast("double").alias("px_per_meter"), *filled, F.array().cast("array<string>").alias("openings"))
+    return both.select("plan_id", F.to_json(doc, {"ignoreNullFields": "false"}).alias("geometry"))
+
+
 def geojson_ring(poly: Column) -> Column:
     """array<array<double>> of a polygon, closed."""
     pts = F.transform(poly, lambda p: F.array(p["x"], p["y"]))
