@@ -24,7 +24,6 @@ IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript object sc
 _BARRIER = frozenset("table ul ol dl select div article section".split())
 #: Which elements the start of one closes.
 _CLOSES = {tag: [t for t, closing in CLOSED_BY.items() if tag in closing] for tag in frozenset().union(*CLOSED_BY.values())}
-_SPACE = re.compile(r"\s+")
 _PLAIN = re.compile(r"[a-z0-9]+")
 
 
@@ -127,7 +126,7 @@ def blocks(page: str) -> list[Block]:
     def end() -> None:
         nonlocal links
         if parts:
-            text = _SPACE.sub(" ", "".join(parts)).strip()
+            text = " ".join("".join(parts).split())
             if text:
                 out.append(Block(text, open_[-1][1] if open_ else None, links))
             parts.clear()
@@ -198,8 +197,11 @@ def blocks(page: str) -> list[Block]:
             end()
         elif tag == "br":
             text(" ")
-        inner = max((places[t][-1] for t in _CLOSES.get(tag, ()) if places[t]), default=-1)
-        if inner > (barriers[-1] if barriers else -1):
+        inner = -1
+        for t in _CLOSES.get(tag, ()):
+            if places[t] and places[t][-1] > inner:
+                inner = places[t][-1]
+        if inner >= 0 and (not barriers or inner > barriers[-1]):
             close(inner)
         if tag in VOID or attrs.endswith("/") and tag in HIDDEN:
             continue

@@ -10,6 +10,7 @@ or have groups of blocks put in under such names, so that all of these are known
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -55,12 +56,29 @@ def _bucket(kind: str, word: str, buckets: int) -> int:
     return zlib.crc32(f"{kind}:{word}".encode()) % buckets
 
 
+class _Words(dict):
+    """Buckets of words; each is hashed when it first comes. Beyond so many it starts anew."""
+
+    def __init__(self, buckets: int):
+        super().__init__()
+        self.buckets = buckets
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1 << 17:
+            self.clear()
+        found = self[word] = zlib.crc32(f"w:{word}".encode()) % self.buckets
+        return found
+
+
+_words_in = lru_cache(maxsize=4)(_Words)
+
+
 def features(own: list[Block], config: LabellerConfig) -> tuple[list[Node | None], list[list[int]], np.ndarray]:
     """For each block its path, its word buckets and its numbers."""
-    words, numbers = [], np.zeros((len(own), 6), np.float32)
+    words, numbers, known = [], np.zeros((len(own), 6), np.float32), _words_in(config.buckets)
     for k, b in enumerate(own):
         text = b.text.lower().split()
-        words.append([_bucket("w", w, config.buckets) for w in text])
+        words.append([known[w] for w in text])
         numbers[k] = (np.log1p(len(b.text)), np.log1p(len(text)), b.links / max(1, len(b.text)), k / len(own), 1 - k / len(own), b.text[-1] in ".!?\"'")
     return [b.node for b in own], words, numbers
 
@@ -91,7 +109,7 @@ def _path_means(vectors: np.ndarray, nodes: list[Node | None]) -> np.ndarray:
 def _mean(vectors: np.ndarray, ids: list[list[int]]) -> np.ndarray:
     """The mean vector of each list of buckets."""
     sizes = np.array([len(x) for x in ids])
-    flat = np.fromiter((i for x in ids for i in x), np.int64, int(sizes.sum()))
+    flat = np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(sizes.sum()))
     out = np.zeros((len(ids), vectors.shape[1]), np.float32)
     full = np.flatnonzero(sizes)
     if len(full):
@@ -272,7 +290,7 @@ def fit(pages: list[str], config: LabellerConfig = LabellerConfig()) -> Labeller
             for k, f in enumerate(lists):
                 for which, lo in ((0, 0), (1, config.width)):
                     sizes = [len(i) for i in f[which]]
-                    flat = np.fromiter((i for q in f[which] for i in q), np.int64, sum(sizes))
+                    flat = np.fromiter(itertools.chain.from_iterable(f[which]), np.int64, sum(sizes))
                     share = dx[: len(sizes), k, lo : lo + config.width] / np.maximum(1, np.array(sizes))[:, None]
                     np.add.at(demb, flat, np.repeat(share, sizes, 0))
             g["emb"] = demb
