@@ -2,34 +2,56 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 IGNORE = 255
 
 
-@dataclass(frozen=True)
+#: Dictionary, class id, name, colour and role of each class.
+CLASSES = (
+    ("coarse", 0, "background", (255, 255, 255), ""),
+    ("coarse", 1, "wall", (38, 38, 38), "wall"),
+    ("coarse", 2, "room", (129, 199, 235), "room"),
+    ("coarse", 3, "door", (236, 112, 99), "door"),
+    ("coarse", 4, "window", (88, 214, 141), "window"),
+    ("cubicasa12", 0, "background", (255, 255, 255), ""),
+    ("cubicasa12", 1, "outdoor", (170, 214, 136), "room"),
+    ("cubicasa12", 2, "wall", (38, 38, 38), "wall"),
+    ("cubicasa12", 3, "kitchen", (255, 190, 92), "room"),
+    ("cubicasa12", 4, "living_room", (129, 199, 235), "room"),
+    ("cubicasa12", 5, "bedroom", (186, 148, 222), "room"),
+    ("cubicasa12", 6, "bath", (99, 179, 196), "room"),
+    ("cubicasa12", 7, "entry", (240, 230, 140), "room"),
+    ("cubicasa12", 8, "railing", (140, 140, 140), ""),
+    ("cubicasa12", 9, "storage", (205, 170, 125), "room"),
+    ("cubicasa12", 10, "garage", (160, 160, 200), "room"),
+    ("cubicasa12", 11, "undefined", (210, 225, 240), "room"),
+    ("cubicasa12", 12, "door", (236, 112, 99), "door"),
+    ("cubicasa12", 13, "window", (88, 214, 141), "window"),
+)
+
+
 class Taxonomy:
-    name: str
-    classes: tuple[str, ...]
-    colors: tuple[tuple[int, int, int], ...]
-    wall: int
-    door: int
-    window: int
-    rooms: tuple[int, ...]
-
-
-# Class names, colours and ids.
-COARSE = Taxonomy("coarse", ("background", "wall", "room", "door", "window"), ((255, 255, 255), (38, 38, 38), (129, 199, 235), (236, 112, 99), (88, 214, 141)), 1, 3, 4, (2,))
-TWELVE = Taxonomy(
-    "cubicasa12",
-    ("background", "outdoor", "wall", "kitchen", "living_room", "bedroom", "bath", "entry", "railing", "storage", "garage", "undefined", "door", "window"),
-    ((255, 255, 255), (170, 214, 136), (38, 38, 38), (255, 190, 92), (129, 199, 235), (186, 148, 222), (99, 179, 196), (240, 230, 140), (140, 140, 140), (205, 170, 125), (160, 160, 200), (210, 225, 240), (236, 112, 99), (88, 214, 141)),
-    2, 12, 13, (1, 3, 4, 5, 6, 7, 9, 10, 11),
-)
-TAXONOMIES = {t.name: t for t in (COARSE, TWELVE)}
+    """A dictionary of classes: what its rows of CLASSES say."""
+
+    def __init__(self, name: str):
+        self.name = name
+        self.rows = [row[1:] for row in CLASSES if row[0] == name]
+        self.classes = tuple(row[1] for row in self.rows)
+        self.colors = tuple(row[2] for row in self.rows)
+
+    def ids(self, role: str) -> tuple[int, ...]:
+        return tuple(row[0] for row in self.rows if row[3] == role)
+
+    wall = property(lambda self: self.ids("wall")[0])
+    door = property(lambda self: self.ids("door")[0])
+    window = property(lambda self: self.ids("window")[0])
+    rooms = property(lambda self: self.ids("room"))
+
+
+TAXONOMIES = {name: Taxonomy(name) for name in dict.fromkeys(row[0] for row in CLASSES)}
+COARSE, TWELVE = TAXONOMIES["coarse"], TAXONOMIES["cubicasa12"]
 #: Room types that aren't class 11 in the fourteen-class dictionary.
 ROOM_CLASSES = {"Bath": 6, "Bedroom": 5, "CarPort": 10, "Closet": 9, "Den": 4, "Dining": 4, "DraughtLobby": 7, "DressingRoom": 9, "EatingArea": 4, "Entry": 7, "Garage": 10, "Hall": 7, "HallWay": 7, "Kitchen": 3, "LivingRoom": 4, "Lounge": 4, "Outdoor": 1, "Pantry": 9, "Reception": 7, "Sauna": 6, "Storage": 9, "Railing": 8}
 #: Fixed value: the class of every other room type.
@@ -44,7 +66,7 @@ def taxonomy(name: str) -> Taxonomy:
 
 def table(spark: SparkSession) -> DataFrame:
     """(taxonomy, class_id, name, rgb, is_wall, is_door, is_window, is_room) of all dictionaries."""
-    rows = [(t.name, i, c, list(t.colors[i]), i == t.wall, i == t.door, i == t.window, i in t.rooms) for t in TAXONOMIES.values() for i, c in enumerate(t.classes)]
+    rows = [(name, i, c, list(rgb), *(role == r for r in ("wall", "door", "window", "room"))) for name, i, c, rgb, role in CLASSES]
     return spark.createDataFrame(rows, "taxonomy string, class_id int, name string, rgb array<int>, is_wall boolean, is_door boolean, is_window boolean, is_room boolean")
 
 
