@@ -123,9 +123,10 @@ def _(spark, d):
     return rounded(metrics.weighted_cross_entropy(scene.logits(spark, d)), "ce")
 
 
-@query("lr_schedule", f"select i::int it, {r('0.002e0 * case when i < 150 then (i + 1) / 150.0e0 else pow(greatest(0, 1 - (i - 150) / 2250.0e0), 0.9e0) end', 9)} lr from range(2400) t(i)")
+@query("lr_schedule", f"select i::int it, {r('0.002e0 * case when i < 150 then (i + 1) / 150.0e0 else pow(greatest(0, 1 - (i - 150) / 2250.0e0), 0.9e0) end', 9)} lr, n from (select event_id % 2400 i, count(*) n from events group by 1)")
 def _(spark, d):
-    return rounded(metrics.lr_schedule(spark.range(2400).select(F.col("id").cast("int").alias("it")), 0.002, 2400, 150), "lr", places=9)
+    steps = scene.read(spark, d, "events").groupBy((F.col("event_id") % 2400).cast("int").alias("it")).agg(F.count("*").alias("n"))
+    return rounded(metrics.lr_schedule(steps, 0.002, 2400, 150), "lr", places=9)
 
 
 _GATE = "select case when event_id % 2 = 0 then 'fp32' else 'int8' end artifact, avg(value) miou from events group by 1"

@@ -9,7 +9,6 @@ import json
 import math
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
-from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -17,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from floorwright.functions.config import settings
 from floorwright.functions.taxonomy import COARSE, Taxonomy
 from floorwright.kernels import raster as R
 from floorwright.kernels import vector as V
@@ -218,21 +218,9 @@ def tables(documents: DataFrame) -> dict[str, DataFrame]:
 
 
 def config(defaults: VectorizeConfig = VectorizeConfig(), values: dict[str, Any] | None = None, overrides: list[str] | None = None) -> VectorizeConfig:
-    """Defaults, then values, then "key=value" with JSON values (anything else is a text); unknown keys raise."""
-    own = asdict(defaults) | (values or {})
-    for text in overrides or []:
-        key, _, raw = text.partition("=")
-        try:
-            own[key] = json.loads(raw)
-        except ValueError:
-            own[key] = raw
-    return VectorizeConfig(**own)
-
-
-def merged(base: dict[str, Any], *layers: dict[str, Any]) -> dict[str, Any]:
-    """Nested dictionaries laid over each other, the later over the earlier."""
-
-    def two(a: dict[str, Any], b: dict[str, Any]) -> dict[str, Any]:
-        return a | {k: two(a[k], v) if isinstance(v, dict) and isinstance(a.get(k), dict) else v for k, v in b.items()}
-
-    return reduce(two, layers, base)
+    """Defaults, then values, then "key=value" as settings() reads them; unknown keys raise."""
+    base = asdict(defaults)
+    unknown = {*(values or {}), *(x.partition("=")[0] for x in overrides or [])} - base.keys()
+    if unknown:
+        raise TypeError(f"unknown settings {sorted(unknown)}; there are {sorted(base)}")
+    return VectorizeConfig(**settings(base, [values or {}], overrides or []))
