@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floorwright.llm.common import small, table, written
+from floorwright.llm.common import dropped, small, table, written
 from floorwright.llm.decontamination import containment
 from floorwright.llm.ngram_join import ngram_components
 from floorwright.llm.sentencepiece import encode_documents
@@ -82,7 +82,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents. A stage's table goes when the next one's is written; the last is read by the result."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            dropped(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
