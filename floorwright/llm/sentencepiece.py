@@ -34,7 +34,7 @@ from floorwright.llm.text import STEP, steps
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words that a Python worker remembers, and half of the neighbour checks; beyond that it starts anew.
-_REMEMBERED = 150_000
+_REMEMBERED = 75_000
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
@@ -202,7 +202,7 @@ def encode_documents(docs: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = pieces(model)
-        for b, texts in steps(batches, most=STEP // 4):
+        for b, texts in steps(batches, most=STEP // 8):
             ids = sp.encode([t.decode() for t in texts])
             decoded = [sp.decode(x) for x in ids]
             yield b.append_column("piece_ids", pa.array(ids, pa.list_(pa.int32()))).append_column("decoded", pa.array(decoded, pa.string()))
