@@ -1,10 +1,11 @@
 """SentencePiece encoding and decoding by a shared-prefix Viterbi pass over a trie of distinct marked words.
 
 Distinct words are sorted, which makes a depth-first walk of their trie: a word starts from the forward states of the
-longest prefix that it shares with the word before it, and only its remaining letters are new. A place in the word stays in
-play as long as what follows it begins a piece. The forward state of a
-prefix is (score, last piece, state before it): over all pieces that end here the best sum of the score before and the
-piece's own; the pieces of a word are read off the states backwards.
+longest prefix that it shares with the word before it, and only its remaining letters are new. With each letter goes the
+longest end of the prefix that begins a piece, a place in the trie of pieces: it tells which pieces end here, and one step
+from it leads to the place of the next letter. The forward state of a prefix is (score, last piece, state before it): over
+all pieces that end here the best sum of the score before and the piece's own; the pieces of a word are read off the states
+backwards.
 
 The vocabulary is a score-ordered one whose encoder joins the best-scored neighbours first. For it a split is the encoding
 exactly if each two neighbours in it stay apart when encoded together, so only such pieces are candidates. That leaves one
@@ -20,8 +21,9 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,9 @@ from floorwright.llm.text import STEP, steps
 
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words that a Python worker remembers, and half of the neighbour checks; beyond that it starts anew.
-_REMEMBERED = 75_000
+#: Words in each of the two generations that a Python worker remembers between steps; half of the neighbour checks and of
+#: the ways between places, which start anew beyond that.
+_REMEMBERED = 60_000
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
@@ -43,6 +46,29 @@ _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 State = tuple[float, str | None, "State | None"]
 
 
+class Place(dict):
+    """A beginning of a piece (or a letter that begins none): the next place by letter, found when first asked for.
+
+    ends: (length, piece, rank, its neighbour checks) of the pieces that end here, the longest first; at last the letter
+    itself, piece or not.
+    """
+
+    __slots__ = ("text", "own", "ends")
+
+    def __init__(self, text: str, own: Pieces):
+        self.text, self.own = text, own
+        kept = [text[k:] for k in range(len(text)) if text[k:] in own.ranks or k == len(text) - 1]
+        self.ends = [(len(p), p, own.ranks.get(p, own.least), own.apart.setdefault(p, {})) for p in kept]
+
+    def __missing__(self, letter: str) -> Place:
+        text = self.text + letter
+        while len(text) > 1 and text not in self.own.begins:
+            text = text[1:]
+        found = self[letter] = self.own.place(text)
+        self.own.learned += 1
+        return found
+
+
 @dataclass
 class Pieces:
     """A vocabulary: ranks of joinable pieces, ids of bytes, and what decoding needs."""
@@ -51,12 +77,17 @@ class Pieces:
     ranks: dict[str, float]
     byte_ids: list[int]
     unknown: int
-    begins: dict[str, float | None]  # what pieces begin with: the rank of one that is a piece itself, else None
+    begins: set[str]  # what pieces begin with
     texts: list[str]
     kinds: list[int]  # 0 text, 1 byte, 2 control
     raw: list[bytes] = field(default_factory=list)  # the bytes that a piece decodes to
-    apart: dict[tuple[str, str], bool] = field(default_factory=dict)
-    words: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    apart: dict[str, dict[str | None, bool]] = field(default_factory=dict)  # by right and left neighbour
+    edges: dict[str, tuple | None] = field(default_factory=dict)  # what sides() found
+    places: dict[str, Place] = field(default_factory=dict)
+    words: dict[str, bytes] = field(default_factory=dict)  # ids as little-endian 32-bit numbers
+    older: dict[str, bytes] = field(default_factory=dict)  # the generation before
+    checked: int = 0
+    learned: int = 0
 
     @classmethod
     def load(cls, path: str = DEFAULT_MODEL) -> Pieces:
@@ -78,103 +109,145 @@ class Pieces:
                 if MARK in p.lstrip(MARK):
                     raise ValueError(f"a piece holds a mark after a letter: {p!r}")
         raw = [b"" if k == 2 else t.encode() if k == 0 else bytes([int(t[3:5], 16)]) for t, k in zip(texts, kinds, strict=True)]
-        return cls(ids, ranks, byte_ids, sp.unk_id(), {p[:k]: ranks.get(p[:k]) for p in ids for k in range(1, len(p) + 1)}, texts, kinds, raw)
+        return cls(ids, ranks, byte_ids, sp.unk_id(), {p[:k] for p in ids for k in range(1, len(p) + 1)}, texts, kinds, raw)
 
     def __post_init__(self) -> None:
         self.least = min(self.ranks.values()) - 10.0  # the score of a letter that is no piece: below all others
-
-    def joined(self, text: str) -> list[str]:
-        """The encoding of a short text by joining: the definition that the forward pass has to meet."""
-        own = list(text)
-        while len(own) > 1:
-            best, at = None, -1
-            for i in range(len(own) - 1):
-                r = self.ranks.get(own[i] + own[i + 1])
-                if r is not None and (best is None or r > best):
-                    best, at = r, i
-            if at < 0:
+        self.codes = {p: i.to_bytes(4, "little") for p, i in self.ids.items()}
+
+    def joined(self, text: str, seen: list[tuple[float, str, str]] | None = None) -> list[str]:
+        """The encoding of a short text by joining: the definition that the forward pass has to meet.
+
+        seen: takes of each join its rank and the first and last parts after it.
+        """
+        own, rank, none = list(text), self.ranks.get, -math.inf
+        near = [rank(a + b, none) for a, b in pairwise(own)]
+        while near:
+            best = max(near)
+            if best == none:
                 break
-            own[at : at + 2] = [own[at] + own[at + 1]]
+            i = near.index(best)
+            own[i : i + 2] = [own[i] + own[i + 1]]
+            del near[i]
+            if seen is not None:
+                seen.append((best, own[0], own[-1]))
+            if i:
+                near[i - 1] = rank(own[i - 1] + own[i], none)
+            if i < len(near):
+                near[i] = rank(own[i] + own[i + 1], none)
         return own
 
-    def stay_apart(self, left: str, right: str) -> bool:
-        key = (left, right)
-        found = self.apart.get(key)
+    def stay_apart(self, left: str | None, right: str) -> bool:
+        """Whether the encoding of both together is one and the other; left: None where a word begins."""
+        checks = self.apart.setdefault(right, {})
+        found = checks.get(left)
+        if found is None:
+            self.checked += 1
+            if self.checked > 2 * _REMEMBERED:
+                for x in self.apart.values():
+                    x.clear()
+                self.checked = 1
+            found = checks[left] = self.uncrossed(left, right) if left else self.joined(right) == [right]
+        return found
+
+    def sides(self, piece: str) -> tuple[list[tuple[float, str]], list[tuple[float, str]]] | None:
+        """(rank of the join, part) of the first and of the last parts while a piece is joined, from its letters on; None if
+        it doesn't come out as one, or a later join ranks above an earlier one."""
+        if piece not in self.edges:
+            seen: list[tuple[float, str, str]] = []
+            whole = self.joined(piece, seen) == [piece] and all(a[0] >= b[0] for a, b in pairwise(seen))
+            parts = [(math.inf, piece[0], piece[-1]), *seen]
+            first, last = ([(r, p) for k, (r, p) in enumerate(x) if not k or p != x[k - 1][1]] for x in ([(r, a) for r, a, _ in parts], [(r, b) for r, _, b in parts]))
+            self.edges[piece] = (first, last) if whole else None
+        return self.edges[piece]
+
+    def uncrossed(self, left: str, right: str) -> bool:
+        """joined(left + right) == [left, right], from how the two are joined alone: both go on side by side, the best rank
+        first and of equals the leftmost, until a join across the seam comes first or both are whole."""
+        a, b = self.sides(left), self.sides(right)
+        if a is None or b is None:
+            return self.joined(left + right) == [left, right]
+        ours, theirs, i, j, none = a[1], b[0], 0, 0, -math.inf
+        while True:
+            across = self.ranks.get(ours[i][1] + theirs[j][1], none)
+            own = ours[i + 1][0] if i + 1 < len(ours) else none
+            other = theirs[j + 1][0] if j + 1 < len(theirs) else none
+            if across > own and across >= other:
+                return False
+            if own == other == none:
+                return True
+            if own >= other:
+                i += 1
+            else:
+                j += 1
+
+    def place(self, text: str) -> Place:
+        found = self.places.get(text)
         if found is None:
-            if len(self.apart) > 2 * _REMEMBERED:
-                self.apart.clear()
-            found = self.apart[key] = self.joined(left + right) == ([left, right] if left else [right])
+            found = self.places[text] = Place(text, self)
         return found
 
     def forward(self, words: list[str]) -> Iterator[tuple[str, list[State]]]:
         """For each of the sorted distinct words the states of all its prefixes; those of a shared prefix are the same objects."""
+        if self.learned > 2 * _REMEMBERED:
+            self.places, self.apart, self.edges, self.learned, self.checked = {}, {}, {}, 0, 0
         states: list[State] = [(0.0, None, None)]
-        alive: list[list[int]] = [[]]  # of each prefix the places from which its end may still belong to one piece
+        places = [self.place("")]
         before = ""
-        begins, checked, none = self.begins.get, self.apart.get, self
         for w in words:
             k, n = 0, min(len(before), len(w))
             while k < n and before[k] == w[k]:
                 k += 1
-            del states[k + 1 :], alive[k + 1 :]
-            for end in range(k + 1, len(w) + 1):
-                best, top, own = None, -math.inf, []
-                for start in alive[-1]:
-                    p = w[start:end]
-                    r = begins(p, none)
-                    if r is none:
-                        continue
-                    own.append(start)
-                    if r is not None:
-                        at = states[start]
-                        if at[0] + r > top:
-                            key = (at[1] or "", p)
-                            good = checked(key)
-                            if good or good is None and self.stay_apart(*key):
-                                top = at[0] + r
-                                best = (top, p, at)
-                p, at = w[end - 1], states[end - 1]
-                r = begins(p, none)
-                if r is not none:
-                    own.append(end - 1)
-                score = at[0] + (self.least if r is none or r is None else r)  # a letter may be no piece
-                if best is None or score > top and self.stay_apart(at[1] or "", p):
-                    best = (score, p, at)
-                states.append(best)
-                alive.append(own)
+            del states[k + 1 :], places[k + 1 :]
+            place = places[k]
+            for letter in w[k:]:
+                place = place[letter]
+                best, top = None, -math.inf
+                for n, p, r, checks in place.ends:
+                    at = states[-n]
+                    score = at[0] + r
+                    if score > top:
+                        good = checks.get(at[1])
+                        if good or good is None and self.stay_apart(at[1], p):
+                            top, best = score, (score, p, at)
+                states.append(best or (score, p, at))  # nothing else fits: the letter
+                places.append(place)
             before = w
             yield w, states
 
-    def encode_words(self, words: set[str]) -> dict[str, tuple[int, ...]]:
+    def code(self, letter: str) -> bytes:
+        """The byte pieces of a letter that is no piece."""
+        return b"".join(self.byte_ids[b].to_bytes(4, "little") for b in letter.encode())
+
+    def encode_words(self, words: Set[str]) -> dict[str, bytes]:
         """Ids of distinct marked words; those already known are taken from memory."""
-        if len(self.words) > _REMEMBERED:  # those that come again now stay
-            self.words = {w: self.words[w] for w in words if w in self.words}
-        known = self.words
-        for w, states in self.forward(sorted(words - known.keys())):
-            out: list[int] = []
-            at = states[-1]
-            while at[1] is not None:  # backwards from the end, reversed below
-                i = self.ids.get(at[1])
-                if i is not None:
-                    out.append(i)
-                else:
-                    out.extend(self.byte_ids[b] for b in reversed(at[1].encode()))
-                at = at[2]
-            known[w] = tuple(reversed(out))
+        if len(self.words) > _REMEMBERED:
+            self.words, self.older = {}, self.words
+        known, older, code = self.words, self.older, self.codes.get
+        new = [w for w in words if w not in known]
+        for w in new:
+            if w in older:  # those that come again now stay
+                known[w] = older[w]
+        for w, states in self.forward(sorted(w for w in new if w not in older)):
+            out = []
+            _, p, at = states[-1]
+            while at is not None:  # backwards from the end, reversed below
+                out.append(code(p) or self.code(p))
+                _, p, at = at
+            out.reverse()
+            known[w] = b"".join(out)
         return known
 
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts, as little-endian 32-bit numbers."""
+        one: dict[str, str] = {}  # a word is held once, however often it stands here
+        units = [list(map(one.setdefault, own, own)) for own in (_UNIT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts)]
+        known = self.encode_words(one.keys())
+        return [b"".join(map(known.__getitem__, own)) for own in units]
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of whole texts."""
-        units = [_UNIT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        distinct = set().union(*units)
-        known = self.encode_words(distinct)
-        out = []
-        for own in units:
-            ids: list[int] = []
-            for x in map(known.__getitem__, own):
-                ids += x
-            out.append(ids)
-        return out
+        return [np.frombuffer(x, "<i4").tolist() for x in self.packed(texts)]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; byte pieces that are no UTF-8 become U+FFFD, control pieces nothing."""
@@ -203,9 +276,12 @@ def encode_documents(docs: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = pieces(model)
         for b, texts in steps(batches, most=STEP // 8):
-            ids = sp.encode([t.decode() for t in texts])
-            decoded = [sp.decode(x) for x in ids]
-            yield b.append_column("piece_ids", pa.array(ids, pa.list_(pa.int32()))).append_column("decoded", pa.array(decoded, pa.string()))
+            packed = sp.packed([t.decode() for t in texts])
+            ids = np.frombuffer(b"".join(packed), "<i4")
+            at = np.cumsum([0, *[len(x) // 4 for x in packed]])
+            decoded = [sp.decode(ids[i:j].tolist()) for i, j in pairwise(at.tolist())]
+            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
+            yield b.append_column("piece_ids", lists).append_column("decoded", pa.array(decoded, pa.string()))
 
     lean(docs.sparkSession)
     docs = docs.drop("piece_ids", "decoded")
