@@ -32,6 +32,8 @@ from floorwright.llm.text import STEP, steps, word_hashes_and_heads
 
 #: Rows of states for which probabilities are computed at once: what they need stays in the processor's cache.
 _ROWS = 512
+#: First bits of a hash by which held words are looked up.
+_BITS = 18
 #: The hash that stands for the end of a text.
 END = np.uint64(0x5BD1E995CAFEF00D)
 
@@ -157,8 +159,7 @@ def vocabulary(counts: DataFrame, config: LanguageModelConfig) -> Vocabulary:
 
 
 def _tanh(x: np.ndarray) -> None:
-    """tanh in place, by the exponential, which numpy has in vector form; beyond 15 it is 1 in single precision."""
-    np.clip(x, -15, 15, out=x)
+    """tanh in place, by the exponential, which numpy has in vector form; where that overflows, the tanh is 1."""
     x *= 2
     np.exp(x, out=x)
     x += 1
@@ -166,6 +167,32 @@ def _tanh(x: np.ndarray) -> None:
     x += 1
 
 
+def _order(keys: np.ndarray, below: int) -> np.ndarray:
+    """Places of the keys (from 0, below a number) in their order, equal ones as they stand; short numbers are sorted by digits."""
+    return np.argsort(keys.astype(np.uint16) if below <= 1 << 16 else keys, kind="stable")
+
+
+def _shifted(weights: np.ndarray, bias: np.ndarray) -> np.ndarray | None:
+    """bias less a bound of the logits, so that their exponentials neither overflow nor all vanish, whatever the state (its
+    parts are within -1 and 1); None if the bounds are too far apart, and each row needs its own maximum.
+
+    weights: (..., width, places), bias: (..., places).
+    """
+    spread = np.abs(weights).sum(-2)
+    most = (bias + spread).max(-1, keepdims=True)
+    if not (most - (bias - spread).max(-1, keepdims=True) < 60).all():
+        return None
+    return bias - most
+
+
+def _exp(x: np.ndarray, bias: np.ndarray, bounded: bool) -> np.ndarray:
+    """The exponentials of x + bias in place, up to a factor for each row."""
+    x += bias
+    if not bounded:
+        x -= x.max(1, keepdims=True)
+    return np.exp(x, out=x)
+
+
 class Network:
     """Gated recurrent network with a class-factored softmax. ids below hot are words; from hot on, head classes."""
 
@@ -197,48 +224,54 @@ class Network:
         """States (steps, lanes, width) from the inputs' gate sums; h is set to 0 where a text begins."""
         w, n = self.weights["wh"], self.config.width
         out = np.empty((*pre.shape[:2], n), np.float32)
-        turns = fresh.any(1)
-        for t in range(len(pre)):
-            if turns[t]:
-                h = h * ~fresh[t][:, None]
-            hw = h @ w
-            g = pre[t][:, : 2 * n] + hw[:, : 2 * n]
-            np.negative(g, out=g)
-            np.exp(g, out=g)
-            g += 1
-            np.reciprocal(g, out=g)
-            z, r = g[:, :n], g[:, n:]
-            c = r * hw[:, 2 * n :]
-            c += pre[t][:, 2 * n :]
-            _tanh(c)
-            if keep is not None:
-                keep.append((h, hw[:, 2 * n :], z, r, c))
-            h = np.subtract(h, c, out=out[t])
-            h *= z
-            h += c
+        turns, less = fresh.any(1), -pre[:, :, : 2 * n]
+        with np.errstate(over="ignore"):
+            for t in range(len(pre)):
+                if turns[t]:
+                    h = h * ~fresh[t][:, None]
+                hw = h @ w
+                g = less[t] - hw[:, : 2 * n]
+                np.exp(g, out=g)
+                g += 1
+                np.reciprocal(g, out=g)
+                z, r = g[:, :n], g[:, n:]
+                c = r * hw[:, 2 * n :]
+                c += pre[t][:, 2 * n :]
+                _tanh(c)
+                if keep is not None:
+                    keep.append((h, hw[:, 2 * n :], z, r, c))
+                h = np.subtract(h, c, out=out[t])
+                h *= z
+                h += c
         return out
 
     def log_probs(self, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Natural log of P(class) and, for hot words, of P(word | class), for each row of states."""
         w, out = self.weights, np.empty(len(ids))
-        cls = self.class_of(ids)
+        cls, rows = self.class_of(ids), np.arange(_ROWS)
+        shifted, inner = _shifted(w["cw"], w["cb"]), _shifted(w["ww"], w["wb"])
+        bias, ones = w["cb"] if shifted is None else shifted, np.ones(self.classes, np.float32)
         for i in range(0, len(ids), _ROWS):
             x = states[i : i + _ROWS] @ w["cw"]
-            x += w["cb"]
-            x -= x.max(1, keepdims=True)
-            own = x[np.arange(len(x)), cls[i : i + _ROWS]]
-            out[i : i + _ROWS] = own - np.log(np.exp(x, out=x).sum(1))
-        order = np.argsort(cls, kind="stable")
+            x += bias
+            if shifted is None:
+                x -= x.max(1, keepdims=True)
+            own = x[rows[: len(x)], cls[i : i + _ROWS]]
+            out[i : i + _ROWS] = own - np.log(np.exp(x, out=x) @ ones)
+        order = _order(cls, self.classes)
         ends = np.searchsorted(cls[order], np.arange(self.word_classes + 1))
         sorted_, place = states[order], (ids - cls * self.config.per_class)[order]
+        bias, ones, found = w["wb"] if inner is None else inner, np.ones(self.config.per_class, np.float32), np.empty(int(ends[-1]))
         for k in range(self.word_classes):
             for a in range(ends[k], ends[k + 1], _ROWS):
                 b = min(a + _ROWS, ends[k + 1])
                 x = sorted_[a:b] @ w["ww"][k]
-                x += w["wb"][k]
-                x -= x.max(1, keepdims=True)
-                own = x[np.arange(b - a), place[a:b]]
-                out[order[a:b]] += own - np.log(np.exp(x, out=x).sum(1))
+                x += bias[k]
+                if inner is None:
+                    x -= x.max(1, keepdims=True)
+                own = x[rows[: b - a], place[a:b]]
+                found[a:b] = own - np.log(np.exp(x, out=x) @ ones)
+        out[order[: len(found)]] += found
         return out
 
     def gradients(self, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, used: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -252,19 +285,18 @@ class Network:
         g = {k: np.zeros_like(v) for k, v in w.items()}
         share = (mask / np.float32(mask.sum()))[:, None]
         ds = np.empty_like(flat)
+        shifted, inner = _shifted(w["cw"], w["cb"]), _shifted(w["ww"], w["wb"])
+        bias, ones = w["cb"] if shifted is None else shifted, np.ones((self.classes, 1), np.float32)
         for i in range(0, len(ids), _ROWS):
             own = slice(i, i + _ROWS)
-            y = flat[own] @ w["cw"]
-            y += w["cb"]
-            y -= y.max(1, keepdims=True)
-            np.exp(y, out=y)
-            y *= share[own] / y.sum(1, keepdims=True)
+            y = _exp(flat[own] @ w["cw"], bias, shifted is not None)
+            y *= share[own] / (y @ ones)
             y[np.arange(len(y)), cls[own]] -= share[own, 0]
             g["cw"] += flat[own].T @ y
             g["cb"] += y.sum(0)
             np.matmul(y, w["cw"].T, out=ds[own])
         at = np.flatnonzero(cls < self.word_classes)
-        at = at[np.argsort(cls[at], kind="stable")]
+        at = at[_order(cls[at], self.classes)]
         if len(at):  # rows in the order of their class; the softmax of all at once
             own, rows = cls[at], flat[at]
             first = np.flatnonzero(np.diff(own, prepend=-1))
@@ -272,12 +304,9 @@ class Network:
             q, back = np.empty((len(at), p), np.float32), np.empty((len(at), n), np.float32)
             for k, a, b in spans:
                 np.matmul(rows[a:b], w["ww"][k], out=q[a:b])
-            q += w["wb"][own]
-            q -= q.max(1, keepdims=True)
-            np.exp(q, out=q)
-            q /= q.sum(1, keepdims=True)
-            q[np.arange(len(at)), ids[at] - own * p] -= 1
-            q *= share[at]
+            _exp(q, (w["wb"] if inner is None else inner)[own], inner is not None)
+            q *= share[at] / (q @ np.ones((p, 1), np.float32))
+            q[np.arange(len(at)), ids[at] - own * p] -= share[at, 0]
             g["wb"][own[first]] = np.add.reduceat(q, first)
             for k, a, b in spans:
                 np.matmul(rows[a:b].T, q[a:b], out=g["ww"][k])
@@ -285,21 +314,32 @@ class Network:
             ds[at] += back
         ds, turns = ds.reshape(states.shape), fresh.any(1)
         dh, dpre = np.zeros_like(h), np.empty((*inputs.shape, 3 * n), np.float32)
+        back = np.ascontiguousarray(w["wh"].T)
+        dhw = np.empty((len(h), 3 * n), np.float32)
         for t in range(len(inputs) - 1, -1, -1):
             before, hc, z, r, c = keep[t]
-            dh = dh + ds[t]
-            dc = dh * (1 - z) * (1 - c * c)
-            dz = dh * (before - c) * z * (1 - z)
-            dr = dc * hc * r * (1 - r)
-            dpre[t] = np.concatenate([dz, dr, dc], 1)
-            dhw = np.concatenate([dz, dr, dc * r], 1)
+            dh += ds[t]
+            own, rest = dpre[t], 1 - z
+            dc = np.multiply(dh, rest, out=own[:, 2 * n :])
+            dc *= 1 - c * c
+            dz = np.multiply(dh, before - c, out=dhw[:, :n])
+            rest *= z
+            dz *= rest
+            np.multiply(dc, r, out=dhw[:, 2 * n :])
+            dr = np.multiply(dhw[:, 2 * n :], hc, out=dhw[:, n : 2 * n])
+            dr *= 1 - r
+            own[:, : 2 * n] = dhw[:, : 2 * n]
             g["wh"] += before.T @ dhw
-            dh = dh * z + dhw @ w["wh"].T
+            dh *= z
+            dh += dhw @ back
             if turns[t]:
                 dh *= ~fresh[t][:, None]
         fd = dpre.reshape(-1, 3 * n)
         g["wx"], g["b"] = x.reshape(-1, n).T @ fd, fd.sum(0)
-        np.add.at(g["emb"], inputs.ravel(), fd @ w["wx"].T)
+        order = _order(inputs.ravel(), self.inputs)  # rows of an input side by side, summed at once
+        own = inputs.ravel()[order]
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        g["emb"][own[first]] = np.add.reduceat((fd @ w["wx"].T)[order], first)
         return g, states[-1]
 
 
@@ -353,9 +393,21 @@ class Lanes:
 
 def _ids(hashes: np.ndarray, heads: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """(ids, index into the held words or -1)."""
-    at = np.searchsorted(vocab.hashes, hashes)
-    at[at == len(vocab.hashes)] = 0
-    there = vocab.hashes[at] == hashes if len(vocab.hashes) else np.zeros(len(hashes), bool)
+    last = np.cumsum(np.bincount((vocab.hashes >> np.uint64(64 - _BITS)).astype(np.int64), minlength=1 << _BITS)).astype(np.int32)
+    first = np.append(np.int32(0), last[:-1])
+    at, there = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+    left = np.arange(len(hashes))
+    own = (hashes >> np.uint64(64 - _BITS)).astype(np.int64)
+    now, ends = first[own], last[own]
+    while True:  # words with the same first bits, one after the other
+        more = now < ends
+        left, now, ends = left[more], now[more], ends[more]
+        if not len(left):
+            break
+        hit = vocab.hashes[now] == hashes[left]
+        at[left[hit]], there[left[hit]] = now[hit], True
+        miss = ~hit
+        left, now, ends = left[miss], now[miss] + 1, ends[miss]
     return np.where(there, vocab.ids[at] if len(vocab.ids) else 0, vocab.hot + heads).astype(np.int32), np.where(there, at, -1)
 
 
