@@ -47,7 +47,7 @@ def match_openings(pred: DataFrame, true: DataFrame, by: list[str], floor: float
 def plan_scores(matches: DataFrame, pred: DataFrame, true: DataFrame) -> DataFrame:
     """(plan_id, tp, n_pred, n_true, iou_sum) for each plan that has any of them."""
     m = matches.groupBy("plan_id").agg(F.count("*").alias("tp"), F.sum("iou").alias("iou_sum"))
-    out = pred.groupBy("plan_id").agg(F.count("*").alias("n_pred")).join(true.groupBy("plan_id").agg(F.count("*").alias("n_true")), "plan_id", "full").join(m, "plan_id", "left")
+    out = pred.groupBy("plan_id").agg(F.count("*").alias("n_pred")).join(true.groupBy("plan_id").agg(F.count("*").alias("n_true")), "plan_id", "full").join(m.hint("merge"), "plan_id", "left")
     return out.na.fill(0).select("plan_id", "tp", "n_pred", "n_true", "iou_sum")
 
 
