@@ -116,7 +116,7 @@ select plan_id, wall_id, count(*) filter (where x < 0 or y < 0 or x >= 64 or y >
 def _(spark, d):
     px = scene.rooms(spark, d).select("plan_id", "y", "x", (F.col("rid") % 3).cast("int").alias("label"))
     sizes = px.select("plan_id").distinct().withColumns({"width": F.lit(64), "height": F.lit(64)})
-    walls = scene.walls(spark, d).join(sizes, "plan_id", "left_semi")
+    walls = scene.walls(spark, d).join(sizes.hint("merge"), "plan_id", "left_semi")
     small = walls.withColumns({c: F.col(c) / 8 for c in geometry.SEGMENT} | {"thickness": F.col("thickness") / 4})
     return geometry.exterior(small, px, sizes).select("plan_id", "wall_id", "exterior")
 

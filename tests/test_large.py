@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="no tables")
-@pytest.mark.parametrize("name", ["pair_iou", "match_rooms", "edge_sides", "exact_count_rate", "uneven_matches"])
+@pytest.mark.parametrize("name", ["pair_iou", "match_rooms", "exact_count_rate", "uneven_matches", "edge_sides", "exterior_walls"])
 def test_exploded_rows_are_not_broadcast(spark, name):
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
