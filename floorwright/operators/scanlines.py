@@ -45,11 +45,13 @@ def filled_runs(polygons: DataFrame, keys: list[str], corners: str = "polygon",
         begin, end, most = F.when(flat, F.col("x1")).otherwise(F.col("y1")), F.when(flat, F.col("x2")).otherwise(F.col("y2")), F.when(flat, size[1] - 1).otherwise(size[0] - 1)
         up = begin <= end
         steps = steps.withColumns({"first": F.greatest(F.lit(0), F.when(up, -begin).otherwise(begin - most)), "last": F.least(F.col("n"), F.when(up, most - begin).otherwise(begin))})
-    steps = steps.where("first <= last").select(*keys, "x1", "y1", "x2", "y2", "n", F.explode(F.sequence("first", "last")).alias("i"))
+    steps = steps.where("first <= last")
+    level = steps.where("y1 = y2").select(*keys, F.col("y1").alias("y"), F.least("x1", "x2").alias("lo"), F.greatest("x1", "x2").alias("hi"))  # its steps are a run
+    steps = steps.where("y1 <> y2").select(*keys, "x1", "y1", "x2", "y2", "n", F.explode(F.sequence("first", "last")).alias("i"))
     t = F.col("i") / F.greatest(F.col("n"), F.lit(1))
     on = lambda a, b: F.floor(F.col(a) + (F.col(b) - F.col(a)) * t + 0.5).cast("int")
     line = steps.select(*keys, on("y1", "y2").alias("y"), on("x1", "x2").alias("lo")).distinct().withColumn("hi", F.col("lo"))
-    every = inner.drop("pair").unionByName(line)
+    every = inner.drop("pair").unionByName(line).unionByName(level)
     if size:
         every = every.withColumns({"lo": F.greatest("lo", F.lit(0)), "hi": F.least("hi", F.lit(size[1] - 1))}).where((F.col("y") >= 0) & (F.col("y") < size[0]))
     w = Window.partitionBy(*keys, "y").orderBy("lo", "hi")
@@ -66,19 +68,36 @@ def rasters(pixels: DataFrame, height: int, width: int, value: str) -> DataFrame
     """
     runs = raster.runs(pixels.withColumn(value, F.col(value).cast("int")), ["plan_id", "y", value], "x")
 
-    def joined(df: DataFrame, by: list[str], at: str, end: str, piece: Column, most: int, blank: Column) -> DataFrame:
-        """The pieces of a group in order, with blanks before, between and behind them."""
-        gap = F.col(at) - F.coalesce(F.lag(end).over(Window.partitionBy(*by).orderBy(at)), F.lit(-1)) - 1
-        parts = df.select(*by, at, end, F.concat(_times(blank, gap), piece).alias("piece"))
-        whole = parts.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, "piece"))), lambda p: p["piece"]), "").alias("s"), F.max(end).alias("end"))
-        return whole.select(*by, F.concat("s", _times(blank, most - 1 - F.col("end"))).alias("s"))
-
     byte = F.lpad(F.hex(value), 2, "0")
-    rows = joined(runs, ["plan_id", "y"], "lo", "hi", _times(byte, F.col("n")), width, F.lit("00"))
-    whole = joined(rows.withColumn("y2", F.col("y")), ["plan_id"], "y", "y2", F.col("s"), height, F.lit("00" * width))
+    rows = _joined(runs, ["plan_id", "y"], "lo", "hi", _times(byte, F.col("n")), width, F.lit("00"))
+    return _stacked(rows, height, width)
+
+
+def painted_rasters(runs: DataFrame, height: int, width: int, value: str, order: list[str]) -> DataFrame:
+    """(plan_id, data): runs (plan_id, y, lo, hi, value, order..) painted in that order as rasters; they lie inside the raster.
+
+    Each row is a fold over its runs, each of which overlays what was painted before; no pixel gets a row of its own.
+    """
+    byte = F.lpad(F.hex(F.col(value).cast("int")), 2, "0")
+    listed = runs.groupBy("plan_id", "y").agg(F.sort_array(F.collect_list(F.struct(*order, "lo", "hi", byte.alias("byte")))).alias("r"))
+    over = lambda s, r: F.overlay(s, _times(r["byte"], r["hi"] - r["lo"] + 1), 2 * r["lo"] + 1, 2 * (r["hi"] - r["lo"] + 1))
+    return _stacked(listed.select("plan_id", "y", F.aggregate("r", F.lit("00" * width), over).alias("s")), height, width)
+
+
+def _stacked(rows: DataFrame, height: int, width: int) -> DataFrame:
+    """(plan_id, data) of rows (plan_id, y, s) in hex; absent ones are 0."""
+    whole = _joined(rows.withColumn("y2", F.col("y")), ["plan_id"], "y", "y2", F.col("s"), height, F.lit("00" * width))
     return whole.select("plan_id", F.unhex("s").alias("data"))
 
 
+def _joined(df: DataFrame, by: list[str], at: str, end: str, piece: Column, most: int, blank: Column) -> DataFrame:
+    """The pieces of a group in order, with blanks before, between and behind them."""
+    gap = F.col(at) - F.coalesce(F.lag(end).over(Window.partitionBy(*by).orderBy(at)), F.lit(-1)) - 1
+    parts = df.select(*by, at, end, F.concat(_times(blank, gap), piece).alias("piece"))
+    whole = parts.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, "piece"))), lambda p: p["piece"]), "").alias("s"), F.max(end).alias("end"))
+    return whole.select(*by, F.concat("s", _times(blank, most - 1 - F.col("end"))).alias("s"))
+
+
 def _times(s: Column, n: Column) -> Column:
     return F.call_function("repeat", s, n.cast("int"))
 

@@ -144,8 +144,8 @@ def svg_errors(drawings: DataFrame) -> DataFrame:
     return _parsed(drawings).where("error is not null").select("plan_id", "error")
 
 
-def painted_pixels(polygons: DataFrame, height: int, width: int, tax: str = "coarse") -> DataFrame:
-    """(plan_id, y, x, value): polygons (plan_id, ordinal, kind, subtype, points) painted in the painter's order, inside the raster."""
+def painted_runs(polygons: DataFrame, height: int, width: int, tax: str = "coarse") -> DataFrame:
+    """(plan_id, ordinal, z, value, y, lo, hi): runs of polygons (plan_id, ordinal, kind, subtype, points) inside the raster; z is the painter's order."""
     t = taxonomy.taxonomy(tax)
     fixed = {"wall": t.wall, "door": t.door, "window": t.window}
     kind = F.col("kind")
@@ -153,13 +153,22 @@ def painted_pixels(polygons: DataFrame, height: int, width: int, tax: str = "coa
     for k, v in fixed.items():
         value = value.when(kind == k, v)
     own = polygons.select("plan_id", "ordinal", painters_order(kind).alias("z"), value.cast("int").alias("value"), "points").where("value is not null")
-    runs = scanlines.filled_runs(own, ["plan_id", "ordinal", "z", "value"], "points", (height, width))
+    return scanlines.filled_runs(own, ["plan_id", "ordinal", "z", "value"], "points", (height, width))
+
+
+def painted_pixels(polygons: DataFrame, height: int, width: int, tax: str = "coarse") -> DataFrame:
+    """(plan_id, y, x, value): polygons (plan_id, ordinal, kind, subtype, points) painted in the painter's order, inside the raster."""
+    runs = painted_runs(polygons, height, width, tax)
     return painted(runs.select("plan_id", "ordinal", "z", "value", "y", F.explode(F.sequence("lo", "hi")).alias("x")), "value", ["z", "ordinal"])
 
 
 def paint(polygons: DataFrame, height: int, width: int, tax: str = "coarse") -> DataFrame:
-    """(plan_id, height, width, data, taxonomy): painted_pixels() as rasters; a plan whose polygons all lie outside has none."""
-    own = scanlines.rasters(painted_pixels(polygons, height, width, tax), height, width, "value")
+    """(plan_id, height, width, data, taxonomy): polygons painted as rasters; a plan whose polygons all lie outside has none.
+
+    A raster is one value, so polygons are dealt out by plan once, before sides and runs are made of them.
+    """
+    dealt = polygons.repartition(int(polygons.sparkSession.conf.get("spark.sql.shuffle.partitions")), "plan_id")
+    own = scanlines.painted_rasters(painted_runs(dealt, height, width, tax), height, width, "value", ["z", "ordinal"])
     return own.select(F.col("plan_id").cast("long").alias("plan_id"), F.lit(height).alias("height"), F.lit(width).alias("width"), "data", F.lit(tax).alias("taxonomy"))
 
 
@@ -172,7 +181,7 @@ def cached_masks(drawings: DataFrame, path: str, height: int, width: int, tax: s
     A mask is known by its plan, the sha256 of its drawing (content), its size and its taxonomy, which partitions the table.
     Only drawings without a mask there are drawn, and appended; a changed drawing is another one. Runs at the same time may
     both append a mask: readers take one row of each. A drawing that holds no shape, or isn't XML, has an empty mask; nulls
-    are passed over, repeated rows count once.
+    are passed over, repeated rows count once. Hints, as masks pack so well that Spark would send them to all executors.
     """
     spark = drawings.sparkSession
     key = ["plan_id", "content"]
@@ -180,15 +189,19 @@ def cached_masks(drawings: DataFrame, path: str, height: int, width: int, tax: s
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
     held = lambda: spark.read.schema(MASK).parquet(path).where((F.col("taxonomy") == tax) & (F.col("height") == height) & (F.col("width") == width))
-    new = own.join(held().select(*key), key, "left_anti") if there else own
+    new = own.join(held().select(*key).hint("merge"), key, "left_anti") if there else own
     new = cut(new.withColumn("id", F.monotonically_increasing_id()))  # the id is written with the drawing
     if new.limit(1).count():
-        drawn = paint(svg_polygons(new.select(F.col("id").alias("plan_id"), "svg")), height, width, tax).select(F.col("plan_id").alias("id"), "data")
+        # drawings are small and slow to parse, so they are dealt out by number, not size; painting reads the shapes three times
+        dealt = new.select(F.col("id").alias("plan_id"), "svg").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "plan_id")
+        shapes = cut(svg_polygons(dealt))
+        drawn = paint(shapes, height, width, tax).select(F.col("plan_id").alias("id"), "data")
         blank = F.unhex(F.repeat(F.lit("00"), height * width))
-        rows = new.select(*key, "id").join(drawn, "id", "left").select(*key, F.lit(height).alias("height"), F.lit(width).alias("width"), F.coalesce("data", blank).alias("data"), F.lit(tax).alias("taxonomy"))
+        rows = new.select(*key, "id").join(drawn.hint("merge"), "id", "left").select(*key, F.lit(height).alias("height"), F.lit(width).alias("width"), F.coalesce("data", blank).alias("data"), F.lit(tax).alias("taxonomy"))
         rows.write.mode("append").partitionBy("taxonomy").parquet(path)
+        dropped(shapes)
     dropped(new)
-    return held().join(own.select(*key), key, "left_semi").dropDuplicates(key)
+    return held().join(own.select(*key).hint("merge"), key, "left_semi").dropDuplicates(key)
 
 
 LOG = "iter int, epoch int, lr double, ce double, dice double, total double, aux double, elapsed_s double, eval struct<mIoU:double,fwIoU:double,pixel_acc:double,mean_acc:double,per_class_iou:map<string,double>>"
